@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
+from docquarry.functions.rows import unnest
 from docquarry.operators import segment as sg
 
 
@@ -74,11 +75,8 @@ def with_groups(docs: DataFrame) -> DataFrame:
 
 
 def explode_groups(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_pos",
-        sg.document_id(F.col("path")).alias("document_id"),
-        F.posexplode("groups").alias("grp", "g"),
-    ).select("doc_pos", "document_id", "grp", "g.*")
+    keys = ["doc_pos", sg.document_id(F.col("path")).alias("document_id")]
+    return unnest(docs, keys, F.col("groups"), "g", "grp").select("doc_pos", "document_id", "grp", "g.*")
 
 
 def _group_header(group: Column) -> Column:
@@ -115,20 +113,11 @@ def section_groups(docs: DataFrame) -> DataFrame:
     )
     title = F.coalesce(F.col("doc_title"), F.lit(""))
     hierarchy = F.filter(F.array(title, F.col("s.header")), lambda h: h != "")
+    keys = ["doc_pos", sg.document_id(F.col("path")).alias("document_id"), "doc_title"]
+    found = unnest(titled, keys, sections, "s").drop("_pos")
+    keys = ["doc_pos", "document_id", "s.first", hierarchy.alias("hierarchy")]
     return (
-        titled.select(
-            "doc_pos",
-            sg.document_id(F.col("path")).alias("document_id"),
-            "doc_title",
-            F.explode(sections).alias("s"),
-        )
-        .select(
-            "doc_pos",
-            "document_id",
-            "s.first",
-            hierarchy.alias("hierarchy"),
-            F.posexplode("s.members").alias("_k", "g"),
-        )
+        unnest(found, keys, F.col("s.members"), "g", "_k")
         .select(
             "doc_pos",
             "document_id",
@@ -152,9 +141,10 @@ def token_windows(df: DataFrame, text: str = "text", size: int = 512, overlap: i
     count = F.size(tokens)
     last = F.when(count <= size, 0).otherwise(F.ceil((count - size) / F.lit(step)).cast("int"))
     starts = F.when(count > 0, F.sequence(F.lit(0), last))
+    tokenised = df.withColumn("_tokens", tx.words(F.col(text)))
     return (
-        df.withColumn("_tokens", tx.words(F.col(text)))
-        .withColumn("win", F.explode(starts))
+        unnest(tokenised, ["*"], starts, "win")
+        .drop("_pos")
         .withColumn("_slice", F.slice(tokens, F.col("win") * step + 1, F.lit(size)))
         .withColumn("window_text", F.array_join("_slice", " "))
         .withColumn("token_count", F.size("_slice"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
+from docquarry.functions.rows import unnest
 
 NAMESPACE = "docquarry-v1"
 
@@ -114,12 +115,8 @@ def with_regions(docs: DataFrame) -> DataFrame:
 
 def explode_regions(docs: DataFrame) -> DataFrame:
     """One row per region of documents that already hold a ``regions`` array."""
-    return docs.select(
-        "doc_pos",
-        document_id(F.col("path")).alias("document_id"),
-        "path",
-        F.posexplode("regions").alias("region_idx", "_r"),
-    ).select(
+    keys = ["doc_pos", document_id(F.col("path")).alias("document_id"), "path"]
+    return unnest(docs, keys, F.col("regions"), "_r", "region_idx").select(
         "doc_pos",
         "document_id",
         "path",
@@ -165,13 +162,15 @@ def region_chunks(regions: DataFrame) -> DataFrame:
     )
 
 
-def modality_split(regions: DataFrame) -> DataFrame:
-    """Per document, how many regions go to each path; three filters over one scan."""
-    return regions.groupBy("document_id").agg(
+def modality_split(docs: DataFrame) -> DataFrame:
+    """Per document with ``regions``, how many go to each path; counted inside the row."""
+    found = F.transform("regions", lambda r: modality_of(r["type"]))
+    return docs.select(
+        document_id(F.col("path")).alias("document_id"),
         *[
-            F.count(F.when(F.col("modality") == m, 1)).alias(f"{m}_regions")
+            (F.size(found) - F.size(F.array_remove(found, m))).alias(f"{m}_regions")
             for m in ("text", "table", "vision")
-        ]
+        ],
     )
 
 
