@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` to a lambda variable so ``body`` may use it often and it is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unnest(df: DataFrame, keep: list, items: Column, item: str, pos: str = "_pos") -> DataFrame:
     """One row per array element, dropping empty arrays.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
+from docquarry.functions.rows import let
 
 # Characters removed before a cell is read as a number.
 _CURRENCY = "[$,€£%]"
@@ -36,13 +37,14 @@ def header_hierarchy(header_rows: Column, n_cols: Column) -> Column:
         ),
     )
 
-    def path(i: Column) -> Column:
-        found = F.filter(F.transform(spread, lambda row: F.get(row, i)), lambda t: t != "")
+    def path(rows: Column, i: Column) -> Column:
+        found = F.filter(F.transform(rows, lambda row: F.get(row, i)), lambda t: t != "")
         return F.when(F.size(found) > 0, found).otherwise(F.array(_column_label(i)))
 
-    return F.when(n_cols > 0, F.transform(F.sequence(F.lit(0), n_cols - 1), path)).otherwise(
-        F.array().cast("array<array<string>>")
-    )
+    indexes = F.sequence(F.lit(0), n_cols - 1)
+    return F.when(
+        n_cols > 0, let(spread, lambda rows: F.transform(indexes, lambda i: path(rows, i)))
+    ).otherwise(F.array().cast("array<array<string>>"))
 
 
 def flatten_column_name(path: Column) -> Column:
@@ -56,11 +58,11 @@ def flatten_column_name(path: Column) -> Column:
 def dedup_columns(names: Column) -> Column:
     """Second and later uses of a name get ``_2``, ``_3`` and so on."""
 
-    def unique(name: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda n: n == name))
+    def unique(bound: Column, name: Column, i: Column) -> Column:
+        seen = F.size(F.filter(F.slice(bound, F.lit(1), i + 1), lambda n: n == name))
         return F.when(seen == 1, name).otherwise(F.concat_ws("_", name, seen.cast("string")))
 
-    return F.transform(names, unique)
+    return let(names, lambda bound: F.transform(bound, lambda name, i: unique(bound, name, i)))
 
 
 def _unwrapped(value: Column) -> tuple[Column, Column]:
@@ -144,12 +146,15 @@ def _pipe_row(cells: Column) -> Column:
 
 def to_markdown(columns: Column, rows: Column) -> Column:
     widest = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    n = F.greatest(F.size(columns), widest)
-    body = F.concat(
-        F.array(_pipe_row(_padded(columns, n)), _pipe_row(F.array_repeat(F.lit("---"), n))),
-        F.transform(rows, lambda r: _pipe_row(_padded(r, n))),
-    )
-    return F.when(F.size(columns) > 0, F.array_join(body, "\n")).otherwise("")
+
+    def body(n: Column) -> Column:
+        return F.concat(
+            F.array(_pipe_row(_padded(columns, n)), _pipe_row(F.array_repeat(F.lit("---"), n))),
+            F.transform(rows, lambda r: _pipe_row(_padded(r, n))),
+        )
+
+    text = let(F.greatest(F.size(columns), widest), lambda n: F.array_join(body(n), "\n"))
+    return F.when(F.size(columns) > 0, text).otherwise("")
 
 
 def escape_html(text: Column) -> Column:
@@ -237,7 +242,7 @@ def header_row_count(cells: Column) -> Column:
     flagged = F.transform(
         F.filter(cells, lambda c: c["column_header"] & (c["row"] < 3)), lambda c: c["row"]
     )
-    return F.coalesce(F.least(F.lit(3), F.array_max(flagged) + 1), F.lit(1))
+    return F.when(F.size(flagged) > 0, F.array_max(flagged) + 1).otherwise(1)
 
 
 def cells_to_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -251,7 +256,7 @@ def cells_to_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.col("col") + F.col("col_span")).alias("n_cols"),
     )
     frame = dims.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
-    last = cells.groupBy(*keys, "row", "col").agg(F.max_by("text", "cell_no").alias("text"))
+    last = cells.groupBy(*keys, "row", "col").agg(F.max_by("text", F.struct("cell_no", "text")).alias("text"))
     filled = last.groupBy(*keys, "row").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("by_col")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions import text as tx
+from docquarry.functions.rows import let
 from docquarry.operators import tables as tb
 
 # Null markers, aggregate triggers, concepts and year labels of the templates.
@@ -29,19 +30,22 @@ _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def parse_pipe_table(text: Column) -> Column:
     """``STRUCT<columns, rows>`` from lines holding a pipe; rows of the wrong width are dropped."""
-    found = F.filter(F.transform(tx.lines(text), tx.strip), lambda l: l.contains("|"))
-    columns = tb.split_pipe_row(F.get(found, F.lit(0)))
-    rows = F.filter(
-        F.transform(
-            F.filter(F.slice(found, F.lit(2), F.size(found)), lambda l: ~l.rlike(_SEPARATOR)),
-            tb.split_pipe_row,
+    piped = F.filter(F.transform(tx.lines(text), tx.strip), lambda l: l.contains("|"))
+    grid = F.transform(
+        F.filter(
+            F.transform(piped, lambda l, i: F.when((i == 0) | ~l.rlike(_SEPARATOR), l)),
+            lambda l: l.isNotNull(),
         ),
-        lambda r: F.size(r) == F.size(columns),
-    )
-    return F.when(
-        (F.size(found) >= 2) & (F.size(rows) > 0), F.struct(columns.alias("columns"), rows.alias("rows"))
+        tb.split_pipe_row,
     )
 
+    def as_table(g: Column) -> Column:
+        columns = F.get(g, F.lit(0))
+        rows = F.filter(F.slice(g, F.lit(2), F.size(g)), lambda r: F.size(r) == F.size(columns))
+        return F.struct(columns.alias("columns"), rows.alias("rows"))
+
+    return let(grid, lambda g: let(as_table(g), lambda t: F.when(F.size(t["rows"]) > 0, t)))
+
 
 def _typing_text(value: Column) -> Column:
     """What type inference looks at; NULL when the cell says nothing."""
@@ -190,11 +194,13 @@ def template_result(plan: Column, columns: Column, rows: Column, types: Column)
     total = F.aggregate(
         rows,
         F.lit(0).cast("decimal(28,2)"),
-        lambda acc, r: acc
-        + F.coalesce(
-            sanitize_number(F.get(r, position), F.get(types, position)).cast("decimal(18,2)"),
-            F.lit(0).cast("decimal(18,2)"),
-        ).cast("decimal(20,2)"),
+        lambda acc, r: (
+            acc
+            + F.coalesce(
+                sanitize_number(F.get(r, position), F.get(types, position)).cast("decimal(18,2)"),
+                F.lit(0).cast("decimal(18,2)"),
+            )
+        ).cast("decimal(28,2)"),
         lambda acc: acc.cast("string"),
     )
     pair = F.transform(

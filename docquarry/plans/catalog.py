@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.plans import ingest_queries
+from docquarry.plans import ingest_queries, table_queries
 
-MODULES = (ingest_queries,)
+MODULES = (ingest_queries, table_queries)
 
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
