@@ -72,6 +72,15 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def corpus_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_pos, path, text`` with the texts as given."""
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("doc_pos"),
+        F.expr("concat('corpus/', source, '/', lpad(cast(doc_id as string), 12, '0'), '.txt')").alias("path"),
+        "text",
+    )
+
+
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
     return sg.with_regions(corpus(spark, sf))
 
