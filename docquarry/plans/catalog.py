@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.plans import ingest_queries, retrieval_queries, table_queries
+from docquarry.plans import answer_queries, ingest_queries, retrieval_queries, table_queries
 
-MODULES = (ingest_queries, table_queries, retrieval_queries)
+MODULES = (ingest_queries, table_queries, retrieval_queries, answer_queries)
 
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
