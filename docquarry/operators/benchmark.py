@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
 from docquarry.functions.rows import unnest
 from docquarry.operators import joins
+from docquarry.session import cut_lineage
 
 # The generated suite's templates, cycled in this order.
 TEMPLATES = [
@@ -37,13 +38,13 @@ def extended_suite(items: DataFrame, id_col: str) -> DataFrame:
             for source, modality, question, relevant, tabular in TEMPLATES
         ]
     )
-    number = n.cast("string")
+    number = F.col("_n").cast("string")
     padded = F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))
     return items.select(n.alias("_n"), F.get(templates, slot).alias("t")).select(
-        F.concat_ws("-", F.lower("t.source"), F.lpad(F.col("_n").cast("string"), F.greatest(F.lit(3), F.length(F.col("_n").cast("string"))), F.lit("0"))).alias("id"),
+        F.concat_ws("-", F.lower("t.source"), padded).alias("id"),
         "t.source",
-        F.replace("t.question", F.lit("{}"), F.col("_n").cast("string")).alias("question"),
-        F.concat(F.lit("Sample Ground Truth Answer "), F.col("_n").cast("string")).alias("answer"),
+        F.replace("t.question", F.lit("{}"), number).alias("question"),
+        F.concat(F.lit("Sample Ground Truth Answer "), number).alias("answer"),
         "t.modality",
         "t.relevant_ids",
         "t.is_tabular",
@@ -93,10 +94,6 @@ def suite_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
-def relevance_order():
-    return Window.partitionBy("query_id").orderBy("doc_pos")
-
-
 def containing_documents(docs: DataFrame, passages: DataFrame, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """Documents that hold a passage word for word: ``query_id, doc_pos``.
 
@@ -114,7 +111,9 @@ def containing_documents(docs: DataFrame, passages: DataFrame, anchor: int = ANC
     anchors = inner.filter(F.size("_in") > 0).select(
         "query_id",
         F.when(long, F.xxhash64(F.array_join(F.slice("_in", 1, anchor), " "))).otherwise(F.xxhash64(longest)).alias("_h"),
+        long.alias("_long"),
     )
+    anchors = cut_lineage(anchors)
     words = docs.select("doc_pos", tx.words(F.col("text")).alias("_w"))
     runs = F.when(
         F.size("_w") >= anchor,
@@ -123,13 +122,16 @@ def containing_documents(docs: DataFrame, passages: DataFrame, anchor: int = ANC
             lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(anchor)), " ")),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
-    singles = F.transform("_w", lambda w: F.xxhash64(w))
-    hashes = unnest(words, ["doc_pos"], F.concat(runs, singles), "_h").drop("_pos")
-    pairs = hashes.join(joins.bounded(anchors), "_h").select("query_id", "doc_pos").distinct()
-    texts = docs.select("doc_pos", "text")
+    if anchors.filter(~F.col("_long")).limit(1).count():
+        runs = F.concat(runs, F.transform("_w", lambda w: F.xxhash64(w)))
+    hashes = unnest(words, ["doc_pos"], runs, "_h").drop("_pos")
+    found = hashes.join(joins.bounded(anchors.drop("_long")), "_h").select("query_id", "doc_pos").distinct()
+    # Candidates are narrow and few; sized after they are written, they meet the texts by broadcast
+    # when small and by a shuffle otherwise.
+    pairs = cut_lineage(found.join(passages.select("query_id", "query"), "query_id"))
     return (
-        pairs.join(passages.select("query_id", "query"), "query_id")
-        .join(texts, "doc_pos")
+        docs.select("doc_pos", "text")
+        .join(joins.bounded(pairs, 20_000), "doc_pos")
         .filter(F.contains("text", F.col("query")))
         .select("query_id", "doc_pos")
     )

@@ -30,7 +30,7 @@ def judged_results(results: DataFrame, qrels: DataFrame, depth: int = 20) -> Dat
     """Results with ``first_rel``, ``rels`` and ``one_way``; unjudged ones have NULL ``first_rel``.
 
     Results: ``query_id, rank, document_id``; qrels: ``query_id, rel_id, rel_pos``. ``rels`` keeps
-    the ``depth`` smallest positions, all that crediting each id once over ``depth`` ranks can need.
+    the ``depth`` smallest positions (any order of the query's ids), all that crediting each id once over ``depth`` ranks can need.
     """
     pairs = results.select("query_id", "rank", "document_id").join(qrels, "query_id")
     matched = pairs.filter(related(F.col("rel_id"), F.col("document_id"))).select(
@@ -54,7 +54,7 @@ def query_rows(
         "rank",
         "document_id",
         "first_rel",
-        F.coalesce("rels", F.array().cast("array<int>")).alias("rels"),
+        F.coalesce("rels", F.array().cast("array<bigint>")).alias("rels"),
         F.coalesce("one_way", F.lit(False)).alias("one_way"),
         F.size(tx.words(F.col("text"))).alias("n_tokens"),
     )
@@ -76,7 +76,7 @@ def _run_type(runs: DataFrame) -> str:
 
 def credited_ranks(run: Column) -> Column:
     """Ranks that credit a relevant id not credited before: each takes its first unseen one."""
-    start = F.struct(F.array().cast("array<int>").alias("seen"), F.array().cast("array<int>").alias("ranks"))
+    start = F.struct(F.array().cast("array<bigint>").alias("seen"), F.array().cast("array<int>").alias("ranks"))
 
     def step(acc: Column, r: Column) -> Column:
         fresh = F.get(F.array_except(r["rels"], acc["seen"]), F.lit(0))

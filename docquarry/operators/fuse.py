@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
-from docquarry.operators import ranking
+from docquarry.operators import joins, ranking
 from docquarry.operators import retrieve as rv
 
 # Default fusion weights, and the weight of an unlisted modality.
@@ -15,13 +15,17 @@ OTHER_WEIGHT = 0.33
 RRF_K = 60
 
 
-def normalize(hits: DataFrame, keys: list[str], score: str = "score", out: str = "nscore") -> DataFrame:
+def normalize(
+    hits: DataFrame, keys: list[str], score: str = "score", out: str = "nscore", few_groups: bool = False
+) -> DataFrame:
     """Divide by the group's best score, two digits; 0 where the best is 0.
 
-    The maxima are combined before their shuffle and joined back; they are one row per group, which
-    adaptive execution broadcasts once it has measured them.
+    The maxima are combined before their shuffle and joined back, one row per group. ``few_groups``
+    states that the caller has bounded them (a query batch times its lists); otherwise their number
+    is checked before they are broadcast.
     """
     best = hits.groupBy(*keys).agg(F.max(score).alias("_best"))
+    best = F.broadcast(best) if few_groups else joins.bounded(best)
     scaled = F.when(F.col("_best") != 0, tx.pyround(F.col(score) / F.col("_best"), 2)).otherwise(0.0)
     return hits.join(best, keys).withColumn(out, scaled).drop("_best")
 

@@ -13,6 +13,7 @@ from docquarry.operators import attribute as at
 from docquarry.operators import benchmark as bm
 from docquarry.operators import evaluate as ev
 from docquarry.operators import export as ex
+from docquarry.operators import joins
 from docquarry.operators import segment as sg
 from docquarry.operators import tables as tb
 from docquarry.plans import answer_queries as aq
@@ -32,8 +33,9 @@ def _docs(spark, sf):
 
 def _results(spark, sf):
     """Run rows with document ids and texts; the run holds twenty rows per query."""
-    run = rq.bm25_run(spark, sf, 20)
-    return cut_lineage(run.join(_docs(spark, sf), "doc_pos").select("query_id", "rank", "document_id", "text"))
+    run = cut_lineage(rq.bm25_run(spark, sf, 20))
+    texts = _docs(spark, sf).join(joins.bounded(run), "doc_pos")
+    return cut_lineage(texts.select("query_id", "rank", "document_id", "text"))
 
 
 def _qrels(spark, sf):
@@ -44,7 +46,7 @@ def _qrels(spark, sf):
     return pairs.select(
         "query_id",
         F.lpad(F.col("doc_pos").cast("string"), 12, "0").alias("rel_id"),
-        F.row_number().over(bm.relevance_order()).cast("int").alias("rel_pos"),
+        F.col("doc_pos").alias("rel_pos"),
     )
 
 
@@ -82,8 +84,9 @@ def eval_gold_rank(spark, sf):
 def _by_source(spark, sf):
     """The run with each document known only by its source, so ids repeat."""
     source = I.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_pos"), "source", "text")
-    run = rq.bm25_run(spark, sf, 20).join(source, "doc_pos")
-    return cut_lineage(run.select("query_id", "rank", F.col("source").alias("document_id"), "text"))
+    run = cut_lineage(rq.bm25_run(spark, sf, 20))
+    texts = source.join(joins.bounded(run), "doc_pos")
+    return cut_lineage(texts.select("query_id", "rank", F.col("source").alias("document_id"), "text"))
 
 
 def _source_rows(spark, sf):
@@ -274,7 +277,7 @@ ids AS (
   SELECT doc_id AS doc_pos, source, text, {I.STEM} AS stem,
     'doc-' || {I.STEM} || '-' || substr(sha256('corpus/' || source || '/' || {I.STEM} || '.txt'), 1, 12) AS document_id FROM documents),
 qrels AS (
-  SELECT query_id, stem AS rel_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_pos) AS rel_pos
+  SELECT query_id, stem AS rel_id, doc_pos AS rel_pos
   FROM passages JOIN ids ON contains(ids.text, passages.query)),
 nrel AS (SELECT p.query_id, query, count(rel_id) AS n_rel FROM passages p LEFT JOIN qrels USING (query_id) GROUP BY ALL),
 results AS (SELECT b.query_id, b.rank, i.document_id, i.source, i.stem, i.text FROM bm25 b JOIN ids i USING (doc_pos)),

@@ -34,7 +34,7 @@ def fused_candidates(
     """Route, retrieve, normalise and fuse. One row per fused item and query."""
     hits = rv.region_hits(regions, queries, config.router, use_sql=use_sql)
     hits = cut_lineage(hits)
-    scaled = fu.normalize(hits, ["query_id", "batch"])
+    scaled = fu.normalize(hits, ["query_id", "batch"], few_groups=len(queries) <= rv.BATCH_QUERIES)
     ranked = fu.rank_runs(scaled).withColumn("document_id", F.col("doc_pos").cast("string"))
     if routed_weights:
         routes = rv.routed_queries(regions.sparkSession, queries, config.router).select(

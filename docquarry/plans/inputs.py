@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators import chunk as ck
 from docquarry.operators import segment as sg
+from docquarry.session import spread
 
 # Queries used by the batch retrieval operators: routing phrases and frequent corpus words.
 QUERY_SET = [
@@ -27,8 +27,13 @@ QUERY_SET = [
 ]
 
 
+# Tables whose rows are costly to process.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 _VALUE = """CASE length(w) % 4

@@ -185,7 +185,7 @@ def _hits(spark, sf):
 
 
 def fuse_normalize(spark, sf):
-    out = fu.normalize(_hits(spark, sf), ["query_id", "batch"])
+    out = fu.normalize(_hits(spark, sf), ["query_id", "batch"], few_groups=True)
     return out.select("query_id", "batch", "doc_pos", "region_idx", "score", "nscore")
 
 
@@ -193,7 +193,7 @@ def _runs(spark, sf, keep=None):
     hits = _hits(spark, sf)
     if keep:
         hits = hits.filter(keep)
-    ranked = fu.rank_runs(fu.normalize(hits, ["query_id", "batch"]))
+    ranked = fu.rank_runs(fu.normalize(hits, ["query_id", "batch"], few_groups=True))
     doc = F.col("doc_pos").cast("string")
     return ranked.withColumn("weight", fu.default_weight(F.col("modality"))).withColumn("item_id", hy._item_id(doc))
 

@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-ckpt-")
         )
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan as many partitions as there are cores; a large scan already has more.
+
+    Only planning is triggered. At scale the input has far more splits than cores, so nothing is
+    shuffled; a table of one small file would otherwise run as one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
