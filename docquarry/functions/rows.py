@@ -20,3 +20,12 @@ def unnest(df: DataFrame, keep: list, items: Column, item: str, pos: str = "_pos
     optimizer infers ``size(items) > 0`` and pushes it below, which evaluates ``items`` twice.
     """
     return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
+def present(df: DataFrame, keep: list, value: Column, name: str) -> DataFrame:
+    """Rows whose ``value`` is not NULL, with it as column ``name``.
+
+    A filter on a projected expression is pushed below the projection, which evaluates the
+    expression once to filter and once more to project. Filtering generated rows cannot be pushed.
+    """
+    return unnest(df, keep, F.filter(F.array(value), lambda v: v.isNotNull()), name).drop("_pos")

@@ -40,9 +40,15 @@ def domain_model(domain: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(domain)), F.lit(DOMAIN_MODELS["general"]))
 
 
+_STOP = "|".join(STOPWORDS)
+_INDEX_TOKEN = (
+    f"(?<!{tx.WORD_CHAR})(?!(?:{_STOP})(?!{tx.WORD_CHAR}))({tx.WORD_CHAR}{{{MIN_TOKEN},}})"
+)
+
+
 def index_tokens(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(tx.word_tokens(text, MIN_TOKEN), lambda t: ~F.array_contains(stop, t))
+    """Lower-cased words of two characters and more that are no stopwords, in one matching pass."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_INDEX_TOKEN), F.lit(1))
 
 
 def tokenised(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -100,27 +106,33 @@ def bm25_top_k(
 ) -> DataFrame:
     """Best ``k`` units per query and index; units that share no term with a query are left out.
 
-    ``units``: keys, groups, ``text``; ``queries``: ``query_id, query``. Only tokens some query
-    asks for survive the scan. They are shuffled once, on the unit, which then also serves the
-    (unit, term) counts and the (query, unit) sums; term weights are as small as the queries.
+    ``units``: keys, groups, ``text``; ``queries``: ``query_id, query``. One pass over the texts
+    counts, per unit, the terms some query asks for, and folds every other token into one NULL
+    term that also carries the unit's length into the collection statistics. The fold happens
+    within the map task, so the shuffle holds a few narrow rows per unit. Term weights are as many
+    as the queries' terms and are broadcast when their number allows.
     """
+    keys = [*groups, *unit_keys]
     wanted = cut_lineage(query_terms(queries))
-    vocabulary = joins.bounded(wanted.select("term").distinct())
-    tokens = tokenised(units, [*groups, *unit_keys])
-    stats = collection_stats(tokens, groups)
-    asked = unnest(tokens, [*groups, *unit_keys, "dl"], F.col("tokens"), "term").drop("_pos")
-    tf = (
-        asked.join(vocabulary, "term", "left_semi")
-        .repartition(*groups, *unit_keys)
-        .groupBy(*groups, *unit_keys, "dl", "term")
+    vocabulary = wanted.select("term").distinct().withColumn("_asked", F.lit(True))
+    tokens = tokenised(units, keys)
+    every = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    counted = (
+        unnest(tokens, [*keys, "dl"], every, "term")
+        .drop("_pos")
+        .join(joins.bounded(vocabulary), "term", "left")
+        .select(*keys, "dl", F.when(F.col("_asked"), F.col("term")).alias("term"))
+        .groupBy(*keys, "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
-    tf = cut_lineage(tf)
-    # One row per (index, asked term): bounded by the queries.
+    counted = cut_lineage(counted)
+    stats = collection_stats(counted.filter(F.col("term").isNull()), groups)
+    tf = counted.filter(F.col("term").isNotNull())
+    # One row per (index, asked term, query): bounded by the queries.
     weights = (
         tf.groupBy(*groups, "term")
         .agg(F.count("*").alias("df"))
-        .join(stats, groups)
+        .join(joins.bounded(stats), groups)
         .withColumn("idf", idf(F.col("n_units"), F.col("df")))
         .join(wanted, "term")
         .select(*groups, "term", "query_id", "avgdl", (F.col("idf") * F.col("qtf")).alias("weight"))
@@ -128,9 +140,9 @@ def bm25_top_k(
     scored = (
         tf.join(joins.bounded(weights), [*groups, "term"])
         .withColumn("_s", F.col("weight") * bm25_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
-        .groupBy(*groups, *unit_keys, "query_id")
+        .groupBy(*keys, "query_id")
         .agg(F.sum("_s").alias("_s"))
-        .select(*groups, *unit_keys, "query_id", tx.pyround(F.col("_s"), 4).alias("score"))
+        .select(*keys, "query_id", tx.pyround(F.col("_s"), 4).alias("score"))
         .filter(F.col("score") > 0)
     )
     by = [F.col("score").desc(), *[F.col(c).asc() for c in (order or unit_keys)]]
@@ -247,34 +259,34 @@ def hash_vector(text: Column) -> Column:
     )
 
 
-def encode_records(regions: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def encode_records(regions: DataFrame) -> DataFrame:
     """Index records per path with corpus-wide running numbers.
 
     Text takes titles and bodies, table prefers its Markdown, vision its caption, then its text, then
-    the document title. The running number is an exact distributed rank.
+    the document's title; ``table_markdown``, ``caption`` and ``doc_title`` are optional columns. The
+    running number is an exact distributed rank.
     """
     kind = F.col("type")
-    base = regions.filter(kind.isin("title", "body", "table", "figure"))
-    columns = base.columns
+    columns = regions.columns
 
     def optional(name: str) -> Column:
         return F.nullif(F.col(name), F.lit("")) if name in columns else F.lit(None).cast("string")
 
-    text = F.when(kind == "table", F.coalesce(optional("table_markdown"), F.col("text"), F.lit("")))
-    if titles is not None:
-        base = base.join(titles.select("doc_pos", "title"), "doc_pos")
-        shown = F.concat(F.lit("Figure from "), F.col("title"))
-    else:
-        shown = F.lit("Figure")
-    text = text.when(kind == "figure", F.coalesce(optional("caption"), F.nullif("text", F.lit("")), shown))
-    numbered = ranking.exact_rank(
-        base.withColumn("embed_text", text.otherwise(F.col("text"))), ["modality"], [], out="_n"
+    named = F.concat(F.lit("Figure from "), F.coalesce(optional("doc_title"), F.lit("")))
+    text = (
+        F.when(kind == "table", F.coalesce(optional("table_markdown"), F.col("text"), F.lit("")))
+        .when(kind == "figure", F.coalesce(optional("caption"), F.nullif(F.col("text"), F.lit("")), named))
+        .otherwise(F.col("text"))
+    )
+    base = regions.filter(kind.isin("title", "body", "table", "figure")).select(
+        "doc_pos", "region_idx", "document_id", "type", "modality", text.alias("text")
     )
+    numbered = ranking.exact_rank(base, ["modality"], [], out="_n")
     return numbered.select(
         F.concat_ws("-", "document_id", "type", (F.col("_n") - 1).cast("string")).alias("id"),
         "document_id",
         F.col("type").alias("region_type"),
         "modality",
-        F.col("embed_text").alias("text"),
-        hash_vector(F.col("embed_text")).alias("vector"),
+        "text",
+        hash_vector(F.col("text")).alias("vector"),
     )

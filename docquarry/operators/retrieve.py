@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from docquarry.config import RouterConfig
 from docquarry.functions import text as tx
-from docquarry.functions.rows import let
+from docquarry.functions.rows import let, unnest
 from docquarry.operators import ranking
 from docquarry.operators import route as rt
 from docquarry.operators import tables as tb
-from docquarry.operators import tablesql as ts
 
 BATCH_QUERIES = 256
 
@@ -44,7 +43,7 @@ def _string_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def query_literals(routed: list, vocabulary: bool = True) -> Column:
+def query_literals(routed: list) -> Column:
     """Routed query rows as one literal array of structs."""
     return F.array(
         *[
@@ -176,27 +175,16 @@ def _score_batch(regions: DataFrame, routed: list, use_sql: bool) -> DataFrame:
         _hit(BATCH_SQL, "table", sql_score, number),
     )
     hits = F.filter(F.array(text_hit, table_hit, sql_hit, vision_hit), lambda h: h.isNotNull())
+    found_rows = rows.withColumn("_found", matches(F.col("_low"), F.col("q.terms")))
+    kept = unnest(found_rows, ["q", "_tok", "doc_pos", "region_idx", "type", "body_len", "visual_text"], hits, "h")
+    # Overlap is worked out for hits alone.
     common = F.size(F.array_intersect("q.tokens", "_tok.known"))
     union = F.size("q.tokens") + F.col("_tok.n") - common
     overlap = F.when(
         (F.size("q.tokens") > 0) & (F.col("_tok.n") > 0), common / F.greatest(F.lit(1), union)
     ).otherwise(F.lit(0.0))
-    matched = rows.withColumn("_found", matches(F.col("_low"), F.col("q.terms"))).filter(
-        (F.col("_found") > 0) | F.col("_columns").isNotNull()
-    )
-    return (
-        matched.select(
-            "q.query_id",
-            "doc_pos",
-            "region_idx",
-            "type",
-            "body_len",
-            "visual_text",
-            overlap.alias("jaccard"),
-            F.explode_outer(hits).alias("h"),
-        )
-        .filter(F.col("h").isNotNull())
-        .select("query_id", "doc_pos", "region_idx", "type", "body_len", "visual_text", "jaccard", "h.*")
+    return kept.select(
+        "q.query_id", "doc_pos", "region_idx", "type", "body_len", "visual_text", overlap.alias("jaccard"), "h.*"
     )
 
 
@@ -224,16 +212,10 @@ def region_hits(
 
 
 def ranked_hits(hits: DataFrame) -> DataFrame:
-    """Hits of one path in retrieval order: score descending, then corpus order."""
+    """Hits of one path in retrieval order: score descending, then corpus order. Reads ``hits`` twice."""
     return ranking.exact_rank(hits, ["query_id"], [("score", False)])
 
 
-def sql_match_rows(regions: DataFrame, queries: Queries) -> DataFrame:
-    """Hits of the table-SQL path with the statement that answers each, ranked per query."""
-    hits = region_hits(regions, queries, route_all=True).filter(F.col("batch") == BATCH_SQL)
-    return ranked_hits(hits)
-
-
 def overlap_top_k(units: DataFrame, queries: Queries, k: int = 10, pos: str = "doc_pos") -> DataFrame:
     """Share of distinct query words present in the unit's text, best ``k`` per query.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions import text as tx
-from docquarry.functions.rows import let
+from docquarry.functions.rows import let, present
 from docquarry.operators import tables as tb
 
 # Null markers, aggregate triggers, concepts and year labels of the templates.
@@ -267,7 +267,8 @@ def preview(table: DataFrame, query: str, rows: int = 5) -> DataFrame:
 
 def failure_records(attempts: DataFrame) -> DataFrame:
     """Log rows for failed statements: query, SQL, error, columns and a three-row sample."""
-    return attempts.filter(F.col("error").isNotNull()).select(
+    failed = present(attempts, ["query", "generated_sql", "table"], F.col("error"), "error")
+    return failed.select(
         "query",
         "generated_sql",
         "error",

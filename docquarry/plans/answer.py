@@ -14,6 +14,7 @@ from docquarry.operators import retrieve as rv
 from docquarry.operators import tables as tb
 from docquarry.operators import tablesql as ts
 from docquarry.plans import hybrid as hy
+from docquarry.session import cut_lineage
 
 
 def evidence_lists(best: DataFrame) -> DataFrame:
@@ -26,14 +27,16 @@ def evidence_lists(best: DataFrame) -> DataFrame:
     )
 
 
-def top_table_answers(regions: DataFrame, queries: rv.Queries, config: EngineConfig) -> DataFrame:
+def top_table_answers(
+    hits: DataFrame, regions: DataFrame, queries: rv.Queries, config: EngineConfig
+) -> DataFrame:
     """Per query the best table's statement and its rows, for queries routed to tables."""
-    hits = rv.region_hits(regions, queries, config.router).filter(F.col("batch") == rv.BATCH_SQL)
+    hits = hits.filter(F.col("batch") == rv.BATCH_SQL)
     order = [F.col("score").desc(), F.col("doc_pos").asc(), F.col("region_idx").asc()]
     best = ranking.top_k(hits, ["query_id"], order, 1).select("query_id", "doc_pos", "region_idx")
     asked = rv.routed_queries(regions.sparkSession, queries, config.router).select("query_id", "lowered")
     # One row per query of the batch on both small sides.
-    chosen = best.join(F.broadcast(asked), "query_id")
+    chosen = cut_lineage(best.join(F.broadcast(asked), "query_id"))
     tables = tb.with_region_table(regions.filter(F.col("type") == "table"))
     t = tables.select("doc_pos", "region_idx", "table.columns", "table.rows").join(
         F.broadcast(chosen), ["doc_pos", "region_idx"]
@@ -50,12 +53,13 @@ def top_table_answers(regions: DataFrame, queries: rv.Queries, config: EngineCon
 def answer_queries(regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None) -> DataFrame:
     """One row per query: answer, statement, evidence, citations and attribution."""
     config = config or EngineConfig()
-    evidence = evidence_lists(hy.hybrid_retrieve(regions, queries, config))
+    hits = hy.written_hits(regions, queries, config)
+    evidence = evidence_lists(hy.hybrid_retrieve(regions, queries, config, hits))
     asked = rv.routed_queries(regions.sparkSession, queries, config.router)
     rows = (
         asked.select("query_id", "query")
         .join(evidence, "query_id", "left")
-        .join(top_table_answers(regions, queries, config), "query_id", "left")
+        .join(top_table_answers(hits, regions, queries, config), "query_id", "left")
         .withColumn("evidence", F.coalesce("evidence", F.array().cast(evidence.schema["evidence"].dataType)))
     )
     rows = rows.withColumn("answer", ge.template_answer(F.col("evidence"), F.col("sql_rows")))
@@ -72,7 +76,7 @@ def answer_queries(regions: DataFrame, queries: rv.Queries, config: EngineConfig
 def service_answers(regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None) -> DataFrame:
     """The service wrapper: keyword paths, a second late fusion of the cut list, canned answer."""
     config = config or EngineConfig()
-    best = hy.query_service(regions, queries, config)
+    best = cut_lineage(hy.query_service(regions, queries, config))
     # The cut list is ranked anew per modality by its fused score; it holds a few rows per query.
     ranked = best.withColumnRenamed("rank", "_was")
     order = [F.col("score").desc(), F.col("_was").asc()]

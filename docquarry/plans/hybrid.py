@@ -29,15 +29,13 @@ def _item_id(doc):
 
 
 def fused_candidates(
-    regions: DataFrame, queries: rv.Queries, config: EngineConfig, use_sql: bool, routed_weights: bool
+    hits: DataFrame, queries: rv.Queries, config: EngineConfig, routed_weights: bool
 ) -> DataFrame:
-    """Route, retrieve, normalise and fuse. One row per fused item and query."""
-    hits = rv.region_hits(regions, queries, config.router, use_sql=use_sql)
-    hits = cut_lineage(hits)
+    """Normalise and fuse written hits. One row per fused item and query."""
     scaled = fu.normalize(hits, ["query_id", "batch"], few_groups=len(queries) <= rv.BATCH_QUERIES)
     ranked = fu.rank_runs(scaled).withColumn("document_id", F.col("doc_pos").cast("string"))
     if routed_weights:
-        routes = rv.routed_queries(regions.sparkSession, queries, config.router).select(
+        routes = rv.routed_queries(hits.sparkSession, queries, config.router).select(
             "query_id", F.create_map(*[x for m in rt.MODALITIES for x in (F.lit(m), F.col(f"w_{m}"))]).alias("_w")
         )
         # The query list is the caller's own bounded batch.
@@ -76,7 +74,7 @@ def _with_text(best: DataFrame, regions: DataFrame, k: int) -> DataFrame:
     With a cut there are at most ``k`` rows per query, a bounded side worth broadcasting; without
     one the join is left to the planner.
     """
-    best = best.drop("document_id")
+    best = cut_lineage(best.drop("document_id"))
     side = F.broadcast(best) if k > 0 else best
     texts = regions.select("doc_pos", "region_idx", "document_id", "text")
     out = texts.join(side, ["doc_pos", "region_idx"])
@@ -86,10 +84,21 @@ def _with_text(best: DataFrame, regions: DataFrame, k: int) -> DataFrame:
     )
 
 
-def hybrid_retrieve(regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None) -> DataFrame:
-    """Routed text, table, table-SQL and figure retrieval, fused, with chart evidence, reranked, cut."""
+def written_hits(regions: DataFrame, queries: rv.Queries, config: EngineConfig, use_sql: bool = True) -> DataFrame:
+    """Score every path in one pass and keep the narrow hits."""
+    return cut_lineage(rv.region_hits(regions, queries, config.router, use_sql=use_sql))
+
+
+def hybrid_retrieve(
+    regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None, hits: DataFrame | None = None
+) -> DataFrame:
+    """Routed text, table, table-SQL and figure retrieval, fused, with chart evidence, reranked, cut.
+
+    ``hits`` takes those of ``written_hits`` when the caller needs them as well.
+    """
     config = config or EngineConfig()
-    fused = fused_candidates(regions, queries, config, use_sql=True, routed_weights=True)
+    hits = written_hits(regions, queries, config) if hits is None else hits
+    fused = fused_candidates(hits, queries, config, routed_weights=True)
     copies = F.when(
         (F.col("modality") == "vision") | F.col("visual_text"),
         F.array(F.struct(F.lit(False).alias("c"), F.col("modality").alias("m")), F.struct(F.lit(True).alias("c"), F.lit("vision").alias("m"))),
@@ -104,7 +113,8 @@ def hybrid_retrieve(regions: DataFrame, queries: rv.Queries, config: EngineConfi
 def query_service(regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None) -> DataFrame:
     """The library entry: keyword paths only, default fusion weights, no chart evidence."""
     config = config or EngineConfig()
-    fused = fused_candidates(regions, queries, config, use_sql=False, routed_weights=False)
+    hits = written_hits(regions, queries, config, use_sql=False)
+    fused = fused_candidates(hits, queries, config, routed_weights=False)
     return _with_text(
         _cut(fused.withColumn("from_chart", F.lit(False)), config), regions, config.reranker.final_top_k
     )

@@ -69,7 +69,7 @@ def router_infer(spark, sf):
 
 def _ranked_path(spark, sf, batch):
     hits = rv.region_hits(I.regions(spark, sf), I.QUERY_SET, route_all=True, use_sql=batch == rv.BATCH_SQL)
-    ranked = rv.ranked_hits(hits.filter(F.col("batch") == batch))
+    ranked = rv.ranked_hits(cut_lineage(hits.filter(F.col("batch") == batch)))
     return ranked.select("query_id", "rank", "doc_pos", "region_idx", "score", "item_no")
 
 
@@ -143,8 +143,7 @@ def idx_domain_preset(spark, sf):
 
 
 def idx_encode_records(spark, sf):
-    docs = I.parsed(spark, sf)
-    out = ix.encode_records(sg.explode_regions(docs), sg.document_titles(docs))
+    out = ix.encode_records(I.regions(spark, sf))
     return out.select("id", "document_id", "region_type", "modality", "text", F.size("vector").alias("dims"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
-from docquarry.functions.rows import unnest
+from docquarry.functions.rows import present, unnest
 from docquarry.operators import tables as tb
 from docquarry.operators import tablesql as ts
 from docquarry.plans import inputs as I
@@ -172,15 +172,15 @@ def tbl_markdown_parse(spark, sf):
 
 def sql_parse_pipe_table(spark, sf):
     # A leading text line with a pipe becomes the header here, so only rows of its width survive.
-    parsed = _markdown(spark, sf).select("doc_id", ts.parse_pipe_table(F.col("md")).alias("t"))
-    return parsed.filter("t is not null").select(
+    parsed = present(_markdown(spark, sf), ["doc_id"], ts.parse_pipe_table(F.col("md")), "t")
+    return parsed.select(
         "doc_id", F.array_join("t.columns", SEP).alias("columns"), _joined(F.col("t.rows")).alias("rows")
     )
 
 
 def _as_table(spark, sf):
-    grids = _grids(spark, sf).select("doc_id", tb.table_from_grid(F.col("grid")).alias("t"))
-    return grids.filter("t is not null").select("doc_id", "t.columns", "t.rows")
+    grids = present(_grids(spark, sf), ["doc_id"], tb.table_from_grid(F.col("grid")), "t")
+    return grids.select("doc_id", "t.columns", "t.rows")
 
 
 AS_TABLE = GRIDS + """,
@@ -306,8 +306,8 @@ def sql_full_scan(spark, sf):
 def _planned(spark, sf):
     """Every query against every table region of the corpus, planned inside the region's row."""
     found = I.regions(spark, sf).filter(F.col("type") == "table")
-    t = tb.with_region_table(found).filter("table is not null")
-    t = t.select("document_id", "region_idx", "table.columns", "table.rows")
+    t = present(tb.with_region_table(found), ["document_id", "region_idx"], F.col("table"), "t")
+    t = t.select("document_id", "region_idx", "t.columns", "t.rows")
     t = t.withColumn("types", ts.infer_types(F.col("columns"), F.col("rows")))
     queries = F.array(
         *[F.struct(F.lit(i).alias("query_id"), F.lit(q.lower()).alias("query")) for i, q in I.QUERY_SET]
