@@ -31,18 +31,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder so later branches do not recompute it.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a private one is set only where that
-    setting is absent, as in local tests.
+    It is the cluster's ``spark.checkpoint.dir``; a private one is set only where that setting is
+    absent, as in local tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-ckpt-")
         )
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder so later branches do not recompute it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
