@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docquarry import config as cf
 from docquarry.functions import text as tx
+from docquarry.functions.rows import unnest
+from docquarry.operators import chunk as ck
 from docquarry.operators import fuse as fu
 from docquarry.operators import index as ix
 from docquarry.operators import rank as rk
@@ -13,9 +15,10 @@ from docquarry.operators import ranking
 from docquarry.operators import retrieve as rv
 from docquarry.operators import route as rt
 from docquarry.operators import segment as sg
-from docquarry.functions.rows import unnest
 from docquarry.plans import hybrid as hy
+from docquarry.plans import ingest_queries as iq
 from docquarry.plans import inputs as I
+from docquarry.plans.table_queries import PLANNED
 from docquarry.session import cut_lineage
 
 # --- routing -------------------------------------------------------------------------------------
@@ -249,8 +252,6 @@ def hyb_union_all(spark, sf):
 
 def hyb_parent_expand(spark, sf):
     """Section chunks with their group text as parent."""
-    from docquarry.operators import chunk as ck
-
     chunks = ck.section_chunks(I.titled(spark, sf), size=48, overlap=12)
     out = fu.expand_parent(chunks.select("chunk_id", "text", "parent_text"))
     return out.select("chunk_id", F.length("text").alias("n"), F.length("child_text").alias("child_n"))
@@ -370,8 +371,6 @@ vocab AS (
   FROM (SELECT labels, unnest({_WORDS.format(x='lower(text)')}) AS token FROM labeled),
        (VALUES ('text'), ('table'), ('vision')) m(modality) GROUP BY ALL)"""
 
-from docquarry.plans.table_queries import PLANNED  # noqa: E402
-
 HITS = (
     PLANNED
     + ",\n"
@@ -596,6 +595,11 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
     "hyb_union_all": I.with_(_EVIDENCE)
     + """SELECT document_id, modality, count(*) AS n FROM (SELECT document_id, modality FROM evid
  UNION ALL SELECT document_id, 'vision' FROM charts) GROUP BY ALL""",
+    "hyb_parent_expand": I.with_(iq.SECTIONS, iq._windows("sections", "document_id", 48, 12))
+    + """, c AS (
+  SELECT document_id || '-' || type || '-' || (grp + 1) || '-' || (win + 1) AS chunk_id, length(text) AS parent_n,
+    length('Metadata Header: ' || section || chr(10) || array_to_string(part, ' ')) AS own_n FROM windows)
+SELECT chunk_id, greatest(parent_n, own_n) AS n, CASE WHEN parent_n > own_n THEN own_n END AS child_n FROM c""",
     "rank_fallback": I.with_(PAIRS)
     + f"SELECT conv_id, turn, modality, {I.rnd('j', 6)} AS jaccard, {_pair_rank('turn / 4::DOUBLE')} AS rank_score FROM jac",
     "rank_topk": I.with_(PAIRS)

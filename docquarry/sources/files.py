@@ -81,7 +81,7 @@ def file_text(path: Column, content: Column, converted: Column | None = None) ->
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Supported files of one folder, not below it. File contents are not read."""
+    """Supported files of one folder, not below it. Contents are not read; the source skips empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory)
     return files.select("path", "length").filter(is_supported(F.col("path")))
 
