@@ -114,13 +114,14 @@ def bm25_top_k(
     """
     keys = [*groups, *unit_keys]
     wanted = cut_lineage(query_terms(queries))
+    n_wanted = wanted.count()
     vocabulary = wanted.select("term").distinct().withColumn("_asked", F.lit(True))
     tokens = tokenised(units, keys)
     every = F.concat("tokens", F.array(F.lit(None).cast("string")))
     counted = (
         unnest(tokens, [*keys, "dl"], every, "term")
         .drop("_pos")
-        .join(joins.bounded(vocabulary), "term", "left")
+        .join(joins.hinted(vocabulary, n_wanted), "term", "left")
         .select(*keys, "dl", F.when(F.col("_asked"), F.col("term")).alias("term"))
         .groupBy(*keys, "dl", "term")
         .agg(F.count("*").alias("tf"))
@@ -128,17 +129,18 @@ def bm25_top_k(
     counted = cut_lineage(counted)
     stats = collection_stats(counted.filter(F.col("term").isNull()), groups)
     tf = counted.filter(F.col("term").isNotNull())
-    # One row per (index, asked term, query): bounded by the queries.
+    # At most one row per index and (query, term).
+    n_weights = n_wanted * stats.count()
     weights = (
         tf.groupBy(*groups, "term")
         .agg(F.count("*").alias("df"))
-        .join(joins.bounded(stats), groups)
+        .join(stats, groups)
         .withColumn("idf", idf(F.col("n_units"), F.col("df")))
         .join(wanted, "term")
         .select(*groups, "term", "query_id", "avgdl", (F.col("idf") * F.col("qtf")).alias("weight"))
     )
     scored = (
-        tf.join(joins.bounded(weights), [*groups, "term"])
+        tf.join(joins.hinted(weights, n_weights), [*groups, "term"])
         .withColumn("_s", F.col("weight") * bm25_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
         .groupBy(*keys, "query_id")
         .agg(F.sum("_s").alias("_s"))

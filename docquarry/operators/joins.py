@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def hinted(df: DataFrame, at_most: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of a side already known to have no more than ``at_most`` rows."""
+    return F.broadcast(df) if at_most <= max_rows else df
+
+
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when ``df`` has at most ``max_rows`` rows, else leave a shuffle join to AQE.
 
