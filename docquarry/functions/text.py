@@ -8,16 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docquarry.functions.rows import let
+
 # The characters that count as whitespace, and the subset that ends a line.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_CLASS = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# The same set by Unicode category: separators, and the control characters among them.
+WHITESPACE_CLASS = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+# The line ends that ordinary text does without.
+RARE_LINE_END = r"[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
@@ -33,18 +36,20 @@ def words(col: Column) -> Column:
 
 def lines(col: Column) -> Column:
     """Physical lines. A trailing break leaves one blank line, which no caller distinguishes."""
-    return F.split(col, LINE_BREAK)
+    return let(
+        col, lambda text: F.when(text.rlike(RARE_LINE_END), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
+    )
 
 
 def word_tokens(col: Column, min_len: int = 1) -> Column:
     """Lower-cased runs of word characters at least ``min_len`` long."""
-    return F.regexp_extract_all(F.lower(col), F.lit(f"({WORD_CHAR}{{{min_len},}})"), F.lit(1))
+    return F.regexp_extract_all(F.lower(col), F.lit(f"{WORD_CHAR}{{{min_len},}}"), F.lit(0))
 
 
 def ascii_terms(col: Column) -> Column:
     """Distinct lower-cased runs of ASCII letters and digits."""
     return F.array_distinct(
-        F.transform(F.regexp_extract_all(col, F.lit("([a-zA-Z0-9]+)"), F.lit(1)), F.lower)
+        F.transform(F.regexp_extract_all(col, F.lit("[a-zA-Z0-9]+"), F.lit(0)), F.lower)
     )
 
 

@@ -40,15 +40,9 @@ def domain_model(domain: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(domain)), F.lit(DOMAIN_MODELS["general"]))
 
 
-_STOP = "|".join(STOPWORDS)
-_INDEX_TOKEN = (
-    f"(?<!{tx.WORD_CHAR})(?!(?:{_STOP})(?!{tx.WORD_CHAR}))({tx.WORD_CHAR}{{{MIN_TOKEN},}})"
-)
-
-
 def index_tokens(text: Column) -> Column:
-    """Lower-cased words of two characters and more that are no stopwords, in one matching pass."""
-    return F.regexp_extract_all(F.lower(text), F.lit(_INDEX_TOKEN), F.lit(1))
+    """Lower-cased words of two characters and more that are no stopwords."""
+    return F.filter(tx.word_tokens(text, MIN_TOKEN), lambda t: ~t.isin(STOPWORDS))
 
 
 def tokenised(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -71,9 +71,9 @@ def routed_queries(spark, queries: Queries, config: RouterConfig | None = None)
     return rt.with_routes(base, "query", config)
 
 
-def matches(lowered: Column, terms: Column) -> Column:
-    """How many query terms occur as substrings; repeated terms count repeatedly."""
-    return F.size(F.filter(terms, lambda t: F.contains(lowered, t)))
+def matches(present: Column, terms: Column) -> Column:
+    """How many query terms are among those present in the text; repeated terms count repeatedly."""
+    return F.size(F.filter(terms, lambda t: F.array_contains(present, t)))
 
 
 def keyword_score(region_type: Column, found: Column, n_terms: Column) -> Column:
@@ -132,14 +132,16 @@ def _score_batch(regions: DataFrame, routed: list, use_sql: bool) -> DataFrame:
         body_length(F.col("text")).alias("body_len"),
         F.when(kind == "table", table).alias("_table") if use_sql else F.lit(None).alias("_table"),
     )
+    # Each distinct term is looked for once per region; the text itself ends here, so the rows that
+    # meet the queries hold a few short arrays.
     vocabulary = _string_array(sorted({t for r in routed for t in r["tokens"]}))
     tokens = F.array_distinct(tx.words(F.col("_low")))
     base = base.select(
         "doc_pos",
         "region_idx",
         "type",
-        "_low",
         "body_len",
+        F.filter(vocabulary, lambda t: F.contains(F.col("_low"), t)).alias("_present"),
         let(
             tokens,
             lambda t: F.struct(
@@ -175,7 +177,7 @@ def _score_batch(regions: DataFrame, routed: list, use_sql: bool) -> DataFrame:
         _hit(BATCH_SQL, "table", sql_score, number),
     )
     hits = F.filter(F.array(text_hit, table_hit, sql_hit, vision_hit), lambda h: h.isNotNull())
-    found_rows = rows.withColumn("_found", matches(F.col("_low"), F.col("q.terms")))
+    found_rows = rows.withColumn("_found", matches(F.col("_present"), F.col("q.terms")))
     kept = unnest(found_rows, ["q", "_tok", "doc_pos", "region_idx", "type", "body_len", "visual_text"], hits, "h")
     # Overlap is worked out for hits alone.
     common = F.size(F.array_intersect("q.tokens", "_tok.known"))

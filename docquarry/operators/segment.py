@@ -88,7 +88,7 @@ def _regions_array(stripped: Column) -> Column:
         )
 
     marked = F.array_join(F.transform(stripped, mark), "")
-    blocks = F.array_remove(F.split(marked, _OPEN), "")
+    blocks = F.filter(F.split(marked, _OPEN), lambda b: b != "")
     body = F.transform(
         blocks,
         lambda b: _region(

@@ -127,11 +127,13 @@ def markdown_grid(md: Column) -> Column:
 
 def table_from_grid(grid: Column) -> Column:
     """``STRUCT<columns, rows>`` when the grid has a header and at least one row, else NULL."""
-    return F.when(
-        F.size(grid) >= 2,
-        F.struct(
-            F.get(grid, F.lit(0)).alias("columns"),
-            F.slice(grid, F.lit(2), F.size(grid)).alias("rows"),
+    return let(
+        grid,
+        lambda g: F.when(
+            F.size(g) >= 2,
+            F.struct(
+                F.get(g, F.lit(0)).alias("columns"), F.slice(g, F.lit(2), F.size(g)).alias("rows")
+            ),
         ),
     )
 
