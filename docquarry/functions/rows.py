@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,3 +30,9 @@ def present(df: DataFrame, keep: list, value: Column, name: str) -> DataFrame:
     expression once to filter and once more to project. Filtering generated rows cannot be pushed.
     """
     return unnest(df, keep, F.filter(F.array(value), lambda v: v.isNotNull()), name).drop("_pos")
+
+
+def beside(*frames: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row: a union and a maximum, no join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

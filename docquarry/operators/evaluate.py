@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
-from docquarry.functions.rows import unnest
+from docquarry.functions.rows import beside, unnest
 from docquarry.operators import ranking
 from docquarry.session import cut_lineage
 
@@ -355,7 +355,6 @@ def audit_artifacts(documents: DataFrame, regions: DataFrame, chunks: DataFrame)
         F.min(size).alias("min_chunk_length"),
         F.max(size).alias("max_chunk_length"),
         F.count(F.when(size == 0, 1)).alias("empty_chunks"),
-        F.lit(1).alias("_one"),
     )
     region_row = regions.agg(
         F.count("*").alias("total_regions"),
@@ -363,9 +362,8 @@ def audit_artifacts(documents: DataFrame, regions: DataFrame, chunks: DataFrame)
             "structured_tables_extracted"
         ),
         F.count(F.when(F.col("layout_source") == "ocr", 1)).alias("ocr_fallback_regions"),
-        F.lit(1).alias("_one"),
     )
-    doc_row = documents.agg(F.count("*").alias("total_documents"), F.lit(1).alias("_one"))
+    doc_row = documents.agg(F.count("*").alias("total_documents"))
     quality = tx.pyround(F.lit(1.0) - F.col("empty_chunks") / F.greatest(F.lit(1), "total_chunks"), 4)
     verdict = (
         F.when(F.col("total_chunks") == 0, "EMPTY_CORPUS")
@@ -373,9 +371,7 @@ def audit_artifacts(documents: DataFrame, regions: DataFrame, chunks: DataFrame)
         .otherwise("NEEDS_INGESTION_CLEANUP")
     )
     return (
-        chunk_row.join(region_row, "_one")
-        .join(doc_row, "_one")
-        .drop("_one")
+        beside(chunk_row, region_row, doc_row)
         .withColumn("artifact_quality_score", quality)
         .withColumn("verdict", verdict)
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
+from docquarry.functions.rows import beside
 from docquarry.operators import attribute as at
 from docquarry.operators import benchmark as bm
 from docquarry.operators import evaluate as ev
@@ -155,9 +156,8 @@ def _suite(spark, sf):
     quality = ev.summarize(
         ev.retrieval_metrics(_rows(spark, sf)),
         {"average_recall_at_5": "recall_at_5", "average_ndcg_at_5": "ndcg_at_5", "noise_ratio": "noise_ratio"},
-    ).withColumn("_one", F.lit(1))
-    speed = ev.latency_percentiles(_latency(spark, sf)).select("latency_p90_ms").withColumn("_one", F.lit(1))
-    return quality.join(speed, "_one").drop("_one")
+    )
+    return beside(quality, ev.latency_percentiles(_latency(spark, sf)).select("latency_p90_ms"))
 
 
 def eval_sla_check(spark, sf):
