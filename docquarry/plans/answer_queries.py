@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.functions import text as tx
 from docquarry.functions.rows import unnest
 from docquarry.operators import attribute as at
 from docquarry.operators import export as ex
