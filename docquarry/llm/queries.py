@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, langid, simhash
+from docquarry.llm import bpe, fingerprint, langid, mixing, simhash
 from docquarry.llm.common import table
 
 
@@ -15,6 +15,21 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_fingerprint(spark, sf):
+    found = fingerprint.edited_neighbours(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", F.array_join("sketch", "").alias("fingerprint"),
+        F.array_join("edited_sketch", "").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS = (3.0, 1.0, 2.0), 1.5, 2.0
+
+
+def op4_mixing(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS)
+
+
 def op5_simhash(spark, sf):
     found = simhash.classes(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,6 +49,51 @@ def op9_language(spark, sf):
     return langid.identify(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_bpe, op9_language)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op9_language)}
+
+# Words of a text, as a DuckDB expression.
+_WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+
+_SKETCH = f"""list_sort(list_distinct(list_transform(
+    CASE WHEN len({{w}}) = 0 THEN [] ELSE range(1, greatest(len({{w}}) - {fingerprint.SHINGLE} + 1, 1) + 1) END,
+    lambda i: substr(md5(array_to_string({{w}}[i:i + {fingerprint.SHINGLE - 1}], ' ')), 1, {fingerprint.DIGITS}))))[1:{fingerprint.K}]"""
+
+_LIKENESS = f"""CASE WHEN len({{a}}) + len({{b}}) = 0 THEN 1.0 ELSE
+    len(list_intersect(list_sort(list_distinct(list_concat({{a}}, {{b}})))[1:{fingerprint.K}], list_intersect({{a}}, {{b}})))::DOUBLE
+    / len(list_sort(list_distinct(list_concat({{a}}, {{b}})))[1:{fingerprint.K}]) END"""
+
+OP3_SQL = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents),
+  paired AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next FROM texts WINDOW w AS (ORDER BY doc_id DESC, text)),
+  edits AS (SELECT *, left(text, n_chars - n_chars // 3) || left(next, n_chars // 3) AS edited FROM paired),
+  split AS (SELECT doc_id, n_chars, edited, {_WORDS.format(t="text")} AS a, {_WORDS.format(t="edited")} AS b, {_WORDS.format(t="next")} AS c FROM edits),
+  sketches AS (SELECT doc_id, n_chars, edited, {_SKETCH.format(w="a")} AS fa, {_SKETCH.format(w="b")} AS fb, {_SKETCH.format(w="c")} AS fc FROM split)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(fa, '') AS fingerprint, array_to_string(fb, '') AS edited_fingerprint,
+  {_LIKENESS.format(a="fa", b="fb")} AS near_edited, {_LIKENESS.format(a="fa", b="fc")} AS near_next
+FROM sketches"""
+
+
+def mix_ctes(docs: str) -> str:
+    """CTEs ending in ``mix_plan`` (source, target, whole, cut) and ``sized`` for a table of documents."""
+    w = ", ".join(str(x) for x in MIX_WEIGHTS)
+    return f"""sized AS (SELECT doc_id, source, coalesce(len({_WORDS.format(t="text")}), 0)::BIGINT AS size,
+      md5(coalesce(doc_id::VARCHAR, 'null') || ':{mixing.SEED}') AS place FROM {docs}),
+  sums AS (SELECT source, sum(size)::BIGINT AS source_size,
+      [{w}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(MIX_WEIGHTS)} + 1)::INT]::DOUBLE AS weight FROM sized GROUP BY source),
+  caps AS (SELECT *, {MIX_EPOCHS} * source_size AS cap, {MIX_SHARE} * sum(source_size) OVER () AS total FROM sums),
+  levels AS (SELECT *, (total - coalesce(sum(cap) OVER o, 0)) / sum(weight) OVER r AS level FROM caps
+      WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+             r AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  filled AS (SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM levels)) AS target FROM levels),
+  wholes AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM filled),
+  places AS (SELECT source, place, sum(size) AS n FROM sized GROUP BY ALL),
+  upto AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2 AS so_far FROM places),
+  cuts AS (SELECT w.source, max(place) FILTER (so_far <= target - whole * source_size) AS cut
+      FROM wholes w JOIN upto u ON w.source IS NOT DISTINCT FROM u.source WHERE target > whole * source_size GROUP BY w.source),
+  mix_plan AS (SELECT w.*, coalesce(cut, '') AS cut FROM wholes w LEFT JOIN cuts c ON w.source IS NOT DISTINCT FROM c.source)"""
+
+
+OP4_SQL = f"""WITH {mix_ctes("documents")}
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN place <= cut THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM sized s JOIN mix_plan p ON s.source IS NOT DISTINCT FROM p.source"""
+
+ORACLES: dict[str, str] = {"op3_fingerprint": OP3_SQL, "op4_mixing": OP4_SQL}
