@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, fingerprint, langid, mixing, simhash
+from docquarry.llm import bpe, fingerprint, langid, lm, mixing, simhash, toxicity
 from docquarry.llm.common import table
 
 
@@ -39,6 +39,16 @@ def op6_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), vocabulary())
 
 
+TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
+
+
+def op7_toxicity(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held = langid.fold(F.col("doc_id"), TOXIC_FOLDS) == TOXIC_HELD_OUT
+    model = toxicity.learn(docs, labels.filter(~held))
+    return toxicity.detect(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "offending")
+
+
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
 
 
@@ -49,7 +59,13 @@ def op9_language(spark, sf):
     return langid.identify(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op9_language)}
+def op10_lm(spark, sf):
+    docs = table(spark, sf, "documents")
+    vocab = lm.vocabulary(docs)
+    return lm.score(docs, vocab, lm.train(docs, vocab))
+
+
+QUERIES = {f.__name__: f for f in (op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op9_language, op10_lm)}
 
 # Words of a text, as a DuckDB expression.
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
