@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, fingerprint, langid, lm, mixing, simhash, toxicity
+from docquarry.llm import bpe, embedding, fingerprint, langid, lm, mixing, simhash, toxicity
 from docquarry.llm.common import table
 
 
@@ -15,6 +15,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+COSINE = 0.95
+
+
+def op1_embeddings(spark, sf):
+    return embedding.near_duplicates(table(spark, sf, "embeddings"), COSINE)
+
+
 def op3_fingerprint(spark, sf):
     found = fingerprint.edited_neighbours(table(spark, sf, "documents"))
     return found.select(
@@ -65,7 +72,7 @@ def op10_lm(spark, sf):
     return lm.score(docs, vocab, lm.train(docs, vocab))
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op9_language, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op9_language, op10_lm)}
 
 # Words of a text, as a DuckDB expression.
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
