@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, embedding, fingerprint, langid, lm, mixing, simhash, toxicity
+from docquarry.llm import bpe, embedding, fingerprint, langid, linededup, lm, mixing, simhash, toxicity
 from docquarry.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op1_embeddings(spark, sf):
     return embedding.near_duplicates(table(spark, sf, "embeddings"), COSINE)
 
 
+def op2_line_dedup(spark, sf):
+    found = linededup.removed_lines(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
 def op3_fingerprint(spark, sf):
     found = fingerprint.edited_neighbours(table(spark, sf, "documents"))
     return found.select(
@@ -72,11 +77,37 @@ def op10_lm(spark, sf):
     return lm.score(docs, vocab, lm.train(docs, vocab))
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op9_language, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_line_dedup, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op9_language, op10_lm)}
 
 # Words of a text, as a DuckDB expression.
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def line_ctes(docs: str, t: float = linededup.THRESHOLD) -> str:
+    """CTEs ending in ``worded`` (doc_id, line, first, near) for a table of documents."""
+    return f"""line_rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content,
+      unnest(range(len(string_split(text, chr(10)))))::INT AS line FROM {docs}),
+  line_sets AS (SELECT doc_id, line, list_sort(list_distinct({_WORDS.format(t=_LOWER.format(t="content"))})) AS words FROM line_rows),
+  distinct_sets AS (SELECT words, len(words) AS n, min((doc_id, line)) AS spot FROM line_sets WHERE len(words) > 0 GROUP BY words),
+  set_words AS (SELECT spot, n, unnest(words) AS word FROM distinct_sets),
+  set_ranks AS (SELECT *, row_number() OVER (PARTITION BY spot ORDER BY freq, word) AS place
+      FROM (SELECT *, count(*) OVER (PARTITION BY word) AS freq FROM set_words)),
+  rare AS (SELECT * FROM set_ranks WHERE place <= n - ceil(n * {t} - 1e-9) + 1),
+  set_pairs AS (SELECT DISTINCT x.spot AS x, y.spot AS y FROM rare x JOIN rare y USING (word)
+      WHERE y.spot < x.spot AND least(x.n, y.n) >= {t} * greatest(x.n, y.n) - 1e-9),
+  near AS (SELECT DISTINCT x FROM set_pairs JOIN distinct_sets a ON a.spot = x JOIN distinct_sets b ON b.spot = y
+      WHERE len(list_intersect(a.words, b.words)) * {1 + t} >= (a.n + b.n) * {t} - 1e-9),
+  worded AS (SELECT s.doc_id, s.line, d.spot = (s.doc_id, s.line) AS first, n.x IS NOT NULL AS near
+      FROM line_sets s JOIN distinct_sets d USING (words) LEFT JOIN near n ON n.x = d.spot)"""
+
+
+OP2_SQL = f"""WITH {line_ctes("documents")},
+  removed AS (SELECT doc_id, count(*) AS n, string_agg(line, ',' ORDER BY line) AS list FROM worded WHERE NOT first OR near GROUP BY doc_id)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(list, '') AS removed
+FROM documents LEFT JOIN removed USING (doc_id)"""
+
 _SKETCH = f"""list_sort(list_distinct(list_transform(
     CASE WHEN len({{w}}) = 0 THEN [] ELSE range(1, greatest(len({{w}}) - {fingerprint.SHINGLE} + 1, 1) + 1) END,
     lambda i: substr(md5(array_to_string({{w}}[i:i + {fingerprint.SHINGLE - 1}], ' ')), 1, {fingerprint.DIGITS}))))[1:{fingerprint.K}]"""
@@ -119,4 +150,4 @@ OP4_SQL = f"""WITH {mix_ctes("documents")}
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN place <= cut THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM sized s JOIN mix_plan p ON s.source IS NOT DISTINCT FROM p.source"""
 
-ORACLES: dict[str, str] = {"op3_fingerprint": OP3_SQL, "op4_mixing": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_fingerprint": OP3_SQL, "op4_mixing": OP4_SQL}
