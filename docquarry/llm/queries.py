@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, embedding, fingerprint, langid, linededup, lm, mixing, simhash, toxicity
+from docquarry.llm import bpe, embedding, fingerprint, langid, linededup, lm, mixing, pii, simhash, toxicity
 from docquarry.llm.common import table
 
 
@@ -61,6 +61,17 @@ def op7_toxicity(spark, sf):
     return toxicity.detect(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "offending")
 
 
+def op8_pii(spark, sf):
+    found = pii.detect(table(spark, sf, "documents"))
+
+    def count(rank):
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(rank).alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)]
+    spans = F.sort_array(F.concat("base", "terms"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
 
 
@@ -77,7 +88,7 @@ def op10_lm(spark, sf):
     return lm.score(docs, vocab, lm.train(docs, vocab))
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op2_line_dedup, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op9_language, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_line_dedup, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op8_pii, op9_language, op10_lm)}
 
 # Words of a text, as a DuckDB expression.
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
