@@ -26,7 +26,7 @@ def related(rel_id: Column, document_id: Column) -> Column:
     return F.contains(document_id, rel_id) | F.contains(rel_id, document_id)
 
 
-def judged_results(results: DataFrame, qrels: DataFrame, depth: int = 20) -> DataFrame:
+def judged_results(results: DataFrame, qrels: DataFrame, depth: int) -> DataFrame:
     """Results with ``first_rel``, ``rels`` and ``one_way``; unjudged ones have NULL ``first_rel``.
 
     Results: ``query_id, rank, document_id``; qrels: ``query_id, rel_id, rel_pos``. ``rels`` keeps
@@ -46,10 +46,16 @@ def judged_results(results: DataFrame, qrels: DataFrame, depth: int = 20) -> Dat
 
 
 def query_rows(
-    queries: DataFrame, results: DataFrame, qrels: DataFrame, depth: int = 20
+    queries: DataFrame, results: DataFrame, qrels: DataFrame, depth: int | None = None
 ) -> DataFrame:
-    """One row per query: ``n_rel`` and ``run``, the judged results in rank order."""
-    judged = judged_results(results, qrels, depth)
+    """One row per query: ``n_rel`` and ``run``, the judged results in rank order.
+
+    ``depth`` is the run's last rank, read from the run unless given; a run that is deeper is refused.
+    """
+    deepest = results.agg(F.max("rank")).first()[0] or 1
+    if depth is not None and deepest > depth:
+        raise ValueError(f"the run is {deepest} results deep, more than {depth}")
+    judged = judged_results(results, qrels, deepest)
     entry = F.struct(
         "rank",
         "document_id",

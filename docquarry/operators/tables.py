@@ -56,13 +56,31 @@ def flatten_column_name(path: Column) -> Column:
 
 
 def dedup_columns(names: Column) -> Column:
-    """Second and later uses of a name get ``_2``, ``_3`` and so on."""
+    """Second and later uses of a name get ``_2``, ``_3`` and so on.
 
-    def unique(bound: Column, name: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(bound, F.lit(1), i + 1), lambda n: n == name))
-        return F.when(seen == 1, name).otherwise(F.concat_ws("_", name, seen.cast("string")))
+    Names are sorted with their places once, numbered within each run of equals, and sorted back.
+    """
+    placed = F.sort_array(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("place"))))
+
+    def opens(run: Column, p: Column) -> Column:
+        return (p == 0) | (F.get(run, p - 1)["name"] != F.get(run, p)["name"])
+
+    def numbered(run: Column, starts: Column, start: Column, g: Column) -> Column:
+        last = F.coalesce(F.get(starts, g + 1), F.size(run)) - 1
+
+        def use(p: Column) -> Column:
+            name = F.get(run, p)["name"]
+            unique = F.when(p == start, name).otherwise(F.concat_ws("_", name, (p - start + 1).cast("string")))
+            return F.struct(F.get(run, p)["place"].alias("place"), unique.alias("name"))
+
+        return F.transform(F.sequence(start, last), use)
+
+    def whole(run: Column) -> Column:
+        starts = F.filter(F.transform(run, lambda _, p: F.when(opens(run, p), p)), lambda p: p.isNotNull())
+        groups = let(starts, lambda at: F.transform(at, lambda start, g: numbered(run, at, start, g)))
+        return F.transform(F.sort_array(F.flatten(groups)), lambda u: u["name"])
 
-    return let(names, lambda bound: F.transform(bound, lambda name, i: unique(bound, name, i)))
+    return let(placed, whole)
 
 
 def _unwrapped(value: Column) -> tuple[Column, Column]:

@@ -107,12 +107,16 @@ def ing_page_char_counts(spark, sf):
 
 
 def _page_list(spark, sf):
+    """Every page of every document, as its lines number them."""
+    lines = F.size(F.split("text", "\n"))
     docs = I.corpus(spark, sf).select(
-        sg.document_id(F.col("path")).alias("document_id"), F.length("text").alias("n")
+        sg.document_id(F.col("path")).alias("document_id"),
+        F.length("text").alias("n"),
+        F.greatest(F.floor((lines - 1) / 3) - 1, F.lit(0)).cast("int").alias("last_page"),
     )
     return docs.select(
         "document_id",
-        F.explode(F.sequence(F.lit(0), F.lit(9))).alias("page_no"),
+        F.explode(F.sequence(F.lit(0), F.col("last_page"))).alias("page_no"),
         (F.col("n") % 2 == 0).alias("has_image"),
     )
 
@@ -282,7 +286,7 @@ FROM fig WHERE type = 'figure'""",
     "ing_page_char_counts": I.with_(_FIGURES) + "SELECT * FROM counts",
     "ing_scanned_pages": I.with_(_FIGURES)
     + """SELECT p.document_id, p.page_no, coalesce(n_chars, 0) AS n_chars
-FROM (SELECT document_id, unnest(range(0, 10)) AS page_no FROM corpus WHERE length(text) % 2 = 0) p
+FROM (SELECT document_id, unnest(range(0, greatest((len(string_split(text, chr(10))) - 1) // 3 - 1, 0) + 1)) AS page_no FROM corpus WHERE length(text) % 2 = 0) p
 LEFT JOIN counts c ON c.document_id = p.document_id AND c.page_no = p.page_no
 WHERE coalesce(n_chars, 0) < 200""",
     "ing_html_layout": """WITH m AS (

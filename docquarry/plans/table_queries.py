@@ -59,8 +59,8 @@ def tbl_flatten_column(spark, sf):
 
 def tbl_dedup_columns(spark, sf):
     base = F.transform(F.flatten("grid"), lambda w: F.lower(F.substring(w, 1, 2)))
-    head = _grids(spark, sf).select("doc_id", F.slice(base, 1, 60).alias("base"))
-    return head.select("doc_id", F.array_join(tb.dedup_columns(F.col("base")), "\n").alias("names"))
+    words = _grids(spark, sf).select("doc_id", base.alias("base"))
+    return words.select("doc_id", F.array_join(tb.dedup_columns(F.col("base")), "\n").alias("names"))
 
 
 def _money(spark, sf):
@@ -464,7 +464,7 @@ FROM grids g LEFT JOIN names n ON n.doc_id = g.doc_id GROUP BY g.doc_id""",
     "tbl_dedup_columns": I.with_(GRIDS)
     + """, named AS (
   SELECT doc_id, i, lower(substr(flatten(grid)[i], 1, 2)) AS n
-  FROM grids, LATERAL (SELECT unnest(range(1, least(60, len(flatten(grid))) + 1)) AS i)),
+  FROM grids, LATERAL (SELECT unnest(range(1, len(flatten(grid)) + 1)) AS i)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY i) AS k FROM named)
 SELECT g.doc_id, coalesce(string_agg(CASE WHEN k = 1 THEN n ELSE n || '_' || k END, chr(10) ORDER BY i), '') AS names
 FROM grids g LEFT JOIN numbered x ON x.doc_id = g.doc_id GROUP BY g.doc_id""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +35,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    It is the cluster's ``spark.checkpoint.dir``; a private one is set only where that setting is
-    absent, as in local tests.
+    It is the cluster's ``spark.checkpoint.dir``. A private folder is set only where that setting is
+    absent and all tasks run in this process; on a cluster other machines could not see it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-ckpt-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docquarry-ckpt-"))
     return context.getCheckpointDir()
 
 

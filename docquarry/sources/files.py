@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators import joins, ranking
+from docquarry.operators import ranking
 from docquarry.operators import segment as sg
 from docquarry.session import cut_lineage
 
@@ -81,9 +81,17 @@ def file_text(path: Column, content: Column, converted: Column | None = None) ->
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Supported files of one folder, not below it. Contents are not read; the source skips empty files."""
+    """Supported files of one folder, not below it, empty ones included. Contents are not read.
+
+    The source lists every file but makes no row of an empty one; those are added from its listing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory)
-    return files.select("path", "length").filter(is_supported(F.col("path")))
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "listed string")
+    found = files.select("path", "length")
+    plain = F.regexp_replace(F.url_decode(F.replace(F.col("listed"), F.lit("+"), F.lit("%2B"))), "^([A-Za-z0-9]+):///", "$1:/")
+    names = listed.select(plain.alias("path"))
+    empty = names.join(found.select("path"), "path", "left_anti").withColumn("length", F.lit(0).cast("bigint"))
+    return found.unionByName(empty).filter(is_supported(F.col("path")))
 
 
 def with_positions(files: DataFrame, path: str = "path", out: str = "doc_pos") -> DataFrame:
@@ -103,7 +111,8 @@ def read_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """``doc_pos, path, text`` of a folder of files."""
     order = with_positions(list_files(spark, directory)).select("path", "doc_pos")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory)
-    return raw.join(joins.bounded(order, 2_000_000), "path").select(
-        "doc_pos", "path", file_text(F.col("path"), F.col("content")).alias("text")
+    content = F.coalesce("content", F.lit("").cast("binary"))
+    return order.join(raw.select("path", "content"), "path", "left").select(
+        "doc_pos", "path", file_text(F.col("path"), content).alias("text")
     )
 

@@ -32,10 +32,11 @@ def test_read_corpus(spark, tmp_path):
     write_samples(tmp_path / "in")
     rows = fl.read_corpus(spark, str(tmp_path / "in")).orderBy("doc_pos").collect()
     names = [r.path.split("/")[-1] for r in rows]
-    assert names == ["A.txt", "b.txt", "bad.md", "page.html", "scan.pdf"]
-    assert [r.doc_pos for r in rows] == list(range(5))
+    assert names == ["A.txt", "b.txt", "bad.md", "page.html", "scan.pdf", "empty.docx"]
+    assert [r.doc_pos for r in rows] == list(range(6))
     texts = dict(zip(names, (r.text for r in rows)))
     assert texts["page.html"] == "<p>kept as is</p>" and texts["bad.md"] == "ok  bytes"
+    assert texts["empty.docx"] == ""
     assert texts["scan.pdf"] == "[Extracted from .pdf document] scan.pdf"
 
 
