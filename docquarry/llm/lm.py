@@ -10,6 +10,7 @@ same start, and the results are averaged.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ascii_lower, words
-
 OFFSETS = (-2, -1, 1, 2)
 # Words kept by frequency; the rest share hash buckets. Together CLASSES * MEMBERS outputs.
 CLASSES = MEMBERS = 64
@@ -30,6 +29,8 @@ HIDDEN = 24
 STRIDE, ROUNDS, BATCH, RATE = 4, 2, 2048, 0.15
 BLOCKS = 16
 SCORE_BATCH = 8192
+# Words that a task counts before it hands them on.
+HELD_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -50,11 +51,31 @@ class Vocabulary:
         return np.array([i if (i := get(w)) is not None else first + zlib.crc32(w) % n for w in tokens], np.int32)
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts of a partition, in parts of at most about ``HELD_WORDS`` words."""
+
+    def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
+        words, sums = list(counts), list(counts.values())
+        for at in range(0, len(words), 50_000):
+            part = pa.array(words[at : at + 50_000], pa.binary()), pa.array(sums[at : at + 50_000], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(part), ["word", "n"])
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            counts.update((text.as_py() or b"").lower().split())
+            if len(counts) >= HELD_WORDS:
+                yield from rows(counts)
+                counts = Counter()
+    yield from rows(counts)
+
+
 def vocabulary(docs: DataFrame, text: str = "text", classes: int = CLASSES, members: int = MEMBERS, buckets: int = BUCKETS) -> Vocabulary:
     """The most frequent words of all documents; only as many as the network has outputs reach the driver."""
-    counts = docs.select(F.explode(words(ascii_lower(F.col(text)))).alias("word")).groupBy("word").count()
-    best = counts.orderBy(F.desc("count"), "word").limit(classes * members - buckets).select("word").collect()
-    return Vocabulary({r["word"].encode(): i for i, r in enumerate(best)}, classes, members, buckets)
+    counts = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(_count_words, "word binary, n long")
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    best = counts.orderBy(F.desc("n"), "word").limit(classes * members - buckets).select("word").collect()
+    return Vocabulary({bytes(r["word"]): i for i, r in enumerate(best)}, classes, members, buckets)
 
 
 class Network:
