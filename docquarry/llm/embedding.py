@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import key_runs, saved
 from docquarry.llm.graph import components
+from docquarry.operators.joins import bounded
 
 BLOCK_DIMS = 8
 SEED = 17
 # Rows of a cell's tile; larger cells are compared tile by tile, each pair of tiles a group of its own.
-TILE = 2048
+TILE = 16_384
 # Width of a grid cell in radii: wider cells repeat fewer rows and compare more.
 CELL_RADII = 3.0
 # A rounding error below this keeps no pair from its blocks; the exact check decides.
 SLACK = 1e-9
-ROWS = 512
+ROWS = 256
 
 
 @lru_cache(maxsize=8)
@@ -167,8 +168,8 @@ def near_links(classes: DataFrame, threshold: float, tile: int = TILE, block_dim
     cell = ["dim", "block", "cell"]
     narrow = classes.mapInArrow(lambda it: (b.select([*cell, "own"]) for b in deal(it)), "dim int, block int, cell long, own boolean")
     sizes = narrow.groupBy(*cell).agg(F.count("*").alias("rows"), F.count_if("own").alias("homes")).filter("rows > 1 AND homes > 0")
-    sizes = sizes.withColumn("tiles", F.ceil(F.col("rows") / tile).cast("int")).drop("rows", "homes")
-    rows = dealt.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    sizes = saved(sizes.withColumn("tiles", F.ceil(F.col("rows") / tile).cast("int")).drop("rows", "homes"))
+    rows = dealt.join(bounded(sizes), cell).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     meet = F.expr("transform(sequence(0, tiles - 1), i -> struct(least(i, tile) AS a, greatest(i, tile) AS b))")
     group = [*cell, "a", "b"]
     rows = rows.select(*cell, "own", "node", "n", "vector", "tile", F.inline(meet))
