@@ -20,6 +20,7 @@ from docquarry.functions.rows import let, unnest
 from docquarry.operators import ranking
 from docquarry.operators import route as rt
 from docquarry.operators import tables as tb
+from docquarry.operators import tablesql as ts
 
 BATCH_QUERIES = 256
 
@@ -121,9 +122,21 @@ def _hit(batch: int, modality: str, score: Column, number: Column) -> Column:
     )
 
 
+def _table_faults(table: Column) -> Column:
+    """Whether a table cannot be created or filled, and whether its label column is typed as a number."""
+    return let(
+        ts.infer_types(table["columns"], table["rows"]),
+        lambda types: F.struct(
+            ts.table_error(table["columns"], table["rows"], types).isNotNull().alias("broken"),
+            (F.get(types, F.lit(0)) != ts.VARCHAR).alias("numeric_label"),
+        ),
+    )
+
+
 def _score_batch(regions: DataFrame, routed: list, use_sql: bool) -> DataFrame:
     kind = F.col("type")
     table = tb.table_from_grid(tb.markdown_grid(F.col("text"))) if "table" not in regions.columns else F.col("table")
+    table = ts.region_table(table, F.col("text"))
     base = regions.select(
         "doc_pos",
         "region_idx",
@@ -152,6 +165,7 @@ def _score_batch(regions: DataFrame, routed: list, use_sql: bool) -> DataFrame:
         (
             F.transform("_table.columns", F.lower) if use_sql else F.lit(None).cast("array<string>")
         ).alias("_columns"),
+        (_table_faults(F.col("_table")) if use_sql else F.lit(None)).alias("_faults"),
     )
     rows = base.withColumn("q", F.explode(query_literals(routed)))
     found = F.col("_found")
@@ -169,9 +183,13 @@ def _score_batch(regions: DataFrame, routed: list, use_sql: bool) -> DataFrame:
         (kind == "figure") & use["vision"] & (found > 0),
         _hit(BATCH_VISION, "vision", keyword, F.lit(None).cast("bigint")),
     )
-    sql_score = F.when(
-        F.exists("_columns", lambda c: F.contains(F.col("q.lowered"), c)), F.lit(0.9)
-    ).otherwise(F.lit(0.6))
+    if use_sql:
+        # a statement fails with its table, or when it filters by a label that is no text
+        concept = F.exists(_string_array(ts.CONCEPTS), lambda c: F.contains(F.col("q.lowered"), c))
+        failed = F.coalesce(F.col("_faults.broken") | (F.col("_faults.numeric_label") & concept), F.lit(False))
+    else:
+        failed = F.lit(False)
+    sql_score = ts.match_score(F.col("q.lowered"), F.col("_columns"), failed)
     sql_hit = F.when(
         (kind == "table") & use["table"] & F.col("_columns").isNotNull(),
         _hit(BATCH_SQL, "table", sql_score, number),

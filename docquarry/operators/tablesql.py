@@ -47,6 +47,11 @@ def parse_pipe_table(text: Column) -> Column:
     return let(grid, lambda g: let(as_table(g), lambda t: F.when(F.size(t["rows"]) > 0, t)))
 
 
+def region_table(regions_table: Column, text: Column) -> Column:
+    """The table of a region: its own when extraction gave one, else what its text holds between pipes."""
+    return F.coalesce(regions_table, parse_pipe_table(text))
+
+
 def _typing_text(value: Column) -> Column:
     """What type inference looks at; NULL when the cell says nothing."""
     bare = F.trim(F.regexp_replace(value, "[,$€£%]", ""), F.lit("()"))
@@ -174,53 +179,110 @@ def template_sql(plan: Column) -> Column:
     )
 
 
-def match_score(query: Column, columns: Column) -> Column:
-    """0.6, and 0.3 more when a column name occurs in the lower-cased query."""
-    named = F.exists(columns, lambda c: F.contains(query, F.lower(c)))
-    return F.when(named, F.lit(0.9)).otherwise(F.lit(0.6))
+def column_named(query: Column, columns: Column) -> Column:
+    """Whether a column name occurs in the lower-cased query."""
+    return F.exists(columns, lambda c: F.contains(query, F.lower(c)))
 
 
-def _cell(row: Column, columns: Column, name: Column) -> Column:
-    return F.get(row, (F.array_position(columns, name) - 1).cast("int"))
+def match_score(query: Column, columns: Column, failed: Column | None = None) -> Column:
+    """0.6, and 0.3 more when a column name occurs in the lower-cased query.
 
+    Where the statement failed: 0.6 when a column, "revenue" or "region" does, else 0.2.
+    """
+    named = column_named(query, columns)
+    score = F.when(named, F.lit(0.9)).otherwise(F.lit(0.6))
+    if failed is None:
+        return score
+    weaker = F.when(named | F.contains(query, F.lit("revenue")) | F.contains(query, F.lit("region")), 0.6).otherwise(0.2)
+    return F.when(failed, weaker).otherwise(score)
 
-def template_result(plan: Column, columns: Column, rows: Column, types: Column) -> Column:
-    """Rows the template returns on a nested table, as ``ARRAY<MAP<column, value>>`` of text."""
-    kept = F.filter(
+
+# The ranges of the two numeric types.
+_INTEGER_RANGE, _DECIMAL_END = (-(2.0**31), 2.0**31 - 1), 1e16
+
+
+def _out_of_range(value: Column, sql_type: Column) -> Column:
+    number = sanitize_number(value, sql_type)
+    whole = (sql_type == INTEGER) & ~number.between(*_INTEGER_RANGE)
+    return F.coalesce(whole | ((sql_type == DECIMAL) & (F.abs(number) >= _DECIMAL_END)), F.lit(False))
+
+
+def table_error(columns: Column, rows: Column, types: Column) -> Column:
+    """Why a table cannot be created or filled; NULL when it can."""
+    lowered = F.transform(columns, F.lower)
+    wide = F.exists(
         rows,
-        lambda r: (plan["template"] != "A") | F.contains(F.lower(F.get(r, F.lit(0))), plan["keyword"]),
+        lambda r: F.exists(F.arrays_zip(F.slice(r, F.lit(1), F.size(columns)).alias("v"), types.alias("t")), lambda z: _out_of_range(z["v"], z["t"])),
     )
-    position = (F.array_position(columns, plan["numeric_column"]) - 1).cast("int")
-    total = F.aggregate(
-        rows,
-        F.lit(0).cast("decimal(28,2)"),
-        lambda acc, r: (
-            acc
-            + F.coalesce(
-                sanitize_number(F.get(r, position), F.get(types, position)).cast("decimal(18,2)"),
-                F.lit(0).cast("decimal(18,2)"),
-            )
-        ).cast("decimal(28,2)"),
-        lambda acc: acc.cast("string"),
+    return (
+        F.when(F.size(F.array_distinct(lowered)) < F.size(columns), "repeated column name")
+        .when(F.exists(columns, lambda c: (c == "") | F.contains(c, F.lit('"'))), "column name is no identifier")
+        .when(wide, "number out of range")
     )
-    pair = F.transform(
-        kept,
-        lambda r: F.create_map(
-            plan["label_column"],
-            F.get(r, F.lit(0)),
-            plan["year_column"],
-            _cell(r, columns, plan["year_column"]),
-        ),
+
+
+def statement_error(plan: Column, columns: Column, rows: Column, types: Column) -> Column:
+    """Why the statement of a plan fails; NULL when it runs. Filters need a text label."""
+    numeric_label = (plan["template"] == "A") & (F.get(types, F.lit(0)) != VARCHAR)
+    return F.coalesce(table_error(columns, rows, types), F.when(numeric_label, "label column is no text"))
+
+
+def _record(names: Column, values: Column) -> Column:
+    """Names to values, in order; a repeated name holds its last value."""
+    entries = F.transform(
+        F.array_distinct(names),
+        lambda n: F.struct(n, F.get(values, F.size(names) - F.array_position(F.reverse(names), n).cast("int"))),
     )
-    whole = F.transform(kept, lambda r: F.map_from_arrays(columns, r))
-    narrow = plan["year_column"].isNotNull() & plan["template"].isin("A", "C")
+    return F.map_from_entries(entries)
+
+
+def typed_text(value: Column, sql_type: Column) -> Column:
+    """A cell's typed value as text; NULL for null markers in numeric columns and for missing cells."""
+    number = sanitize_number(value, sql_type)
     return (
-        F.when(plan["template"] == "B", F.array(F.create_map(F.lit("total_sum"), total)))
-        .when(narrow & (plan["label_column"] != plan["year_column"]), pair)
-        .otherwise(whole)
+        F.when(sql_type == INTEGER, number.try_cast("bigint").cast("string"))
+        .when(sql_type == DECIMAL, number.try_cast("decimal(18,2)").cast("string"))
+        .otherwise(tx.strip(value))
     )
 
 
+PREVIEW_ROWS = 5
+
+
+def template_result(plan: Column, columns: Column, rows: Column, types: Column) -> Column:
+    """Rows the template returns on a nested table, as ``ARRAY<MAP<column, value>>`` of typed text.
+
+    Short rows are padded and long ones cut to the header. A statement that fails gives the first
+    rows as they are.
+    """
+    typed = F.transform(rows, lambda r: F.transform(columns, lambda c, i: typed_text(F.get(r, i), F.get(types, i))))
+
+    def of(cells: Column) -> Column:
+        kept = F.filter(
+            cells, lambda r: (plan["template"] != "A") | F.coalesce(F.contains(F.lower(F.get(r, F.lit(0))), plan["keyword"]), F.lit(False))
+        )
+        position = (F.array_position(columns, plan["numeric_column"]) - 1).cast("int")
+        numbers = F.filter(F.transform(cells, lambda r: F.get(r, position)), lambda v: v.isNotNull())
+        zero = F.lit(0).cast("decimal(38,2)")
+        total = F.aggregate(numbers, zero, lambda acc, v: (acc + v.try_cast("decimal(38,2)")).cast("decimal(38,2)"))
+        whole_number = F.get(types, position) == INTEGER
+        total = F.when(F.size(numbers) > 0, F.when(whole_number, total.cast("decimal(38,0)").cast("string")).otherwise(total.cast("string")))
+        at_year = (F.array_position(columns, plan["year_column"]) - 1).cast("int")
+        pair = F.transform(
+            kept, lambda r: _record(F.array(plan["label_column"], plan["year_column"]), F.array(F.get(r, F.lit(0)), F.get(r, at_year)))
+        )
+        narrow = plan["year_column"].isNotNull() & plan["template"].isin("A", "C")
+        return (
+            F.when(plan["template"] == "B", F.array(F.create_map(F.lit("total_sum"), total)))
+            .when(narrow, pair)
+            .otherwise(F.transform(kept, lambda r: _record(columns, r)))
+        )
+
+    shown = F.transform(F.slice(rows, 1, PREVIEW_ROWS), lambda r: _record(F.slice(columns, F.lit(1), F.size(r)), F.slice(r, F.lit(1), F.size(columns))))
+    failed = statement_error(plan, columns, rows, types).isNotNull()
+    return F.when(failed, shown).otherwise(let(typed, of))
+
+
 def typed_rows(cells: DataFrame, columns: list[tuple[str, str]], keys: list[str]) -> DataFrame:
     """Pivot one table's cells to typed columns; short rows get NULL. Groups are single rows."""
     wide = cells.groupBy(*keys).pivot("col_idx", list(range(len(columns)))).agg(F.first("value"))
@@ -231,7 +293,7 @@ def typed_rows(cells: DataFrame, columns: list[tuple[str, str]], keys: list[str]
             out.append(sanitize_text(cell, kind).alias(name))
         else:
             spark_type = "bigint" if sql_type == INTEGER else "decimal(18,2)"
-            out.append(sanitize_number(cell, kind).cast(spark_type).alias(name))
+            out.append(sanitize_number(cell, kind).try_cast(spark_type).alias(name))
     return wide.select(*keys, *out)
 
 
@@ -258,7 +320,7 @@ def answer(table: DataFrame, query: str) -> DataFrame:
     return table.select(col(label), col(year)) if year else table
 
 
-def preview(table: DataFrame, query: str, rows: int = 5) -> DataFrame:
+def preview(table: DataFrame, query: str, rows: int = PREVIEW_ROWS) -> DataFrame:
     """First rows of a table with the weaker fallback score, for tables that cannot be typed."""
     lowered = query.lower()
     named = any(c.lower() in lowered for c in table.columns) or "revenue" in lowered or "region" in lowered

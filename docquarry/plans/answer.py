@@ -38,6 +38,7 @@ def top_table_answers(
     # One row per query of the batch on both small sides.
     chosen = cut_lineage(best.join(F.broadcast(asked), "query_id"))
     tables = tb.with_region_table(regions.filter(F.col("type") == "table"))
+    tables = tables.withColumn("table", ts.region_table(F.col("table"), F.col("text")))
     t = tables.select("doc_pos", "region_idx", "table.columns", "table.rows").join(
         F.broadcast(chosen), ["doc_pos", "region_idx"]
     )

@@ -334,16 +334,51 @@ def sql_match_score(spark, sf):
     )
 
 
+# What real tables hold and neat ones do not, added by the region's number.
+_WIDE, _LONG, _SHORT = ["x", "9" * 20], ["Total", "7", "extra"], ["total sum"]
+
+
+def _strings(values):
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _odd_planned(spark, sf):
+    """Each table region asked one query, in turn; some repeat a column, some have short, long or far too large rows."""
+    found = I.regions(spark, sf).filter(F.col("type") == "table")
+    t = present(tb.with_region_table(found), ["document_id", "region_idx"], F.col("table"), "t")
+    kind, head = F.col("region_idx") % 5, F.get("t.columns", F.lit(0))
+    extra = F.when(kind == 2, F.array(_strings(_SHORT))).when(kind == 3, F.array(_strings(_WIDE))).when(kind == 4, F.array(_strings(_LONG)))
+    t = t.select(
+        "document_id",
+        "region_idx",
+        F.when(kind == 1, F.array(head, F.upper(head))).otherwise(F.col("t.columns")).alias("columns"),
+        F.concat("t.rows", F.coalesce(extra, F.array().cast("array<array<string>>"))).alias("rows"),
+    )
+    t = t.withColumn("types", ts.infer_types(F.col("columns"), F.col("rows")))
+    turn = F.size("rows") % len(I.QUERY_SET)
+    queries = F.array(*[F.struct(F.lit(n).alias("query_id"), F.lit(q.lower()).alias("query")) for n, q in I.QUERY_SET])
+    t = t.withColumn("q", F.get(queries, turn))
+    t = t.withColumn("plan", ts.template_plan(F.col("q.query"), F.col("columns"), F.col("types")))
+    return t.withColumn("error", ts.statement_error(F.col("plan"), F.col("columns"), F.col("rows"), F.col("types")))
+
+
+def _record_text(record):
+    entries = F.transform(F.map_entries(record), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("NULL"))))
+    return F.array_join(entries, SEP)
+
+
 def sql_template_result(spark, sf):
-    p = _planned(spark, sf).filter(F.col("plan.template").isin("A", "B"))
-    result = ts.template_result(F.col("plan"), F.col("columns"), F.col("rows"), F.col("types"))
-    p = p.withColumn("result", result)
+    p = _odd_planned(spark, sf)
+    p = p.withColumn("result", ts.template_result(F.col("plan"), F.col("columns"), F.col("rows"), F.col("types")))
     return p.select(
         "document_id",
         "region_idx",
         "q.query_id",
-        F.size("result").alias("n_rows"),
-        F.try_element_at(F.get("result", F.lit(0)), F.lit("total_sum")).cast("double").alias("total_sum"),
+        "plan.template",
+        "error",
+        ts.match_score(F.col("q.query"), F.col("columns"), F.col("error").isNotNull()).alias("score"),
+        F.size("result").cast("long").alias("n_rows"),
+        F.md5(F.array_join(F.transform("result", _record_text), "\n")).alias("values_md5"),
     )
 
 
@@ -353,12 +388,11 @@ def sql_preview(spark, sf):
 
 
 def sql_failure_log(spark, sf):
-    t = _as_table(spark, sf)
-    width = F.array_max(F.transform("rows", F.size))
-    attempts = t.select(
-        F.col("doc_id").cast("string").alias("query"),
-        F.lit("SELECT * FROM doc_table").alias("generated_sql"),
-        F.when(width > F.size("columns"), F.concat(F.lit("row has "), width.cast("string"), F.lit(" cells"))).alias("error"),
+    """What is logged of the statements that fail, on tables with faults."""
+    attempts = _odd_planned(spark, sf).select(
+        F.col("q.query").alias("query"),
+        ts.template_sql(F.col("plan")).alias("generated_sql"),
+        "error",
         F.struct("columns", "rows").alias("table"),
     )
     out = ts.failure_records(attempts)
@@ -438,6 +472,69 @@ chosen AS (
   SELECT *, CASE WHEN kw IS NOT NULL THEN 'A' WHEN agg AND num IS NOT NULL THEN 'B' WHEN yr IS NOT NULL THEN 'C'
             ELSE 'D' END AS template FROM planned)"""
 
+_NUMBER = """((CASE WHEN trim({v}) LIKE '(%)' THEN -1 ELSE 1 END) * try_cast(regexp_replace({v}, '[$,%€£()]', '', 'g') AS DOUBLE))"""
+_VOID = "({v} IS NULL OR trim({v}) IN ('', '-', '—', 'N/A', 'null', 'None', 'nan'))"
+_TYPED = (
+    "CASE WHEN {t} = 'VARCHAR' THEN trim({v}) WHEN " + _VOID + " THEN NULL WHEN {t} = 'INTEGER' THEN try_cast(trunc("
+    + _NUMBER + ") AS BIGINT)::VARCHAR ELSE try_cast(" + _NUMBER + " AS DECIMAL(18, 2))::VARCHAR END"
+)
+_ENTRY = "{n} || '=' || coalesce({v}, 'NULL')"
+
+
+def _sql_list(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+# Tables with faults, each asked one query: typed, planned, run, and written as text.
+ODD = PLANNED + f""",
+odd_tables AS (
+  SELECT document_id, region_idx, CASE WHEN region_idx % 5 = 1 THEN [cols[1], upper(cols[1])] ELSE cols END AS cols,
+    CASE region_idx % 5 WHEN 2 THEN list_append(rows, {_sql_list(_SHORT)}) WHEN 3 THEN list_append(rows, {_sql_list(_WIDE)})
+      WHEN 4 THEN list_append(rows, {_sql_list(_LONG)}) ELSE rows END AS rows FROM reg_tables),
+odd_cells AS (
+  SELECT document_id, region_idx, j, r[j] AS raw, trim(regexp_replace(r[j], '[,$€£%]', '', 'g'), '()') AS v
+  FROM (SELECT document_id, region_idx, len(cols) AS n, unnest(rows) AS r FROM odd_tables), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),
+odd_types AS (
+  SELECT document_id, region_idx, j, CASE WHEN count(k) = 0 OR bool_and(regexp_full_match(k, '\\d{{4}}(-\\d{{2}}-\\d{{2}})?')) THEN 'VARCHAR'
+    WHEN bool_and(regexp_full_match(k, '-?\\d+')) THEN 'INTEGER'
+    WHEN bool_and(regexp_full_match(k, '-?\\d+\\.?\\d*')) THEN 'DECIMAL(18,2)' ELSE 'VARCHAR' END AS t
+  FROM (SELECT *, CASE WHEN v NOT IN ('', '-', '—', 'N/A', 'null', 'None', 'nan') THEN v END AS k FROM odd_cells) GROUP BY ALL),
+odd_wide AS (
+  SELECT c.document_id, c.region_idx, bool_or(coalesce(NOT {_VOID.format(v="raw")} AND ((t = 'INTEGER' AND
+    (trunc({_NUMBER.format(v="raw")}) < -2147483648 OR trunc({_NUMBER.format(v="raw")}) > 2147483647))
+    OR (t = 'DECIMAL(18,2)' AND abs({_NUMBER.format(v="raw")}) >= 1e16)), false)) AS wide, list(DISTINCT {{'j': c.j, 't': t}} ORDER BY {{'j': c.j, 't': t}}) AS jt
+  FROM odd_cells c JOIN odd_types USING (document_id, region_idx, j) GROUP BY ALL),
+odd_typed AS (
+  SELECT o.document_id, o.region_idx, cols, rows, wide, list_transform(jt, lambda x: x.t) AS types,
+    lower(query) AS q, query_id
+  FROM odd_tables o JOIN odd_wide w ON w.document_id = o.document_id AND w.region_idx = o.region_idx
+  JOIN query_set ON query_id = len(rows) % 10 + 1),
+odd_planned AS (
+  SELECT *, CASE WHEN contains(q, 'total assets') THEN 'total' END AS kw, regexp_matches(q, 'sum|average|avg|max|min') AS agg,
+    list_filter(list_zip(cols, types), lambda z: z[2] <> 'VARCHAR')[1][1] AS num,
+    list_filter(cols, lambda c: regexp_matches(c, '2018|2019|202[0-5]'))[1] AS yr,
+    len(list_filter(cols, lambda c: contains(q, lower(c)))) > 0 AS named,
+    list_transform(rows, lambda r: list_transform(range(1, len(cols) + 1), lambda j: {_TYPED.format(v="r[j]", t="types[j]")})) AS typed_rows
+  FROM odd_typed),
+odd_template AS (
+  SELECT *, CASE WHEN kw IS NOT NULL THEN 'A' WHEN agg AND num IS NOT NULL THEN 'B' WHEN yr IS NOT NULL THEN 'C' ELSE 'D' END AS template
+  FROM odd_planned),
+odd_chosen AS (
+  SELECT *, CASE WHEN len(list_distinct(list_transform(cols, lambda c: lower(c)))) < len(cols) THEN 'repeated column name'
+    WHEN wide THEN 'number out of range' WHEN template = 'A' AND types[1] <> 'VARCHAR' THEN 'label column is no text' END AS error,
+    list_filter(typed_rows, lambda r: template <> 'A' OR coalesce(contains(lower(r[1]), kw), false)) AS kept,
+    list_filter(list_transform(typed_rows, lambda r: r[list_position(cols, num)]), lambda v: v IS NOT NULL) AS nums FROM odd_template),
+odd_shown AS (
+  SELECT *, CASE WHEN error IS NOT NULL THEN list_transform(rows[1:5], lambda r: array_to_string(list_transform(
+        range(1, least(len(cols), len(r)) + 1), lambda j: {_ENTRY.format(n="cols[j]", v="r[j]")}), chr(31)))
+    WHEN template = 'B' THEN ['total_sum=' || coalesce(CASE WHEN types[list_position(cols, num)] = 'INTEGER'
+        THEN list_sum(list_transform(nums, lambda v: v::HUGEINT))::VARCHAR
+        ELSE list_sum(list_transform(nums, lambda v: v::DECIMAL(38, 2)))::DECIMAL(38, 2)::VARCHAR END, 'NULL')]
+    WHEN template IN ('A', 'C') AND yr IS NOT NULL THEN list_transform(kept, lambda r:
+        {_ENTRY.format(n="cols[1]", v="r[1]")} || chr(31) || {_ENTRY.format(n="yr", v="r[list_position(cols, yr)]")})
+    ELSE list_transform(kept, lambda r: array_to_string(list_transform(range(1, len(cols) + 1), lambda j: {_ENTRY.format(n="cols[j]", v="r[j]")}), chr(31))) END AS shown
+  FROM odd_chosen)"""
+
 ORACLES = {
     "tbl_header_hierarchy": I.with_(GRIDS)
     + """, spans AS (
@@ -545,21 +642,16 @@ FROM money JOIN orders USING (o_orderkey)""",
     "sql_match_score": I.with_(PLANNED)
     + """SELECT document_id, region_idx, query_id,
   CASE WHEN len(list_filter(cols, lambda c: contains(q, lower(c)))) > 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS score FROM chosen""",
-    "sql_template_result": I.with_(PLANNED)
-    + """, num_cells AS (
-  SELECT document_id, region_idx, query_id, r[list_position(cols, num)] AS v
-  FROM (SELECT document_id, region_idx, query_id, cols, num, unnest(rows) AS r FROM chosen WHERE template = 'B')),
-sums AS (
-  SELECT document_id, region_idx, query_id, coalesce(sum(CASE WHEN v NOT IN ('', '-', '—', 'N/A', 'null', 'None', 'nan')
-    THEN (CASE WHEN v LIKE '(%' THEN -1 ELSE 1 END) * try_cast(regexp_replace(v, '[$,%()]', '', 'g') AS DOUBLE) END), 0) AS s
-  FROM num_cells GROUP BY ALL)
-SELECT c.document_id, c.region_idx, c.query_id,
-  CASE WHEN template = 'B' THEN 1 ELSE len(list_filter(rows, lambda r: contains(lower(r[1]), 'total'))) END AS n_rows,
-  CASE WHEN template = 'B' THEN round(s, 2) END AS total_sum
-FROM chosen c LEFT JOIN sums s ON s.document_id = c.document_id AND s.region_idx = c.region_idx AND s.query_id = c.query_id
-WHERE template IN ('A', 'B')""",
+    "sql_template_result": I.with_(ODD)
+    + f"""SELECT document_id, region_idx, query_id, template, error,
+  CASE WHEN named THEN CASE WHEN error IS NULL THEN 0.9 ELSE 0.6 END WHEN error IS NULL THEN 0.6
+    WHEN contains(q, 'revenue') OR contains(q, 'region') THEN 0.6 ELSE 0.2 END::DOUBLE AS score,
+  len(shown)::BIGINT AS n_rows, md5(array_to_string(shown, chr(10))) AS values_md5 FROM odd_shown""",
     "sql_preview": "SELECT *, 0.6::DOUBLE AS score FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 5)",
-    "sql_failure_log": I.with_(AS_TABLE)
-    + f"""SELECT doc_id::VARCHAR AS query, 'SELECT * FROM doc_table' AS generated_sql, 'row has ' || n || ' cells' AS error,
-  array_to_string(cols, chr(31)) AS columns, {_JOIN.format(rows='rows[1:3]')} AS sample_rows FROM padded WHERE n > len(cols)""",
+    "sql_failure_log": I.with_(ODD)
+    + f"""SELECT q AS query, CASE WHEN template = 'A' THEN CASE WHEN yr IS NULL THEN 'SELECT *' ELSE 'SELECT "' || cols[1] || '", "' || yr || '"' END
+    || ' FROM doc_table WHERE LOWER("' || cols[1] || '") LIKE ' || chr(39) || '%' || kw || '%' || chr(39)
+   WHEN template = 'B' THEN 'SELECT SUM("' || num || '") AS total_sum FROM doc_table'
+   WHEN template = 'C' THEN 'SELECT "' || cols[1] || '", "' || yr || '" FROM doc_table' ELSE 'SELECT * FROM doc_table' END AS generated_sql,
+  error, array_to_string(cols, chr(31)) AS columns, {_JOIN.format(rows='rows[1:3]')} AS sample_rows FROM odd_chosen WHERE error IS NOT NULL""",
 }
