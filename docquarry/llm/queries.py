@@ -93,14 +93,11 @@ QUERIES = {f.__name__: f for f in (op1_embeddings, op2_line_dedup, op3_fingerpri
 # Words of a text, as a DuckDB expression.
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 
-_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 def line_ctes(docs: str, t: float = linededup.THRESHOLD) -> str:
     """CTEs ending in ``worded`` (doc_id, line, first, near) for a table of documents."""
     return f"""line_rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content,
       unnest(range(len(string_split(text, chr(10)))))::INT AS line FROM {docs}),
-  line_sets AS (SELECT doc_id, line, list_sort(list_distinct({_WORDS.format(t=_LOWER.format(t="content"))})) AS words FROM line_rows),
+  line_sets AS (SELECT doc_id, line, list_sort(list_distinct({_WORDS.format(t="lower(content)")})) AS words FROM line_rows),
   distinct_sets AS (SELECT words, len(words) AS n, min((doc_id, line)) AS spot FROM line_sets WHERE len(words) > 0 GROUP BY words),
   set_words AS (SELECT spot, n, unnest(words) AS word FROM distinct_sets),
   set_ranks AS (SELECT *, row_number() OVER (PARTITION BY spot ORDER BY freq, word) AS place

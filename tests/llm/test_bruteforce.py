@@ -114,7 +114,7 @@ def test_embeddings_match_brute_force(spark, dim, threshold, tile):
 
 def lines_gone(texts):
     """Lines that an earlier line matches: every pair of word sets is compared."""
-    places = [(i, n, frozenset(words(s))) for i, t in sorted(texts.items()) if t is not None for n, s in enumerate(t.split("\n"))]
+    places = [(i, n, frozenset(words(s.lower()))) for i, t in sorted(texts.items()) if t is not None for n, s in enumerate(t.split("\n"))]
     seen, sizes, gone = set(), defaultdict(list), defaultdict(list)
     for i, n, s in places:
         if not s:
