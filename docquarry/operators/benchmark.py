@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
@@ -94,44 +94,62 @@ def suite_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def _runs(words: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` words."""
+    starts = F.sequence(F.lit(1), F.size(words) - size + 1)
+    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " ")))
+    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def _holding_short(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Candidates for passages without inner words: ``query_id, doc_pos``.
+
+    The longest piece of such a passage between spaces lies within one such piece of a text. Distinct
+    pieces of the corpus are joined with it by their character runs, then lead to their documents.
+    """
+    longest = F.get(F.array_sort(F.transform(F.split("query", r"\s+"), lambda w: F.struct(-F.length(w), w.alias("w")))), F.lit(0))["w"]
+    asked = short.select("query_id", longest.alias("_part")).filter("_part <> ''")
+    asked = cut_lineage(asked.withColumn("_gram", F.substring("_part", 1, 3)))
+    pieces = docs.select("doc_pos", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_piece"))
+    grams = F.flatten(
+        F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_piece") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_piece"), i, n)))
+    )
+    known = pieces.select("_piece").distinct().withColumn("_gram", F.explode(F.array_distinct(grams)))
+    held = known.join(joins.bounded(asked), "_gram").filter(F.contains("_piece", F.col("_part"))).select("query_id", "_piece").distinct()
+    return pieces.join(held, "_piece").select("query_id", "doc_pos").distinct()
+
+
 def containing_documents(docs: DataFrame, passages: DataFrame, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """Documents that hold a passage word for word: ``query_id, doc_pos``.
+    """Documents that hold a passage word for word: ``query_id, doc_pos``. Blank passages are in none.
 
-    Inside a passage every word but the first and last is a whole word of the text around it, so a
-    run of inner words must recur in a matching document. Those runs are joined by hash, which
-    keeps passages and documents from being paired with one another, and the few pairs found
-    are then compared in full. Passages of at least three words; shorter inner runs are anchored on
-    their longest word.
+    Inside a passage every word but the first and last is a whole word of the text around it, so its
+    inner words recur in a matching document as a run: all of them, or the first ``anchor``. Runs
+    are joined by hash, which keeps passages and documents from being paired with one another, and the
+    few pairs found are then compared in full. Passages of one or two words have no inner word and
+    are sought by their longest piece.
     """
     inner = passages.select("query_id", "query", tx.words(F.col("query")).alias("_w")).select(
         "query_id", "query", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))).alias("_in")
     )
-    long = F.size("_in") >= anchor
-    longest = F.get(F.array_sort(F.transform("_in", lambda w: F.struct(-F.length(w), w.alias("w")))), F.lit(0))["w"]
-    anchors = inner.filter(F.size("_in") > 0).select(
-        "query_id",
-        F.when(long, F.xxhash64(F.array_join(F.slice("_in", 1, anchor), " "))).otherwise(F.xxhash64(longest)).alias("_h"),
-        long.alias("_long"),
-    )
-    anchors = cut_lineage(anchors)
-    words = docs.select("doc_pos", tx.words(F.col("text")).alias("_w"))
-    runs = F.when(
-        F.size("_w") >= anchor,
-        F.transform(
-            F.sequence(F.lit(1), F.size("_w") - anchor + 1),
-            lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(anchor)), " ")),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    if anchors.filter(~F.col("_long")).limit(1).count():
-        runs = F.concat(runs, F.transform("_w", lambda w: F.xxhash64(w)))
-    hashes = unnest(words, ["doc_pos"], runs, "_h").drop("_pos")
-    found = hashes.join(joins.bounded(anchors.drop("_long")), "_h").select("query_id", "doc_pos").distinct()
-    # Candidates are narrow and few; sized after they are written, they meet the texts by broadcast
-    # when small and by a shuffle otherwise.
-    pairs = cut_lineage(found.join(passages.select("query_id", "query"), "query_id"))
+    inner = cut_lineage(inner.withColumn("_n", F.least(F.size("_in"), F.lit(anchor))))
+    sizes = sorted(r["_n"] for r in inner.select("_n").distinct().collect())  # at most anchor + 1
+    found = []
+    if any(sizes):
+        anchors = inner.filter("_n > 0").select("query_id", F.xxhash64(F.array_join(F.slice("_in", F.lit(1), F.col("_n")), " ")).alias("_h"))
+        words = docs.select("doc_pos", tx.words(F.col("text")).alias("_w"))
+        runs = F.array_distinct(F.concat(*[_runs(F.col("_w"), n) for n in sizes if n]))
+        hashes = unnest(words, ["doc_pos"], runs, "_h").drop("_pos")
+        found.append(hashes.join(joins.bounded(anchors), "_h").select("query_id", "doc_pos").distinct())
+    if 0 in sizes:
+        found.append(_holding_short(docs.select("doc_pos", "text"), inner.filter("_n = 0").select("query_id", "query")))
+    if not found:
+        return docs.select(F.lit(None).cast(passages.schema["query_id"].dataType).alias("query_id"), "doc_pos").limit(0)
+    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    # Candidates are written once: their number decides how they meet the texts.
+    pairs = cut_lineage(pairs.join(passages.select("query_id", "query"), "query_id"))
     return (
         docs.select("doc_pos", "text")
-        .join(joins.bounded(pairs, 20_000), "doc_pos")
+        .join(pairs, "doc_pos")
         .filter(F.contains("text", F.col("query")))
         .select("query_id", "doc_pos")
     )

@@ -12,6 +12,7 @@ from docquarry.operators import evaluate as ev
 from docquarry.operators import index as ix
 from docquarry.operators import ranking
 from docquarry.operators import tables as tb
+from docquarry.operators import tablesql as ts
 
 random.seed(5)
 
@@ -146,3 +147,39 @@ def test_lsh_finds_most_neighbours(spark):
     best = set(np.argsort(-(unit @ unit[0]))[:5].tolist())
     assert len({r.vec_id for r in got} & best) >= 4
     assert all(abs(r.score - float(unit[r.vec_id] @ unit[0])) < 1e-3 for r in got)
+
+
+def test_passages_of_any_length_are_found(spark):
+    docs = spark.createDataFrame([(1, "say hello world now"), (2, "another one, hello worlds"), (3, "x"), (4, "a b c d e f g h i j")], "doc_pos long, text string")
+    asked = ["hello world", "other", "x", "ne, hel", "b c d", "a b c d e f g h i", "", "  ", "missing", "c d e f g h"]
+    passages = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    found = {tuple(r) for r in bm.containing_documents(docs, passages).collect()}
+    texts = {r["doc_pos"]: r["text"] for r in docs.collect()}
+    assert found == {(i, d) for i, q in enumerate(asked) if q.strip() for d, t in texts.items() if q in t}
+
+
+def test_column_names_of_long_headers(spark):
+    names = ["ab", "cd", "ab", "", "ab", ""] + [f"n{i % 700}" for i in range(4000)]
+    found = spark.createDataFrame([(names,)], "names array<string>").select(tb.dedup_columns(F.col("names"))).first()[0]
+    seen, want = {}, []
+    for n in names:
+        seen[n] = seen.get(n, 0) + 1
+        want.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
+    assert found == want
+
+
+def test_statements_that_fail_are_previewed(spark):
+    cases = [
+        (["a", "A"], [["1", "2"]], "show", "repeated column name", 0.2),
+        (["n", "m"], [["x", "9" * 20], ["y", "1"]], "plain words", "number out of range", 0.2),
+        (["n", "amount"], [["x", "(1,008)"], ["y", "$5.50"], ["z"], ["w", "N/A", "more"]], "show amount", None, 0.9),
+    ]
+    frame = spark.createDataFrame([(c[0], c[1], c[2]) for c in cases], "columns array<string>, rows array<array<string>>, query string")
+    c = {n: F.col(n) for n in ("columns", "rows", "query")}
+    types = ts.infer_types(c["columns"], c["rows"])
+    plan = ts.template_plan(c["query"], c["columns"], types)
+    error = ts.statement_error(plan, c["columns"], c["rows"], types)
+    found = frame.select(error.alias("error"), ts.match_score(c["query"], c["columns"], error.isNotNull()).alias("score"), ts.template_result(plan, c["columns"], c["rows"], types).alias("rows")).collect()
+    assert [(r["error"], r["score"]) for r in found] == [(c[3], c[4]) for c in cases]
+    assert [dict(x) for x in found[1]["rows"]] == [{"n": "x", "m": "9" * 20}, {"n": "y", "m": "1"}]
+    assert [x["amount"] for x in found[2]["rows"]] == ["-1008.00", "5.50", None, None]
