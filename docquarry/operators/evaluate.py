@@ -46,31 +46,39 @@ def judged_results(results: DataFrame, qrels: DataFrame, depth: int) -> DataFram
 
 
 def query_rows(
-    queries: DataFrame, results: DataFrame, qrels: DataFrame, depth: int | None = None
+    queries: DataFrame, results: DataFrame, qrels: DataFrame | None = None, depth: int | None = None
 ) -> DataFrame:
     """One row per query: ``n_rel`` and ``run``, the judged results in rank order.
 
-    ``depth`` is the run's last rank, read from the run unless given; a run that is deeper is refused.
+    Metrics that need no relevance take no ``qrels``, those that count no tokens no ``text`` in the
+    results. ``depth`` is the run's last rank, read from the run unless given; a run that is deeper is refused.
     """
     deepest = results.agg(F.max("rank")).first()[0] or 1
     if depth is not None and deepest > depth:
         raise ValueError(f"the run is {deepest} results deep, more than {depth}")
-    judged = judged_results(results, qrels, deepest)
+    if qrels is None:
+        blank = [F.lit(None).cast(t).alias(c) for c, t in (("first_rel", "bigint"), ("one_way", "boolean"), ("rels", "array<bigint>"))]
+        judged = results.select("*", *blank)
+    else:
+        judged = judged_results(results, qrels, deepest)
+    n_tokens = F.size(tx.words(F.col("text"))) if "text" in results.columns else F.lit(None).cast("int")
     entry = F.struct(
         "rank",
         "document_id",
         "first_rel",
         F.coalesce("rels", F.array().cast("array<bigint>")).alias("rels"),
         F.coalesce("one_way", F.lit(False)).alias("one_way"),
-        F.size(tx.words(F.col("text"))).alias("n_tokens"),
+        n_tokens.alias("n_tokens"),
     )
     runs = judged.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("run"))
-    counts = qrels.groupBy("query_id").agg(F.count("*").cast("int").alias("n_rel"))
+    asked = queries.select("query_id").join(runs, "query_id", "left")
+    if qrels is None:
+        asked = asked.withColumn("n_rel", F.lit(0))
+    else:
+        counts = qrels.groupBy("query_id").agg(F.count("*").cast("int").alias("n_rel"))
+        asked = asked.join(counts, "query_id", "left")
     return (
-        queries.select("query_id")
-        .join(runs, "query_id", "left")
-        .join(counts, "query_id", "left")
-        .withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
+        asked.withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
         .withColumn("run", F.coalesce("run", F.array().cast(_run_type(runs))))
         .withColumn("credited", credited_ranks(F.col("run")))
     )
@@ -398,17 +406,15 @@ def ablation(runs: DataFrame, baseline: str = "full") -> DataFrame:
 
 
 def chunk_statistics(chunks: DataFrame, groups: list[str]) -> DataFrame:
-    """Chunk count, mean and variance of length, and share of repeated texts per group."""
-    digest = F.sha2("text", 256)
-    per_text = chunks.groupBy(*groups, digest.alias("_h")).agg(
-        F.count("*").alias("_n"), F.first(F.length("text")).cast("double").alias("_len")
-    )
-    n = F.sum("_n")
-    mean = F.sum(F.col("_n") * F.col("_len")) / n
-    square = F.sum(F.col("_n") * F.col("_len") * F.col("_len")) / n
-    return per_text.groupBy(*groups).agg(
+    """Chunk count, mean and variance of length, and share of repeated texts per group.
+
+    All in one pass; digests combine by (group, digest) before they are counted.
+    """
+    n, length = F.count("*"), F.length("text").cast("double")
+    texts = F.count_distinct(F.coalesce(F.sha2("text", 256), F.lit("")))
+    return chunks.groupBy(*groups).agg(
         n.alias("n_chunks"),
-        tx.pyround(mean, 2).alias("mean_length"),
-        tx.pyround(square - mean * mean, 2).alias("length_variance"),
-        tx.pyround(F.lit(100.0) * (n - F.count("*")) / n, 4).alias("duplicate_pct"),
+        tx.pyround(F.avg(length), 2).alias("mean_length"),
+        tx.pyround(F.var_pop(length), 2).alias("length_variance"),
+        tx.pyround(F.lit(100.0) * (n - texts) / n, 4).alias("duplicate_pct"),
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,37 +160,25 @@ def l2_normalized(vector: Column) -> Column:
     return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
 
 
+# Query vectors scored together against one row.
+QUERY_BLOCK = 64
+
+
 def dense_top_k(
-    vectors: DataFrame,
-    queries: list[tuple[int, list[float]]],
-    k: int = 5,
-    id_col: str = "vec_id",
-    vector: str = "embedding",
-    batch: int = 64,
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK
 ) -> DataFrame:
-    """Exact inner-product search for a bounded batch of query vectors, one pass per batch.
+    """Exact inner-product search for any number of query vectors (``query_id, qv``), in one pass over ``vectors``.
 
-    The batch is a literal of the plan, so the pass is narrow; each task keeps ``k`` rows per query
-    before anything is shuffled.
+    Queries are packed into blocks of about ``block``; a row meets each block once and keeps only ids
+    and scores, and each task keeps ``k`` rows per query before anything is shuffled.
     """
-    base = vectors.select(id_col, as_doubles(F.col(vector)).alias("_v"))
-    passes = []
-    for i in range(0, len(queries), batch):
-        literal = F.array(
-            *[
-                F.struct(
-                    F.lit(qid).cast("bigint").alias("query_id"),
-                    F.lit([float(x) for x in values]).alias("qv"),
-                )
-                for qid, values in queries[i : i + batch]
-            ]
-        )
-        passes.append(
-            base.withColumn("q", F.explode(literal)).select(
-                "q.query_id", id_col, tx.pyround(dot(F.col("q.qv"), F.col("_v")), 4).alias("score")
-            )
-        )
-    scored = reduce(DataFrame.unionByName, passes)
+    asked = cut_lineage(queries.select("query_id", as_doubles(F.col("qv")).alias("qv")))
+    n_blocks = max(1, -(-asked.count() // block))
+    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("_block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("_q"))
+    base = vectors.select(id_col, as_doubles(F.col(vector)).alias("_v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("_block"))
+    met = base.join(packed, "_block")
+    scores = F.transform("_q", lambda q: F.struct(q["query_id"].alias("query_id"), tx.pyround(dot(q["qv"], F.col("_v")), 4).alias("score")))
+    scored = met.select(id_col, F.inline(scores)).select("query_id", id_col, "score")
     return ranking.top_k(scored, ["query_id"], [F.col("score").desc(), F.col(id_col).asc()], k)
 
 
@@ -205,43 +191,54 @@ def label_centroids(vectors: DataFrame, label: str = "label", vector: str = "emb
     return packed.select(label, l2_normalized(F.transform("_d", lambda d: d["x"])).alias("centroid"))
 
 
-def bounded_vectors(df: DataFrame, id_col: str, vector: str, limit: int = 4096) -> list[tuple[int, list[float]]]:
-    """A small query set as a list; refuses one that is not small."""
-    rows = df.select(id_col, vector).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} query vectors: search them in several calls")
-    return [(r[id_col], list(r[vector])) for r in rows]
+# Cells of a dense index: about so many rows in each, as many cells at most, centres fitted to a
+# sample of so many vectors for each cell.
+CELL_ROWS, MAX_CELLS, FIT_ROWS = 64, 4096, 64
 
 
-def lsh_top_k(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    max_distance: float = 1.2,
-    bucket_length: float = 0.8,
-    tables: int = 8,
-    seed: int = 7,
-    id_col: str = "vec_id",
-    vector: str = "embedding",
-) -> DataFrame:
-    """Approximate search: bucketed random projections joined on their hashes, exact score inside.
+def build_cells(vectors: DataFrame, path: str, seed: int = 7, id_col: str = "vec_id", vector: str = "embedding") -> None:
+    """Persist a dense index: every unit vector in the cell of its nearest centre, and the centres.
 
-    On unit vectors Euclidean distance orders like inner product. ``queries``: ``query_id, qv``.
+    Only the centres are fitted on a sample, bounded by the number of cells; all rows are indexed.
+    ``path/vectors`` is laid out by cell, so that a search reads the cells it probes.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    corpus = vectors.select(id_col, array_to_vector(as_doubles(F.col(vector))).alias("features"))
-    asked = queries.select("query_id", array_to_vector(as_doubles(F.col("qv"))).alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(corpus)
-    near = model.approxSimilarityJoin(corpus, asked, max_distance, distCol="distance")
-    scored = near.select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col(f"datasetA.{id_col}").alias(id_col),
-        tx.pyround(F.lit(1.0) - F.col("distance") * F.col("distance") / 2, 4).alias("score"),
+    unit = vectors.select(id_col, l2_normalized(as_doubles(F.col(vector))).alias("v")).filter(F.size("v") > 0)
+    n = unit.count()
+    cells = max(2, min(MAX_CELLS, n // CELL_ROWS))
+    share = min(1.0, cells * FIT_ROWS / max(1, n))
+    picked = unit.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(share * 1e6)).select(array_to_vector("v").alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(picked)
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    spark = vectors.sparkSession
+    spark.createDataFrame(centres, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+    placed = model.transform(unit.withColumn("features", array_to_vector("v"))).select(F.col("prediction").alias("cell"), id_col, "v")
+    placed.repartition("cell").sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+
+
+def cells_top_k(spark, path: str, queries: DataFrame, k: int = 5, probe_share: float = 0.75, id_col: str = "vec_id") -> DataFrame:
+    """Approximate search in a persisted index: the nearest cells of each query, scored exactly.
+
+    A query (``query_id, qv``) probes the ``probe_share`` of the cells nearest to it, and more until
+    they hold ``k`` vectors. Centres are at most ``MAX_CELLS`` rows, so they are ranked per query.
+    """
+    centres = spark.read.parquet(f"{path}/centres")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    counts = vectors.groupBy("cell").agg(F.count("*").alias("n"))
+    asked = cut_lineage(queries.select("query_id", as_doubles(F.col("qv")).alias("qv")))
+    packed = centres.join(counts, "cell").groupBy(F.lit(1).alias("_all")).agg(F.collect_list(F.struct("cell", "centre", "n")).alias("_c"))
+    near = asked.withColumn("_all", F.lit(1)).join(F.broadcast(packed), "_all").select(  # one row of centres
+        "query_id", "qv",
+        F.sort_array(F.transform("_c", lambda c: F.struct((-dot(c["centre"], F.col("qv"))).alias("d"), c["cell"].alias("cell"), c["n"].alias("n")))).alias("_c"),
     )
+    probes = F.greatest(F.ceil(F.size("_c") * F.lit(probe_share)).cast("int"), F.lit(1))
+    before = lambda i: F.aggregate(F.slice("_c", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
+    chosen = F.filter(F.col("_c"), lambda c, i: (i < probes) | (before(i) < k))
+    probed = near.select("query_id", "qv", F.explode(chosen).alias("c")).select("query_id", "qv", "c.cell")
+    met = vectors.join(probed, "cell")
+    scored = met.select("query_id", id_col, tx.pyround(dot(F.col("qv"), F.col("v")), 4).alias("score"))
     return ranking.top_k(scored, ["query_id"], [F.col("score").desc(), F.col(id_col).asc()], k)
 
 

@@ -32,11 +32,11 @@ def _docs(spark, sf):
     return I.corpus_raw(spark, sf).select("doc_pos", sg.document_id(F.col("path")).alias("document_id"), "text")
 
 
-def _results(spark, sf):
-    """Run rows with document ids and texts; the run holds twenty rows per query."""
+def _results(spark, sf, text=True):
+    """Run rows with document ids, and texts where they are asked for; the run holds twenty rows per query."""
     run = cut_lineage(rq.bm25_run(spark, sf, 20))
-    texts = _docs(spark, sf).join(joins.bounded(run), "doc_pos")
-    return cut_lineage(texts.select("query_id", "rank", "document_id", "text"))
+    found = _docs(spark, sf).join(joins.bounded(run), "doc_pos")
+    return cut_lineage(found.select("query_id", "rank", "document_id", *(["text"] if text else [])))
 
 
 def _qrels(spark, sf):
@@ -51,8 +51,8 @@ def _qrels(spark, sf):
     )
 
 
-def _rows(spark, sf):
-    return ev.query_rows(_queries(spark, sf), _results(spark, sf), _qrels(spark, sf))
+def _rows(spark, sf, text=True):
+    return ev.query_rows(_queries(spark, sf), _results(spark, sf, text), _qrels(spark, sf))
 
 
 def eval_qrels(spark, sf):
@@ -60,38 +60,38 @@ def eval_qrels(spark, sf):
 
 
 def eval_recall_precision(spark, sf):
-    m = ev.retrieval_metrics(_rows(spark, sf))
+    m = ev.retrieval_metrics(_rows(spark, sf, text=False))
     return m.select("query_id", *[f"{n}_at_{k}" for k in ev.K_VALUES for n in ("recall", "precision", "hit_rate")])
 
 
 def eval_ndcg(spark, sf):
-    return _rows(spark, sf).select("query_id", *[ev.ndcg_at(k).alias(f"ndcg_at_{k}") for k in ev.K_VALUES])
+    return _rows(spark, sf, text=False).select("query_id", *[ev.ndcg_at(k).alias(f"ndcg_at_{k}") for k in ev.K_VALUES])
 
 
 def eval_mrr(spark, sf):
-    return _rows(spark, sf).select("query_id", ev.mrr().alias("mrr"))
+    return _rows(spark, sf, text=False).select("query_id", ev.mrr().alias("mrr"))
 
 
 def eval_map(spark, sf):
-    return _rows(spark, sf).select("query_id", ev.map_at(10).alias("map_at_10"))
+    return _rows(spark, sf, text=False).select("query_id", ev.map_at(10).alias("map_at_10"))
 
 
 def eval_gold_rank(spark, sf):
-    return _rows(spark, sf).select(
+    return _rows(spark, sf, text=False).select(
         "query_id", ev.avg_gold_rank().alias("avg_gold_rank"), ev.gold_rank_variance().alias("gold_rank_variance")
     )
 
 
 def _by_source(spark, sf):
     """The run with each document known only by its source, so ids repeat."""
-    source = I.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_pos"), "source", "text")
+    source = I.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_pos"), "source")
     run = cut_lineage(rq.bm25_run(spark, sf, 20))
-    texts = source.join(joins.bounded(run), "doc_pos")
-    return cut_lineage(texts.select("query_id", "rank", F.col("source").alias("document_id"), "text"))
+    found = source.join(joins.bounded(run), "doc_pos")
+    return cut_lineage(found.select("query_id", "rank", F.col("source").alias("document_id")))
 
 
 def _source_rows(spark, sf):
-    return ev.query_rows(_queries(spark, sf), _by_source(spark, sf), _qrels(spark, sf))
+    return ev.query_rows(_queries(spark, sf), _by_source(spark, sf))
 
 
 def eval_dup_ratio(spark, sf):
@@ -110,7 +110,8 @@ def eval_context_quality(spark, sf):
 
 
 def eval_cost(spark, sf):
-    return _rows(spark, sf).select("query_id", ev.cost_per_1k(ev.context_tokens()).alias("est_cost_per_1k_queries_usd"))
+    rows = ev.query_rows(_queries(spark, sf), _results(spark, sf))
+    return rows.select("query_id", ev.cost_per_1k(ev.context_tokens()).alias("est_cost_per_1k_queries_usd"))
 
 
 def eval_faithfulness(spark, sf):
@@ -192,7 +193,7 @@ def audit_counts(spark, sf):
 
 def eval_ablation(spark, sf):
     """Recall at five of the run and of runs that lost their head."""
-    results, qrels = _results(spark, sf), _qrels(spark, sf)
+    results, qrels = _results(spark, sf, text=False), _qrels(spark, sf)
     qrels = cut_lineage(qrels)
     runs = None
     for name, lost in (("full", 0), ("no_first", 1), ("no_first_three", 3)):
@@ -205,7 +206,7 @@ def eval_ablation(spark, sf):
 
 
 def bench_suite(spark, sf):
-    m = ev.retrieval_metrics(_rows(spark, sf))
+    m = ev.retrieval_metrics(_rows(spark, sf, text=False))
     return bm.suite_summary(m)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docquarry import config as cf
@@ -19,7 +21,7 @@ from docquarry.plans import hybrid as hy
 from docquarry.plans import ingest_queries as iq
 from docquarry.plans import inputs as I
 from docquarry.plans.table_queries import PLANNED
-from docquarry.session import cut_lineage
+from docquarry.session import checkpoint_folder, cut_lineage
 
 # --- routing -------------------------------------------------------------------------------------
 
@@ -169,14 +171,39 @@ def _centroids(spark, sf):
     return ix.label_centroids(I.table(spark, sf, "embeddings"))
 
 
+def _dense_queries(spark, sf):
+    return cut_lineage(_centroids(spark, sf)).select(F.col("label").alias("query_id"), F.col("centroid").alias("qv"))
+
+
 def ret_dense_topk(spark, sf):
-    queries = ix.bounded_vectors(_centroids(spark, sf), "label", "centroid")
-    return ix.dense_top_k(I.table(spark, sf, "embeddings"), queries, 10)
+    return ix.dense_top_k(I.table(spark, sf, "embeddings"), _dense_queries(spark, sf), 10)
+
+
+def _dense_index(spark, sf):
+    path = f"{checkpoint_folder(spark)}/dense-{uuid.uuid4().hex}"
+    ix.build_cells(I.table(spark, sf, "embeddings"), path)
+    return path
+
+
+def idx_dense_roundtrip(spark, sf):
+    """A persisted dense index read back: every vector is in one cell, of unit length."""
+    back = spark.read.parquet(f"{_dense_index(spark, sf)}/vectors")
+    return back.select("vec_id", F.size("v").alias("dims"), tx.pyround(ix.dot(F.col("v"), F.col("v")), 6).alias("length"))
+
+
+# Least share of the exact top ten that the approximate search has to find.
+RECALL = 0.9
 
 
 def ret_dense_lsh(spark, sf):
-    queries = cut_lineage(_centroids(spark, sf)).select(F.col("label").alias("query_id"), F.col("centroid").alias("qv"))
-    return ix.lsh_top_k(I.table(spark, sf, "embeddings"), queries, 10)
+    """Approximate search of the persisted index beside the exact one: rows per query, and whether recall is enough."""
+    asked = _dense_queries(spark, sf)
+    exact = ix.dense_top_k(I.table(spark, sf, "embeddings"), asked, 10).select("query_id", "vec_id", F.lit(1).alias("exact"))
+    found = ix.cells_top_k(spark, _dense_index(spark, sf), asked, 10).select("query_id", "vec_id", F.lit(1).alias("found"))
+    both = exact.join(found, ["query_id", "vec_id"], "full").groupBy("query_id").agg(
+        F.count("found").alias("n_results"), (F.count(F.col("exact") + F.col("found")) / F.count("exact") >= RECALL).alias("recall_met")
+    )
+    return both.select("query_id", "n_results", "recall_met")
 
 
 # --- fusion --------------------------------------------------------------------------------------
@@ -320,6 +347,7 @@ QUERIES = {
         emb_hash_vector,
         idx_dense_norm,
         ret_dense_topk,
+        idx_dense_roundtrip,
         ret_dense_lsh,
         fuse_normalize,
         fuse_batches,
@@ -578,6 +606,8 @@ SELECT vec_id, dim, {I.rnd('x / sqrt(sum(x * x) OVER (PARTITION BY vec_id))', 6)
   SELECT label AS query_id, vec_id, {I.rnd('list_dot_product(c, e.embedding::DOUBLE[]) / sqrt(list_dot_product(c, c))', 4)} AS score
   FROM cents c, (SELECT vec_id, embedding FROM embeddings) e)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",
+    "idx_dense_roundtrip": "SELECT vec_id, len(embedding) AS dims, 1.0::DOUBLE AS length FROM embeddings",
+    "ret_dense_lsh": "SELECT DISTINCT label AS query_id, 10::BIGINT AS n_results, true AS recall_met FROM embeddings",
     "fuse_normalize": I.with_(HITS) + "SELECT query_id, batch, doc_pos, region_idx, score, nscore FROM normed",
     "fuse_batches": I.with_(HITS)
     + """SELECT query_id, modality, batch, doc_pos, region_idx, nscore, row_number() OVER (PARTITION BY query_id, modality

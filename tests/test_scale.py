@@ -125,28 +125,30 @@ def test_grid_of_one_huge_table(spark):
 
 
 def test_dense_search_equals_brute_force(spark):
-    vectors = [(i, [random.uniform(-1, 1) for _ in range(8)]) for i in range(150)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    query = [random.uniform(-1, 1) for _ in range(8)]
-    got = [(r.vec_id, r.score) for r in ix.dense_top_k(df, [(1, query)], 5).orderBy("rank").collect()]
     import numpy as np
 
-    exact = sorted(((round(float(np.dot(np.float32(v).astype(float), query)), 4), i) for i, v in vectors), key=lambda x: (-x[0], x[1]))
-    assert got == [(i, s) for s, i in exact[:5]]
+    vectors = [(i, [random.uniform(-1, 1) for _ in range(8)]) for i in range(150)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    asked = [(q, [random.uniform(-1, 1) for _ in range(8)]) for q in range(200)]
+    rows = ix.dense_top_k(df, spark.createDataFrame(asked, "query_id long, qv array<double>"), 5).orderBy("query_id", "rank").collect()
+    for q, query in asked:
+        exact = sorted(((round(float(np.dot(np.float32(v).astype(float), query)), 4), i) for i, v in vectors), key=lambda x: (-x[0], x[1]))
+        assert [(r.vec_id, r.score) for r in rows if r.query_id == q] == [(i, s) for s, i in exact[:5]]
 
 
-def test_lsh_finds_most_neighbours(spark):
+def test_cells_find_most_neighbours(spark, tmp_path):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    raw = rng.normal(size=(300, 8))
+    raw = rng.normal(size=(2000, 8))
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<float>")
-    queries = spark.createDataFrame([(1, unit[0].tolist())], "query_id long, qv array<double>")
-    got = ix.lsh_top_k(df, queries, 5).collect()
-    best = set(np.argsort(-(unit @ unit[0]))[:5].tolist())
-    assert len({r.vec_id for r in got} & best) >= 4
-    assert all(abs(r.score - float(unit[r.vec_id] @ unit[0])) < 1e-3 for r in got)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(raw)], "vec_id long, embedding array<float>")
+    ix.build_cells(df, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(i, unit[i].tolist()) for i in range(40)], "query_id long, qv array<double>")
+    got = ix.cells_top_k(spark, str(tmp_path / "index"), queries, 5).collect()
+    assert len(got) == 200 and all(abs(r.score - float(unit[r.vec_id] @ unit[r.query_id])) < 1e-3 for r in got)
+    best = {(q, int(i)) for q in range(40) for i in np.argsort(-(unit @ unit[q]))[:5]}
+    assert len({(r.query_id, r.vec_id) for r in got} & best) >= 0.9 * len(best)
 
 
 def test_passages_of_any_length_are_found(spark):
@@ -171,7 +173,7 @@ def test_column_names_of_long_headers(spark):
 def test_statements_that_fail_are_previewed(spark):
     cases = [
         (["a", "A"], [["1", "2"]], "show", "repeated column name", 0.2),
-        (["n", "m"], [["x", "9" * 20], ["y", "1"]], "plain words", "number out of range", 0.2),
+        (["n", "m"], [["x", "9" * 20], ["y", "1"]], "zzz", "number out of range", 0.2),
         (["n", "amount"], [["x", "(1,008)"], ["y", "$5.50"], ["z"], ["w", "N/A", "more"]], "show amount", None, 0.9),
     ]
     frame = spark.createDataFrame([(c[0], c[1], c[2]) for c in cases], "columns array<string>, rows array<array<string>>, query string")
