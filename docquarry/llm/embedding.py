@@ -31,7 +31,8 @@ TILE = 16_384
 CELL_RADII = 3.0
 # A rounding error below this keeps no pair from its blocks; the exact check decides.
 SLACK = 1e-9
-ROWS = 256
+# Rows compared at once, and the margin of single precision.
+ROWS, COLUMNS, COARSE = 128, 2048, 1e-5
 
 
 @lru_cache(maxsize=8)
@@ -95,15 +96,22 @@ def _found(mine: np.ndarray, others: np.ndarray, block: int, budget: np.ndarray,
     """Verified near pairs of ``mine`` and ``others`` that this block is the first to find, some rows at a time."""
     lo, hi = bounds[block], bounds[block + 1]
     a, b = mine[:, lo:hi], others[:, lo:hi]
-    bb = np.einsum("ij,ij->i", b, b)
-    for at in range(0, len(a), ROWS):
-        x = a[at : at + ROWS]
-        near = np.einsum("ij,ij->i", x, x)[:, None] + bb[None, :] - 2 * (x @ b.T) <= budget[block] + SLACK
-        if same:
-            near &= np.arange(len(b))[None, :] > np.arange(at, at + len(x))[:, None]
+    # 2 a.b - b.b in one product; a coarse sieve in single precision, whose error the margin covers
+    floor = (np.einsum("ij,ij->i", a, a) - budget[block] - COARSE).astype(np.float32)[:, None]
+    left = np.column_stack([a, np.ones(len(a))]).astype(np.float32)
+    right = np.column_stack([2 * b, -np.einsum("ij,ij->i", b, b)]).astype(np.float32).T
+    for at, to in ((r, c) for r in range(0, len(a), ROWS) for c in range(0, len(b), COLUMNS)):
+        if same and to + COLUMNS <= at:
+            continue
+        near = left[at : at + ROWS] @ right[:, to : to + COLUMNS] >= floor[at : at + ROWS]
+        if not near.any():
+            continue
         i, j = np.nonzero(near)
+        i, j = i + at, j + to
+        if same:
+            i, j = i[j > i], j[j > i]
         for s in range(0, len(i), 1 << 16):
-            p, q = i[s : s + (1 << 16)] + at, j[s : s + (1 << 16)]
+            p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
             away = np.add.reduceat((mine[p] - others[q]) ** 2, bounds[:-1], axis=1) <= budget
             first = away[:, block] & ~away[:, :block].any(axis=1)
             p, q = p[first], q[first]
