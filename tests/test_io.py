@@ -112,15 +112,16 @@ def test_adapters_with_stub_models(spark):
 def test_config(tmp_path):
     fast = EngineConfig.load_preset("latency_optimized")
     assert (fast.reranker.final_top_k, fast.attribution.enable_nli, fast.generation.max_context_tokens) == (3, False, 2048)
-    assert EngineConfig.load_preset("quality_max").indexing.hnsw_m == 64
+    assert EngineConfig.load_preset("quality_max").generation.max_context_tokens == 8192
     assert EngineConfig.load_preset("unknown").reranker.final_top_k == 5
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"preset": "quality_max", "retrieval": {"rrf_k": 10, "nope": 1}}))
-    env = {"DOCQUARRY_RERANKER_FINAL_TOP_K": "4", "DOCQUARRY_ENABLE_NLI": "no", "DOCQUARRY_HNSW_M": "x"}
+    env = {"DOCQUARRY_RERANKER_FINAL_TOP_K": "4", "DOCQUARRY_ENABLE_NLI": "no", "DOCQUARRY_SHORT_HEADING_CHAR_THRESHOLD": "x"}
     cfg = EngineConfig.load(str(path), env)
-    assert (cfg.retrieval.rrf_k, cfg.reranker.final_top_k, cfg.attribution.enable_nli, cfg.indexing.hnsw_m) == (10, 4, False, 64)
-    other = cfg.for_query({"final_top_k": 9, "domain": "legal"})
-    assert (other.reranker.final_top_k, other.indexing.domain, cfg.reranker.final_top_k) == (9, "legal", 4)
+    assert (cfg.retrieval.rrf_k, cfg.reranker.final_top_k, cfg.attribution.enable_nli) == (10, 4, False)
+    assert (cfg.reranker.short_heading_char_threshold, cfg.generation.max_context_tokens) == (45, 8192)
+    other = cfg.for_query({"final_top_k": 9, "no_such": "legal"})
+    assert (other.reranker.final_top_k, other.generation.max_context_tokens, cfg.reranker.final_top_k) == (9, 8192, 4)
 
 
 def test_answers_end_to_end(spark, tmp_path):
