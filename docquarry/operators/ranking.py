@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Documents per block are at most 2 ** BLOCK_BITS, whatever the corpus size.
 BLOCK_BITS = 14
+# Blocks per span are at most 2 ** SPAN_BITS.
+SPAN_BITS = 10
 
 
 def _ordering(levels: list[tuple[str, bool]]) -> list[Column]:
@@ -32,24 +34,18 @@ def exact_rank(
     """Add the 1-based rank within ``groups`` by ``levels`` (name, ascending), then ``pos``, then ``ties``.
 
     ``levels`` should hold few distinct values per group (rounded scores do); ``pos`` is an integer
-    corpus position. Counts per piece are combined before their shuffle, and only they meet in one
-    window per group.
+    corpus position. Counts per piece are combined before their shuffle. Their offsets are summed in
+    two steps: over the blocks of a span of ``2 ** SPAN_BITS`` blocks, and over the spans of a group.
     """
     split = df.withColumn("_block", F.shiftright(F.col(pos), block_bits))
     names = [name for name, _ in levels]
-    piece = [*groups, *names, "_block"]
-    before = Window.partitionBy(*groups).orderBy(*_ordering(levels), F.col("_block").asc())
-    offsets = (
-        split.groupBy(*piece)
-        .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_offset",
-            F.coalesce(
-                F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .drop("_n")
-    )
+    piece, span = [*groups, *names, "_block"], [*groups, *names, "_span"]
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = split.groupBy(*piece).agg(F.count("*").alias("_n")).withColumn("_span", F.shiftright("_block", SPAN_BITS))
+    inside = counts.withColumn("_inside", earlier(Window.partitionBy(*span).orderBy("_block"))).drop("_n")
+    spans = counts.groupBy(*span).agg(F.sum("_n").alias("_n"))
+    spans = spans.withColumn("_before", earlier(Window.partitionBy(*groups).orderBy(*_ordering(levels), F.col("_span").asc()))).drop("_n")
+    offsets = inside.join(spans, span).withColumn("_offset", F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_span")
     local = F.row_number().over(Window.partitionBy(*piece).orderBy(pos, *ties))
     return (
         split.withColumn("_local", local)

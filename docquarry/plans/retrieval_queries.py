@@ -72,8 +72,18 @@ def router_infer(spark, sf):
 # --- keyword retrieval ---------------------------------------------------------------------------
 
 
+# Region types that a path looks at.
+_PATH_TYPES = {
+    rv.BATCH_TEXT: ("title", "body", "paragraph"),
+    rv.BATCH_TABLE: ("table",),
+    rv.BATCH_SQL: ("table",),
+    rv.BATCH_VISION: ("figure",),
+}
+
+
 def _ranked_path(spark, sf, batch):
-    hits = rv.region_hits(I.regions(spark, sf), I.QUERY_SET, route_all=True, use_sql=batch == rv.BATCH_SQL)
+    regions = I.regions(spark, sf).filter(F.col("type").isin(*_PATH_TYPES[batch]))
+    hits = rv.region_hits(regions, I.QUERY_SET, route_all=True, use_sql=batch == rv.BATCH_SQL)
     ranked = rv.ranked_hits(cut_lineage(hits.filter(F.col("batch") == batch)))
     return ranked.select("query_id", "rank", "doc_pos", "region_idx", "score", "item_no")
 

@@ -70,6 +70,7 @@ def _money(spark, sf):
     return orders.select(
         "o_orderkey",
         "o_custkey",
+        "o_orderdate",
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("("), amount, F.lit(")")))
         .when(F.col("o_orderpriority").startswith("1"), F.lit("N/A"))
         .when(F.col("o_orderpriority").startswith("2"), F.concat(F.lit("$"), amount))
@@ -222,11 +223,7 @@ def tbl_enrich(spark, sf):
 def _cells(spark, sf):
     """Orders as extracted tables, one per customer, in long form."""
     cells = F.array(F.col("cell"), F.date_format("o_orderdate", "yyyy"), F.col("o_orderkey").cast("string"))
-    money = _money(spark, sf).join(
-        I.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey"
-    )
-    rows = unnest(money, ["o_custkey", "o_orderkey"], cells, "value", "col_idx")
-    return rows
+    return unnest(_money(spark, sf), ["o_custkey", "o_orderkey"], cells, "value", "col_idx")
 
 
 CELLS = MONEY + """,
