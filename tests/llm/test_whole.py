@@ -1,5 +1,7 @@
 """Cases that a shortened operator gets wrong."""
 
+import re
+
 from docquarry.llm import pii
 
 
@@ -8,3 +10,21 @@ def test_ip_parts_of_zeros(spark):
     frame = spark.createDataFrame(list(enumerate(f"at {v} now" for v in values)), "doc_id long, text string")
     found = {r["doc_id"]: [s["value"] for s in r["base"]] for r in pii.detect(frame).collect()}
     assert found == {i: [v] if all(int(p) <= 255 for p in v.split(".")) else [] for i, v in enumerate(values)}
+
+
+def test_terms_anywhere_in_a_document_disclose(spark):
+    far = " ".join(["the weather and rain"] * 20)
+    filler = [(100 + i, f"the weather number w{i} and rain") for i in range(200)]
+    told = [(i, f"Zorblatt wrote {i}a. {far} zed@mail.example.com {far} of zorblatt") for i in range(2)]
+    alone = (7, "a page on ZORBLATT without the address")
+    once = (8, f"Quandle {far} reads q@mail.example.com")
+    frame = spark.createDataFrame([*filler, *told, alone, once], "doc_id long, text string")
+    found = {r["doc_id"]: r["terms"] for r in pii.detect(frame).collect()}
+    for i, text in [*told, alone]:
+        spans = {(s["start"], s["end"]) for s in found[i] if s["value"] == "zorblatt"}
+        assert spans == {(m.start(), m.end()) for m in re.finditer("zorblatt", text, re.I)}
+        assert not {s["value"] for s in found[i]} & {"the", "weather", "and", "rain", "zed"}
+    assert {s["value"] for s in found[8]} == {"quandle", "reads"}
+    assert all(found[i] == [] for i, _ in filler)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame).collect()}
+    assert all("zorblatt" not in clean[i].lower() for i in (0, 1, 7))
