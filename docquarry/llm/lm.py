@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OFFSETS = (-2, -1, 1, 2)
-# Words kept by frequency; the rest share hash buckets. Together CLASSES * MEMBERS outputs.
+# Words kept by frequency; the rest share hash buckets, each by its share of the bucket's count. Together CLASSES * MEMBERS outputs.
 CLASSES = MEMBERS = 64
 BUCKETS = 256
 HIDDEN = 24
-# Every document trains at each STRIDE-th of its positions, in one of ROUNDS rounds.
-STRIDE, ROUNDS, BATCH, RATE = 4, 2, 2048, 0.15
+# Every document trains at each STRIDE-th of its positions (1: all of them), in one of ROUNDS rounds.
+STRIDE, ROUNDS, BATCH, RATE = 1, 2, 2048, 0.15
 BLOCKS = 16
 SCORE_BATCH = 8192
 # Words that a task counts before it hands them on.

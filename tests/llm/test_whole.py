@@ -1,8 +1,11 @@
 """Cases that a shortened operator gets wrong."""
 
+import random
 import re
 
-from docquarry.llm import pii
+import numpy as np
+
+from docquarry.llm import lm, pii
 
 
 def test_ip_parts_of_zeros(spark):
@@ -28,3 +31,16 @@ def test_terms_anywhere_in_a_document_disclose(spark):
     assert all(found[i] == [] for i, _ in filler)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame).collect()}
     assert all("zorblatt" not in clean[i].lower() for i in (0, 1, 7))
+
+
+def test_lm_trains_at_every_position_as_registered(spark):
+    texts = [np.arange(n, dtype=np.int32) % 7 for n in (1, 2, 3, 50)]
+    net = lm.Network(lm.Vocabulary({}, classes=2, members=8, buckets=2), hidden=3)
+    assert sum(len(target) for _, target in lm._batches(iter(texts), net, lm.BATCH, lm.STRIDE)) == 56
+    rng = random.Random(2)
+    sentence = "one two three four five six seven eight".split()
+    rows = [(i, " ".join(sentence * 60) if i < 60 else " ".join(rng.sample(sentence * 60, 480))) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    vocab = lm.vocabulary(frame)
+    scores = {r["doc_id"]: r["mean_log_prob"] for r in lm.score(frame, vocab, lm.train(frame, vocab)).collect()}
+    assert min(scores[i] for i in range(60)) > max(scores[i] for i in range(60, 80))
