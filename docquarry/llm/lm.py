@@ -3,6 +3,8 @@
 A small network predicts every word from the words at both sides. A document's score sums the log
 probability of each of its words given the others around it. Output words are grouped in classes, so
 that a probability is that of the class times that of the word within it, and sums to one exactly.
+Words outside the vocabulary share outputs by hash; each has its share of the output's count in the
+whole corpus, from a table of counts that grows with it and stays on Spark.
 The network is trained in numpy, data-parallel: every partition trains on its own documents from the
 same start, and the results are averaged.
 """
@@ -20,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import saved
+
 OFFSETS = (-2, -1, 1, 2)
 # Words kept by frequency; the rest share hash buckets, each by its share of the bucket's count. Together CLASSES * MEMBERS outputs.
 CLASSES = MEMBERS = 64
@@ -46,9 +50,16 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Output ids of the words of a text."""
-        tokens = (text or "").encode().lower().split()  # bytes: A-Z and ASCII spaces only
         first, get, n = self.size - self.buckets, self.ids.get, self.buckets
-        return np.array([i if (i := get(w)) is not None else first + zlib.crc32(w) % n for w in tokens], np.int32)
+        return np.array([i if (i := get(w)) is not None else first + zlib.crc32(w) % n for w in _tokens(text)], np.int32)
+
+    def rare(self, text: str | None) -> Counter:
+        """Counts of the words of a text that share hash buckets."""
+        return Counter(w for w in _tokens(text) if w not in self.ids)
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: A-Z and ASCII spaces only
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,10 +81,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(counts)
 
 
-def vocabulary(docs: DataFrame, text: str = "text", classes: int = CLASSES, members: int = MEMBERS, buckets: int = BUCKETS) -> Vocabulary:
-    """The most frequent words of all documents; only as many as the network has outputs reach the driver."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word, n`` of every word of all documents."""
     counts = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(_count_words, "word binary, n long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(
+    docs: DataFrame, text: str = "text", classes: int = CLASSES, members: int = MEMBERS, buckets: int = BUCKETS, counts: DataFrame | None = None
+) -> Vocabulary:
+    """The most frequent words of all documents; only as many as the network has outputs reach the driver.
+
+    ``counts`` may hold their ``word_counts``.
+    """
+    counts = word_counts(docs, text) if counts is None else counts
     best = counts.orderBy(F.desc("n"), "word").limit(classes * members - buckets).select("word").collect()
     return Vocabulary({bytes(r["word"]): i for i, r in enumerate(best)}, classes, members, buckets)
 
@@ -236,29 +257,45 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "do
     return net
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text", key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_prob`` for every row, over all words of its text.
 
-    Null, empty and wordless texts have 0 words, sum 0 and a null mean. Repeated rows and null ids
-    come back as they are.
+    A word outside the vocabulary has the probability of its bucket times its share of the bucket's
+    count in ``counts``, the ``word_counts`` of the corpus; where they are not given, of ``docs``. A word
+    that they lack has the share of a word seen once. Null, empty and wordless texts have 0 words, sum 0
+    and a null mean. Repeated rows and null ids come back as they are.
     """
-    flat = docs.sparkSession.sparkContext.broadcast(net.flat)
+    spark = docs.sparkSession
+    known = spark.createDataFrame([(w,) for w in vocab.ids], "word binary")  # no more than the network's outputs
+    rare = saved((word_counts(docs, text) if counts is None else counts).join(F.broadcast(known), "word", "left_anti"))
+    totals = np.zeros(vocab.size)
+    for row in rare.groupBy(F.pmod(F.crc32("word"), F.lit(vocab.buckets)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[vocab.size - vocab.buckets + row["bucket"]] = np.log(row["n"])
+    flat = spark.sparkContext.broadcast(net.flat)
     hidden = net.shapes["b"][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(vocab, hidden, flat.value)
         for batch in batches:
-            texts = [vocab.encode(x) for x in batch["text"].to_pylist()]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            logs = [own.log_probs(c, t) for c, t in _batches(iter(texts), own, SCORE_BATCH)]
+            texts = batch["text"].to_pylist()
+            coded = [vocab.encode(x) for x in texts]
+            sizes = np.array([len(t) for t in coded], np.int64)
+            logs = [own.log_probs(c, t) - totals[t] for c, t in _batches(iter(coded), own, SCORE_BATCH)]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             sums = np.bincount(owner, np.concatenate(logs) if logs else None, len(sizes)) if len(owner) else np.zeros(len(sizes))
-            means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())]
+            words = pa.array([list(vocab.rare(x).items()) for x in texts], pa.map_(pa.binary(), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes), pa.array(sums.astype(float)), pa.array(means, pa.float64())],
-                ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"],
+                [batch["doc_id"], pa.array(sizes), pa.array(sums.astype(float)), words], ["doc_id", "n_tokens", "log_sum", "rare"],
             )
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_prob double")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_sum double, rare map<binary,bigint>")
+    # written down, as rows are told apart by a number of this run
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    # words seen once add log 1
+    more = rows.select("row", F.explode("rare").alias("word", "times")).join(rare.filter("n > 1"), "word")
+    more = more.groupBy("row").agg(F.sum((F.col("times") * F.log(F.col("n").cast("double"))).cast("decimal(38,12)")).cast("double").alias("log_rare"))
+    total = F.col("log_sum") + F.coalesce("log_rare", F.lit(0.0))
+    found = rows.select("row", "doc_id", "n_tokens", "log_sum").join(more, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, embedding, fingerprint, langid, linededup, lm, mixing, pii, simhash, toxicity
-from docquarry.llm.common import table
+from docquarry.llm.common import saved, table
 
 
 def vocabulary() -> str:
@@ -84,8 +84,9 @@ def op9_language(spark, sf):
 
 def op10_lm(spark, sf):
     docs = table(spark, sf, "documents")
-    vocab = lm.vocabulary(docs)
-    return lm.score(docs, vocab, lm.train(docs, vocab))
+    counts = saved(lm.word_counts(docs))
+    vocab = lm.vocabulary(docs, counts=counts)
+    return lm.score(docs, vocab, lm.train(docs, vocab), counts=counts)
 
 
 QUERIES = {f.__name__: f for f in (op1_embeddings, op2_line_dedup, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op8_pii, op9_language, op10_lm)}

@@ -44,3 +44,20 @@ def test_lm_trains_at_every_position_as_registered(spark):
     vocab = lm.vocabulary(frame)
     scores = {r["doc_id"]: r["mean_log_prob"] for r in lm.score(frame, vocab, lm.train(frame, vocab)).collect()}
     assert min(scores[i] for i in range(60)) > max(scores[i] for i in range(60, 80))
+
+
+def test_lm_tells_rare_words_of_a_bucket_apart(spark):
+    seen = {"rareone": 1, "raretwo": 6, "rarefew": 3}
+    rows = [(i, f"the one {w} of the two") for i, w in enumerate(w for w, n in seen.items() for _ in range(n))]
+    frame = spark.createDataFrame([*rows, (None, "the"), (90, None)], "doc_id long, text string")
+    vocab = lm.vocabulary(frame, classes=1, members=5, buckets=1)
+    assert set(vocab.ids) == {b"the", b"one", b"of", b"two"}
+    net = lm.train(frame, vocab, hidden=4)
+    found = {r["doc_id"]: r for r in lm.score(frame, vocab, net).collect()}
+    text = dict(rows)
+    sums = {text[i].split()[2]: found[i]["log_likelihood"] for i in text}
+    assert np.isclose(sums["raretwo"] - sums["rareone"], np.log(6)) and np.isclose(sums["rarefew"] - sums["rareone"], np.log(3))
+    ids = vocab.encode(text[0])
+    plain = net.log_probs(net.windows(ids), ids).sum()
+    assert np.isclose(sums["rareone"], plain + np.log(1 / 10), atol=1e-4)
+    assert found[None]["n_tokens"] == 1 and tuple(found[90]) == (90, 0, 0.0, None)
