@@ -9,6 +9,7 @@ queries. Trees meet their queries by a shuffle: no fingerprint goes through the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import key_runs, saved
 from docquarry.llm.graph import components
+from docquarry.operators.joins import bounded
 
 SEED = 42
 WIDTH = 64
@@ -26,24 +28,32 @@ WIDTH = 64
 SHARD_ROWS = 4096
 # Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+EPS = 1e-9
 
 
-def fingerprint(text: bytes | None, size: int = 3) -> int:
-    """Unsigned SimHash of the ``size``-word shingles of a UTF-8 text, repeats included."""
+def shingles(text: bytes | None, size: int = 3) -> Iterator[np.ndarray]:
+    """Hashes of the ``size``-word shingles of a UTF-8 text in order, at most ``CHUNK`` at a time; a shorter text is one shingle."""
     parts = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII spaces only
     if not parts:
-        return 0
+        return
     whole = b" ".join(parts)
     ends = np.cumsum([len(w) + 1 for w in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends.tolist()
     step = min(size, len(parts)) - 1
     hash64 = xxhash.xxh64_intdigest
-    ones, n = np.zeros(WIDTH, np.int64), len(parts) - step
+    n = len(parts) - step
     for at in range(0, n, CHUNK):
         to = min(at + CHUNK, n)
         spans = zip(starts[at:to], ends[at + step : to + step])
-        codes = np.fromiter((hash64(whole[s:e], SEED) for s, e in spans), np.uint64, to - at)
+        yield np.fromiter((hash64(whole[s:e], SEED) for s, e in spans), np.uint64, to - at)
+
+
+def fingerprint(text: bytes | None, size: int = 3) -> int:
+    """Unsigned SimHash of the ``size``-word shingles of a UTF-8 text, repeats included."""
+    ones, n = np.zeros(WIDTH, np.int64), 0
+    for codes in shingles(text, size):
+        n += len(codes)
         bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
@@ -158,15 +168,65 @@ def links(codes: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> Da
     return rows.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, radius: int = 2) -> DataFrame:
+def alike(docs: DataFrame, likeness: float, text: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+    """``a, b``: codes, over ``radius`` bits apart, of the texts whose shingle sets have a Jaccard similarity of ``likeness``.
+
+    Exact: two such sets share one of the first ``n - ceil(likeness n) + 1`` of their hashes in order.
+    Pairs that meet there are verified on the whole sets. Texts without words have no shingles.
+    """
+    rows = docs.select(F.col(text).cast("binary").alias("text"))
+
+    def sets(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for value in batch["text"]:
+                    parts = list(shingles(value.as_py(), size))
+                    if not parts:
+                        continue
+                    own = np.unique(np.concatenate(parts).view(np.int64))
+                    n = len(own)
+                    kept = own if whole else own[: n - math.ceil(n * likeness - EPS) + 1]
+                    code = _signed(fingerprint(value.as_py(), size))
+                    yield pa.RecordBatch.from_pydict(
+                        {"code": pa.array([code], pa.int64()), "id": pa.array([xxhash.xxh3_128_digest(own.tobytes())], pa.binary()),
+                         "n": pa.array([n], pa.int64()), "hashes": pa.array([kept], pa.list_(pa.int64()))})
+
+        return rows.mapInArrow(run, "code long, id binary, n long, hashes array<bigint>")
+
+    # repeats inside a text count for its code: equal sets may have several
+    heads = saved(sets(False).dropDuplicates(["id", "code"]))
+    one = heads.select("id", "code", "n", F.posexplode("hashes").alias("place", "hash"))
+    c = lambda side, name: F.col(f"{side}.{name}")
+    need = F.ceil((c("x", "n") + c("y", "n")) * F.lit(likeness / (1 + likeness)) - EPS)
+    could = (
+        (c("y", "code") < c("x", "code"))
+        & (F.bit_count(c("x", "code").bitwiseXOR(c("y", "code"))) > radius)
+        & (F.least(c("x", "n"), c("y", "n")) >= F.greatest(c("x", "n"), c("y", "n")) * F.lit(likeness) - EPS)
+        & (F.least(c("x", "n") - c("x", "place"), c("y", "n") - c("y", "place")) >= need)
+    )
+    pairs = one.alias("x").join(one.alias("y"), (c("x", "hash") == c("y", "hash")) & could)
+    pairs = saved(pairs.select(c("x", "id").alias("x"), c("y", "id").alias("y"), c("x", "code").alias("a"), c("y", "code").alias("b")).distinct())
+    asked = saved(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct())
+    whole = saved(sets(True).join(bounded(asked), "id", "left_semi").dropDuplicates(["id"]).select("id", "hashes"))
+    for s in "xy":
+        pairs = pairs.join(whole.select(F.col("id").alias(s), F.col("hashes").alias(f"{s}_set")), s)
+    shared = F.size(F.array_intersect("x_set", "y_set"))
+    enough = shared * F.lit(1 + likeness) >= (F.size("x_set") + F.size("y_set")) * F.lit(likeness) - EPS
+    return pairs.filter(enough).select("a", "b").distinct()
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, radius: int = 2, likeness: float | None = None) -> DataFrame:
     """``doc_id, code, component_id`` for every row: the smallest id reachable over links of ``radius`` bits.
 
+    With ``likeness`` texts whose shingle sets have this Jaccard similarity are linked too.
+
     Null, empty and wordless texts have code 0, which links like any other. Equal texts share a
     class; a null id counts for a class only if it has no other. An empty table gives no rows.
     """
     coded = saved(fingerprints(docs, text, key, size))
     distinct = saved(coded.groupBy("code").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct, radius))
+    near = links(distinct, radius)
+    found = components(near if likeness is None else near.unionByName(alike(docs, likeness, text, size, radius)))
     rooted = distinct.join(found, F.col("code") == F.col("node"), "left").select(
         "code", "first", F.coalesce("component", "code").alias("root")
     )
@@ -174,13 +234,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     return coded.join(rooted.join(least, "root").select("code", "component_id"), "code").select("doc_id", "code", "component_id")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, radius: int = 2) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, radius: int = 2, likeness: float | None = None) -> DataFrame:
     """Rows of ``docs``, all columns, that are first of their class.
 
     Where rows repeat the kept id, one of them stays: the first by text, then by the rest. Rows
     without an id stay, as none can be told from another.
     """
-    found = classes(docs, text, key, size, radius).filter("doc_id = component_id")
+    found = classes(docs, text, key, size, radius, likeness).filter("doc_id = component_id")
     first = saved(found.groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__first"))
     same = F.col(key) == F.col("__first")
     kept = docs.join(first.filter("__rows = 1"), same, "left_semi").unionByName(docs.filter(F.col(key).isNull()))

@@ -5,7 +5,8 @@ import re
 
 import numpy as np
 
-from docquarry.llm import lm, pii
+import corpus_pipeline
+from docquarry.llm import lm, pii, simhash
 
 
 def test_ip_parts_of_zeros(spark):
@@ -61,3 +62,41 @@ def test_lm_tells_rare_words_of_a_bucket_apart(spark):
     plain = net.log_probs(net.windows(ids), ids).sum()
     assert np.isclose(sums["rareone"], plain + np.log(1 / 10), atol=1e-4)
     assert found[None]["n_tokens"] == 1 and tuple(found[90]) == (90, 0, 0.0, None)
+
+
+def test_near_documents_match_brute_force_on_jaccard(spark):
+    rng = random.Random(9)
+    rows, bases = [], [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (30, 300, 1000)]
+    for base in bases:
+        for changes in (0, 1, 2, 4, 6, 10, 20, 40):
+            for wrap in (7, 11):
+                words = list(base)
+                for at in rng.sample(range(len(words)), min(changes, len(words))):
+                    words[at] = f"new{rng.randrange(10**6)}"
+                rows.append((len(rows), "\n".join(" ".join(words[k : k + wrap]) for k in range(0, len(words), wrap)), "en", "s", 1))
+
+    def grams(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for _, t, *_ in rows]
+    codes = [simhash.fingerprint(t.encode(), 5) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    missed = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near, bits = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]), (codes[i] ^ codes[j]).bit_count()
+            missed += near and bits > 2
+            if near or bits <= 2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert missed > 0
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["doc_id"] for r in corpus_pipeline.unique_documents(spark, frame, "").collect()]
+    assert sorted(kept) == [i for i in range(len(rows)) if find(i) == i]
