@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from docquarry.llm import lm, pii, simhash
+from docquarry.llm import linededup, lm, pii, simhash
 
 
 def test_ip_parts_of_zeros(spark):
@@ -100,3 +100,16 @@ def test_near_documents_match_brute_force_on_jaccard(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = [r["doc_id"] for r in corpus_pipeline.unique_documents(spark, frame, "").collect()]
     assert sorted(kept) == [i for i in range(len(rows)) if find(i) == i]
+
+
+def test_lines_of_rows_without_an_id_of_their_own(spark):
+    known = "alpha beta gamma delta epsilon"
+    rows = [
+        (1, known), (None, f"{known}\nown words of the first row here"), (None, "quite another text that is unique\nsecond of it alone"),
+        (5, "some row that repeats its id"), (5, f"{known}\nlast row with words nowhere else"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in linededup.deduplicated(frame).collect()]
+    cut = lambda t, first: t if first else "\n".join(x for x in t.split("\n") if x != known)
+    assert sorted(found, key=str) == sorted([(i, cut(t, i == 1)) for i, t in rows], key=str)
+    assert sorted(r["removed"] for r in linededup.removed_lines(frame).collect()) == [[], [], [], [0], [0]]
