@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, embedding, fingerprint, langid, linededup, lm, mixing, pii, simhash, toxicity
+from docquarry.llm import bpe, embedding, fingerprint, langid, linededup, lm, mixing, pii, simhash, toxicity, whitening
 from docquarry.llm.common import saved, table
 
 
@@ -89,7 +89,11 @@ def op10_lm(spark, sf):
     return lm.score(docs, vocab, lm.train(docs, vocab), counts=counts)
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op2_line_dedup, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op8_pii, op9_language, op10_lm)}
+def op11_whitening(spark, sf):
+    return whitening.whitened_components(table(spark, sf, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_line_dedup, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op8_pii, op9_language, op10_lm, op11_whitening)}
 
 # Words of a text, as a DuckDB expression.
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
