@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, embedding, fingerprint, langid, linededup, lm, mixing, pii, simhash, toxicity, whitening
+from docquarry.llm import bpe, divergence, embedding, fingerprint, langid, licenses, linededup, lm, mixing, pii, simhash, toxicity, whitening
 from docquarry.llm.common import saved, table
 
 
@@ -93,7 +93,21 @@ def op11_whitening(spark, sf):
     return whitening.whitened_components(table(spark, sf, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op2_line_dedup, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op8_pii, op9_language, op10_lm, op11_whitening)}
+def op12_divergence(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+def op13_licenses(spark, sf):
+    return licenses.licences(table(spark, sf, "documents")).drop("found")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embeddings, op2_line_dedup, op3_fingerprint, op4_mixing, op5_simhash, op6_bpe, op7_toxicity, op8_pii, op9_language, op10_lm,
+        op11_whitening, op12_divergence, op13_licenses,
+    )
+}
 
 # Words of a text, as a DuckDB expression.
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
@@ -163,4 +177,53 @@ OP4_SQL = f"""WITH {mix_ctes("documents")}
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN place <= cut THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM sized s JOIN mix_plan p ON s.source IS NOT DISTINCT FROM p.source"""
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_fingerprint": OP3_SQL, "op4_mixing": OP4_SQL}
+OP12_SQL = rf"""WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+  doc_terms AS (SELECT lang, source, row, unnest(terms) AS term FROM docs),
+  counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM doc_terms GROUP BY ALL),
+  kept AS (SELECT lang, term, sum(n)::BIGINT AS total FROM counts GROUP BY ALL HAVING sum(docs) >= {divergence.LEAST_DOCS}),
+  sources AS (SELECT DISTINCT lang, source FROM docs),
+  dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total FROM sources g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+  sized AS (SELECT *, sum(n) OVER g AS size, sum(total) OVER g AS lang_size, count(*) OVER g AS v FROM dense WINDOW g AS (PARTITION BY lang, source)),
+  shares AS (SELECT lang, source, term, n, (1 + {divergence.UNIT}::HUGEINT * (n + 2) // (size + 2 * v))::BIGINT AS p,
+      (1 + {divergence.UNIT}::HUGEINT * (total + 2) // (lang_size + 2 * v))::BIGINT AS q FROM sized),
+  sums AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+      FROM shares x JOIN shares y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL),
+  parts AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0)::BIGINT AS value
+      FROM sources x JOIN sources y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= {divergence.TOP}"""
+
+
+def _license_sql() -> str:
+    """The templates as a table, and every place of their first key word held against them."""
+
+    def text(xs):
+        return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+    rows = ",\n      ".join(
+        f"('{t.label}', {str(t.base).lower()}, {text(t.words)}, [{', '.join(map(str, t.key_words))}], {text(t.key_words.values())})" for t in licenses.TEMPLATES
+    )
+    return rf"""WITH files AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+  templates(label, base, words, places, keys) AS (VALUES
+      {rows}),
+  spots AS (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS pos FROM files),
+  starts AS (SELECT row, t.*, pos - places[1] AS start FROM spots JOIN templates t ON word = keys[1]),
+  found AS (SELECT s.row, s.label, s.base, s.start,
+      list_sum([CASE WHEN s.start + i >= 0 AND f.words[s.start + i + 1] = s.words[i + 1] THEN 1 ELSE 0 END FOR i IN range(len(s.words))]) / len(s.words) AS coverage
+      FROM starts s JOIN files f USING (row)
+      WHERE list_bool_and([s.start + s.places[i + 1] >= 0 AND coalesce(f.words[s.start + s.places[i + 1] + 1] = s.keys[i + 1], false) FOR i IN range(len(s.keys))])),
+  summed AS (SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM found GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM files LEFT JOIN summed USING (row)"""
+
+
+OP13_SQL = _license_sql()
+
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL, "op3_fingerprint": OP3_SQL, "op4_mixing": OP4_SQL, "op12_divergence": OP12_SQL, "op13_licenses": OP13_SQL,
+}
