@@ -52,11 +52,13 @@ def _batch(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordB
         ["lang", "source", "term", "n", "docs"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[pa.RecordBatch]:
+    """Counts of a task, passed on whenever they hold about ``entries`` terms."""
+
     def fresh():
         return defaultdict(lambda: (Counter(), Counter()))
 
-    groups, left = fresh(), ENTRIES
+    groups, left = fresh(), entries
     for batch in batches:
         for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"].cast(pa.binary())):
             total, holding = groups[lang, source]
@@ -66,19 +68,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left -= len(total) - before
             if left < 0:
                 yield _batch(groups)
-                groups, left = fresh(), ENTRIES
+                groups, left = fresh(), entries
     if groups:
         yield _batch(groups)
 
 
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", entries: int = ENTRIES) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences of each term in a group and documents that hold it.
 
     Every group also has a row of the empty term.
     """
     blank = F.lit("")
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), blank).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counted = texts.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    counted = texts.mapInArrow(lambda batches: _count(batches, entries), "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -131,15 +133,15 @@ class Forest:
         return value
 
 
-def _walk(run: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Divergence of the groups of two tiles within one block of term ids."""
+def _walk(run: pa.Table, width: int, walked: int) -> Iterator[pa.RecordBatch]:
+    """Divergence of the groups of two tiles within one block of ``width`` term ids."""
     heads, cells = run.filter(pa.compute.is_null(run["slot"])), run.filter(pa.compute.is_valid(run["slot"]))
     places, sizes = heads["place"].to_numpy(), heads["size"].to_pylist()
     block, terms, first_id = (heads[c][0].as_py() for c in ("block", "terms", "first_id"))
     order = np.argsort(places)
     sizes = [sizes[i] for i in order]
-    ids = block * BLOCK + np.arange(BLOCK)
-    leaves = np.zeros((len(places), BLOCK), np.int64)
+    ids = block * width + np.arange(width)
+    leaves = np.zeros((len(places), width), np.int64)
     leaves[np.searchsorted(places[order], cells["place"].to_numpy()), cells["slot"].to_numpy()] = cells["n"].to_numpy()
     leaves[:, (ids < first_id) | (ids >= first_id + terms)] = ABSENT
     forest = Forest(leaves)
@@ -149,7 +151,7 @@ def _walk(run: pa.Table) -> Iterator[pa.RecordBatch]:
     a, b = heads["a"][0].as_py(), heads["b"][0].as_py()
     names = heads["source"].take(pa.array(order)).combine_chunks()
     lefts, rights = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
-    step = max(1, WALKED // BLOCK // max(1, len(rights)))
+    step = max(1, walked // width // max(1, len(rights)))
     for at in range(0, len(lefts), step):
         x, y = (g.ravel() for g in np.meshgrid(lefts[at : at + step], rights, indexing="ij"))
         x, y = x[x != y if a != b else x < y], y[x != y if a != b else x < y]
@@ -164,7 +166,7 @@ def _walk(run: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([lang, names.take(pa.array(x)), names.take(pa.array(y)), pa.array(forest.prices(x, y, price))], ["lang", "source", "item", "value"])
 
 
-def _pairs(groups: DataFrame, cells: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, cells: DataFrame, width: int, walked: int) -> DataFrame:
     """``lang, source, item, value`` of each two sources of a language, once."""
     tiles = groups.select("lang", "tile").distinct()
     both = tiles.select("lang", F.col("tile").alias("a")).join(tiles.select("lang", F.col("tile").alias("b")), "lang").filter("a <= b")
@@ -173,13 +175,13 @@ def _pairs(groups: DataFrame, cells: DataFrame) -> DataFrame:
     spans = groups.select("lang", "terms", "first_id").distinct()
     last = F.col("first_id") + F.col("terms") - 1
     blocks = spans.select("lang", F.explode(F.when(F.col("terms") == 0, F.array(F.lit(-1).cast("long"))).otherwise(
-        F.sequence(F.floor(F.col("first_id") / BLOCK), F.floor(last / BLOCK)))).alias("block"))
+        F.sequence(F.floor(F.col("first_id") / width), F.floor(last / width)))).alias("block"))
     key, none = ["lang", "block", "a", "b"], F.lit(None)
     heads = groups.join(homes, ["lang", "tile"]).join(blocks, "lang").select(
         *key, "tile", "place", "source", "size", "terms", "first_id", none.cast("int").alias("slot"), none.cast("long").alias("n"))
-    body = cells.withColumn("block", F.floor(F.col("id") / BLOCK)).join(homes, ["lang", "tile"]).select(
+    body = cells.withColumn("block", F.floor(F.col("id") / width)).join(homes, ["lang", "tile"]).select(
         *key, "tile", "place", none.cast("string").alias("source"), none.cast("long").alias("size"), none.cast("long").alias("terms"),
-        none.cast("long").alias("first_id"), (F.col("id") % BLOCK).cast("int").alias("slot"), "n")
+        none.cast("long").alias("first_id"), (F.col("id") % width).cast("int").alias("slot"), "n")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs in key_runs(batches, key):
@@ -190,21 +192,25 @@ def _pairs(groups: DataFrame, cells: DataFrame) -> DataFrame:
                 edge[1:] |= pa.compute.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
             starts = [*np.flatnonzero(edge).tolist(), runs.num_rows]
             for lo, hi in zip(starts, starts[1:]):
-                yield from _walk(runs.slice(lo, hi - lo))
+                yield from _walk(runs.slice(lo, hi - lo), width, walked)
 
     rows = heads.unionByName(body).repartition(*key).sortWithinPartitions(*key)
     walked = rows.mapInArrow(walk, "lang string, source string, item string, value long")
     return walked.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def audit(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP,
+    block: int = BLOCK, tile: int = TILE, walked: int = WALKED, entries: int = ENTRIES,
+) -> DataFrame:
     """``lang, source, part, item, value, rank``.
 
     Part ``pair`` holds a group against each other source of its language, over all kept terms (those in
     ``least_docs`` documents of the language); part ``term`` its ``top`` terms that are above their share
     in the language. Ranks start at 1, largest value first, then by item.
+    ``block`` (a power of two), ``tile``, ``walked`` and ``entries`` bound a task's memory and change no row.
     """
-    counts = saved(term_counts(docs, text, lang, source))
+    counts = saved(term_counts(docs, text, lang, source, entries))
     kept = counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
     kept = saved(ranked(kept.filter(F.col("docs") >= least_docs).drop("docs"), [F.col("lang"), F.desc("total"), F.col("term")], "id"))
     cells = saved(counts.filter("term <> ''").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "total", "id"))
@@ -212,10 +218,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     sizes = cells.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     groups = counts.filter("term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0)
     groups = ranked(groups, [F.col("lang"), F.col("source")], "place")
-    groups = saved(groups.withColumn("tile", F.floor(F.col("place") / TILE)))
+    groups = saved(groups.withColumn("tile", F.floor(F.col("place") / tile)))
 
     here = cells.join(groups, ["lang", "source"])
-    halves = _pairs(groups, here.select("lang", "tile", "place", "id", "n"))
+    halves = _pairs(groups, here.select("lang", "tile", "place", "id", "n"), block, walked)
     pairs = halves.select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("x"), "value")
     pairs = pairs.select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
     p, q = scaled(F.col("n"), F.col("size"), F.col("terms")), scaled(F.col("total"), F.col("lang_size"), F.col("terms"))

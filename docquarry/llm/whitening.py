@@ -217,10 +217,12 @@ def whiten(rows: DataFrame, model: Whitening, vector: str = "embedding", key: st
 
 def identity_error(white: DataFrame, size: int) -> float:
     """Largest absolute entry of the covariance of ``whitened`` minus the identity, over all rows."""
+    if not size:
+        return 0.0
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     mean = [F.avg(F.col("whitened")[i]).alias(f"m{i}") for i in range(size)]
     means = white.agg(*mean).first()
-    if not size or means["m0"] is None:
+    if means["m0"] is None:
         return 0.0
     at = [F.col("whitened")[i] - F.lit(means[f"m{i}"]) for i in range(size)]
     found = white.agg(*[F.avg(at[i] * at[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()

@@ -34,6 +34,19 @@ def test_terms_anywhere_in_a_document_disclose(spark):
     assert all("zorblatt" not in clean[i].lower() for i in (0, 1, 7))
 
 
+def test_rows_are_masked_with_their_own_spans(spark):
+    """Rows of one id, or of none, keep no personal data of theirs and lose nothing to another row's spans."""
+    rows = [(1, "mail a@b.c now"), (1, "n x@yy.zz"), (None, "n x@yy.zz"), (None, "call +1 (202) 555-0143 or 10.0.0.1"), (1, "mail a@b.c now"), (2, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["text"]) for r in pii.sanitised(frame, remove_terms=True).collect()), key=str)
+    base = {(r["doc_id"], r["unit"]): r for r in pii.spans_by_text(frame).collect()}
+    assert len(base) == 6
+    for (_, text), want in zip(rows, ["[EMAIL]", "[EMAIL]", "[EMAIL]", "[PHONE]", "[EMAIL]"]):
+        assert not any(text in (t or "") for _, t in found) and any(want in (t or "") for _, t in found)
+    assert not any(x in (t or "") for _, t in found for x in ("@", "555", "0.0"))
+    assert len(found) == len(rows) and [t for i, t in found if i == 2] == [None] and (None, "") in found
+
+
 def test_lm_trains_at_every_position_as_registered(spark):
     texts = [np.arange(n, dtype=np.int32) % 7 for n in (1, 2, 3, 50)]
     net = lm.Network(lm.Vocabulary({}, classes=2, members=8, buckets=2), hidden=3)
