@@ -7,6 +7,10 @@ joined, counted and reduced before anything is collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,6 +254,41 @@ def token_f1(pairs: DataFrame, keys: list[str], pred: str = "pred", truth: str =
     return joined.select(*keys, "exact_match", tx.pyround(f1, 4).alias("token_f1"))
 
 
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence of two token lists.
+
+    One bit per token of ``a`` is held, and all of them step together for each token of ``b``, so memory
+    is linear and time is the product of the lengths over the machine's word size.
+    """
+    where: dict[str, int] = {}
+    for i, token in enumerate(a):
+        where[token] = where.get(token, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    free = every
+    for token in b:
+        met = free & where.get(token, 0)
+        free = ((free + met) | (free - met)) & every
+    return len(a) - free.bit_count()
+
+
+def rouge_l(pairs: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth") -> DataFrame:
+    """``keys, lcs, rouge_l``: common subsequence of the lower-cased words over those of the truth, 0 if it has none.
+
+    Null texts have no words. Whole texts count.
+    """
+    sides = pairs.select(F.struct(*keys).alias("at"), *[tx.words(F.coalesce(F.lower(c), F.lit(""))).alias(n) for c, n in ((pred, "a"), (truth, "b"))])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lcs = [lcs_length(a.as_py(), b.as_py()) for a, b in zip(batch["a"], batch["b"])]
+            size = pa.compute.list_value_length(batch["b"]).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["at"], pa.array(lcs, pa.int64()), size], ["at", "lcs", "size"])
+
+    at = sides.schema["at"].dataType.simpleString()
+    found = sides.mapInArrow(measured, f"at {at}, lcs long, size long")
+    return found.select("at.*", "lcs", tx.pyround(F.col("lcs") / F.greatest("size", F.lit(1)), 4).alias("rouge_l"))
+
+
 def table_scores(pred_cols: Column, pred_rows: Column, cols: Column, rows: Column) -> Column:
     """``STRUCT<teds_structural_similarity, content_accuracy, composite_score>`` of two nested tables."""
     overlap = F.size(F.array_intersect(F.array_distinct(pred_cols), F.array_distinct(cols))) / F.greatest(
@@ -418,3 +457,18 @@ def chunk_statistics(chunks: DataFrame, groups: list[str]) -> DataFrame:
         tx.pyround(F.var_pop(length), 2).alias("length_variance"),
         tx.pyround(F.lit(100.0) * (n - texts) / n, 4).alias("duplicate_pct"),
     )
+
+
+def audit_rollup(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Documents, characters and empty texts per group, with subtotals and the total, in one pass.
+
+    ``level`` is the grouping id: 0 for the groups, all bits set for the total. Keys of a subtotal are
+    null; a null key of the data keeps its own rows of level 0.
+    """
+    size = F.coalesce(F.length(text), F.lit(0))
+    return docs.rollup(*keys).agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count("*").alias("documents"),
+        F.sum(size.cast("bigint")).alias("chars"),
+        F.count_if(size == 0).alias("empty_documents"),
+    )

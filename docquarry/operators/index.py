@@ -1,4 +1,4 @@
-"""Sparse and dense indexes: BM25 postings, vectors, hash embeddings and index records."""
+"""BM25 tokens and weights, exact dense search, hash embeddings and index records."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
 from docquarry.functions.rows import unnest
-from docquarry.operators import joins, ranking
+from docquarry.operators import ranking
 from docquarry.session import cut_lineage
 
 BM25_K1, BM25_B = 1.5, 0.75
@@ -60,17 +60,6 @@ def collection_stats(tokens: DataFrame, groups: list[str]) -> DataFrame:
     return tokens.groupBy(*groups).agg(F.count("*").alias("n_units"), F.avg("dl").alias("avgdl"))
 
 
-def write_postings(index: DataFrame, path: str, modality: str = "modality") -> None:
-    """Persist postings for reuse, one folder per modality, clustered by term inside it."""
-    (
-        index.repartition(modality, "term")
-        .sortWithinPartitions("term")
-        .write.mode("overwrite")
-        .partitionBy(modality)
-        .parquet(path)
-    )
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, query`` to ``query_id, term, qtf``."""
     rows = unnest(queries, ["query_id"], index_tokens(F.col("query")), "term").drop("_pos")
@@ -86,63 +75,6 @@ def bm25_part(tf: Column, dl: Column, avgdl: Column, k1: float = BM25_K1, b: flo
     return tf * F.lit(k1 + 1.0) / (tf + norm)
 
 
-def bm25_top_k(
-    units: DataFrame,
-    queries: DataFrame,
-    unit_keys: list[str],
-    groups: list[str],
-    k: int = 10,
-    order: list[str] | None = None,
-    k1: float = BM25_K1,
-    b: float = BM25_B,
-) -> DataFrame:
-    """Best ``k`` units per query and index; units that share no term with a query are left out.
-
-    ``units``: keys, groups, ``text``; ``queries``: ``query_id, query``. One pass over the texts
-    counts, per unit, the terms some query asks for, and folds every other token into one NULL
-    term that also carries the unit's length into the collection statistics. The fold happens
-    within the map task, so the shuffle holds a few narrow rows per unit. Term weights are as many
-    as the queries' terms and are broadcast when their number allows.
-    """
-    keys = [*groups, *unit_keys]
-    wanted = cut_lineage(query_terms(queries))
-    n_wanted = wanted.count()
-    vocabulary = wanted.select("term").distinct().withColumn("_asked", F.lit(True))
-    tokens = tokenised(units, keys)
-    every = F.concat("tokens", F.array(F.lit(None).cast("string")))
-    counted = (
-        unnest(tokens, [*keys, "dl"], every, "term")
-        .drop("_pos")
-        .join(joins.hinted(vocabulary, n_wanted), "term", "left")
-        .select(*keys, "dl", F.when(F.col("_asked"), F.col("term")).alias("term"))
-        .groupBy(*keys, "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    counted = cut_lineage(counted)
-    stats = collection_stats(counted.filter(F.col("term").isNull()), groups)
-    tf = counted.filter(F.col("term").isNotNull())
-    # At most one row per index and (query, term).
-    n_weights = n_wanted * stats.count()
-    weights = (
-        tf.groupBy(*groups, "term")
-        .agg(F.count("*").alias("df"))
-        .join(stats, groups)
-        .withColumn("idf", idf(F.col("n_units"), F.col("df")))
-        .join(wanted, "term")
-        .select(*groups, "term", "query_id", "avgdl", (F.col("idf") * F.col("qtf")).alias("weight"))
-    )
-    scored = (
-        tf.join(joins.hinted(weights, n_weights), [*groups, "term"])
-        .withColumn("_s", F.col("weight") * bm25_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
-        .groupBy(*keys, "query_id")
-        .agg(F.sum("_s").alias("_s"))
-        .select(*keys, "query_id", tx.pyround(F.col("_s"), 4).alias("score"))
-        .filter(F.col("score") > 0)
-    )
-    by = [F.col("score").desc(), *[F.col(c).asc() for c in (order or unit_keys)]]
-    return ranking.top_k(scored, [*groups, "query_id"], by, k)
-
-
 # --- dense ---------------------------------------------------------------------------------------
 
 
@@ -160,8 +92,8 @@ def l2_normalized(vector: Column) -> Column:
     return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
 
 
-# Query vectors scored together against one row.
-QUERY_BLOCK = 64
+# Query vectors scored together against one row, and rows of a tile that meets a block of them in one task.
+QUERY_BLOCK, TILE_ROWS = 64, 1 << 16
 
 
 def dense_top_k(
@@ -169,14 +101,21 @@ def dense_top_k(
 ) -> DataFrame:
     """Exact inner-product search for any number of query vectors (``query_id, qv``), in one pass over ``vectors``.
 
-    Queries are packed into blocks of about ``block``; a row meets each block once and keeps only ids
-    and scores, and each task keeps ``k`` rows per query before anything is shuffled.
+    Queries are packed into blocks of about ``block`` and rows dealt into tiles of about ``TILE_ROWS``;
+    a block meets a tile as one key, so neither many rows nor many queries gather in a task. A row keeps
+    only ids and scores, and each task keeps ``k`` rows per query before anything is shuffled.
     """
     asked = cut_lineage(queries.select("query_id", as_doubles(F.col("qv")).alias("qv")))
-    n_blocks = max(1, -(-asked.count() // block))
+    n_blocks, n_tiles = max(1, -(-asked.count() // block)), max(1, -(-vectors.count() // TILE_ROWS))
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
     packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("_block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("_q"))
-    base = vectors.select(id_col, as_doubles(F.col(vector)).alias("_v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("_block"))
-    met = base.join(packed, "_block")
+    packed = packed.select("_block", "_q", each(n_tiles).alias("_tile"))
+    tile = F.pmod(F.xxhash64(id_col, vector), F.lit(n_tiles)).alias("_tile")
+    base = vectors.select(id_col, tile, as_doubles(F.col(vector)).alias("_v"), each(n_blocks).alias("_block"))
+    met = base.join(packed, ["_block", "_tile"])
     scores = F.transform("_q", lambda q: F.struct(q["query_id"].alias("query_id"), tx.pyround(dot(q["qv"], F.col("_v")), 4).alias("score")))
     scored = met.select(id_col, F.inline(scores)).select("query_id", id_col, "score")
     return ranking.top_k(scored, ["query_id"], [F.col("score").desc(), F.col(id_col).asc()], k)
@@ -191,57 +130,6 @@ def label_centroids(vectors: DataFrame, label: str = "label", vector: str = "emb
     return packed.select(label, l2_normalized(F.transform("_d", lambda d: d["x"])).alias("centroid"))
 
 
-# Cells of a dense index: about so many rows in each, as many cells at most, centres fitted to a
-# sample of so many vectors for each cell.
-CELL_ROWS, MAX_CELLS, FIT_ROWS = 64, 4096, 64
-
-
-def build_cells(vectors: DataFrame, path: str, seed: int = 7, id_col: str = "vec_id", vector: str = "embedding") -> None:
-    """Persist a dense index: every unit vector in the cell of its nearest centre, and the centres.
-
-    Only the centres are fitted on a sample, bounded by the number of cells; all rows are indexed.
-    ``path/vectors`` is laid out by cell, so that a search reads the cells it probes.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = vectors.select(id_col, l2_normalized(as_doubles(F.col(vector))).alias("v")).filter(F.size("v") > 0)
-    n = unit.count()
-    cells = max(2, min(MAX_CELLS, n // CELL_ROWS))
-    share = min(1.0, cells * FIT_ROWS / max(1, n))
-    picked = unit.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(share * 1e6)).select(array_to_vector("v").alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(picked)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    spark = vectors.sparkSession
-    spark.createDataFrame(centres, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
-    placed = model.transform(unit.withColumn("features", array_to_vector("v"))).select(F.col("prediction").alias("cell"), id_col, "v")
-    placed.repartition("cell").sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
-
-
-def cells_top_k(spark, path: str, queries: DataFrame, k: int = 5, probe_share: float = 0.75, id_col: str = "vec_id") -> DataFrame:
-    """Approximate search in a persisted index: the nearest cells of each query, scored exactly.
-
-    A query (``query_id, qv``) probes the ``probe_share`` of the cells nearest to it, and more until
-    they hold ``k`` vectors. Centres are at most ``MAX_CELLS`` rows, so they are ranked per query.
-    """
-    centres = spark.read.parquet(f"{path}/centres")
-    vectors = spark.read.parquet(f"{path}/vectors")
-    counts = vectors.groupBy("cell").agg(F.count("*").alias("n"))
-    asked = cut_lineage(queries.select("query_id", as_doubles(F.col("qv")).alias("qv")))
-    packed = centres.join(counts, "cell").groupBy(F.lit(1).alias("_all")).agg(F.collect_list(F.struct("cell", "centre", "n")).alias("_c"))
-    near = asked.withColumn("_all", F.lit(1)).join(F.broadcast(packed), "_all").select(  # one row of centres
-        "query_id", "qv",
-        F.sort_array(F.transform("_c", lambda c: F.struct((-dot(c["centre"], F.col("qv"))).alias("d"), c["cell"].alias("cell"), c["n"].alias("n")))).alias("_c"),
-    )
-    probes = F.greatest(F.ceil(F.size("_c") * F.lit(probe_share)).cast("int"), F.lit(1))
-    before = lambda i: F.aggregate(F.slice("_c", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
-    chosen = F.filter(F.col("_c"), lambda c, i: (i < probes) | (before(i) < k))
-    probed = near.select("query_id", "qv", F.explode(chosen).alias("c")).select("query_id", "qv", "c.cell")
-    met = vectors.join(probed, "cell")
-    scored = met.select("query_id", id_col, tx.pyround(dot(F.col("qv"), F.col("v")), 4).alias("score"))
-    return ranking.top_k(scored, ["query_id"], [F.col("score").desc(), F.col(id_col).asc()], k)
-
-
 def hash_vector(text: Column) -> Column:
     """One weight per distinct lower-cased token in order; lengths differ, so it is no metric space."""
     return F.transform(

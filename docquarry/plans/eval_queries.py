@@ -6,6 +6,8 @@ relevant when it holds the passage word for word.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
@@ -21,7 +23,9 @@ from docquarry.plans import answer_queries as aq
 from docquarry.plans import inputs as I
 from docquarry.plans import retrieval_queries as rq
 from docquarry.plans import table_queries as tq
-from docquarry.session import cut_lineage
+from docquarry.session import checkpoint_folder, cut_lineage
+from docquarry.sources import corpus as cp
+from docquarry.sources.observed import ObservedRun
 
 
 def _queries(spark, sf):
@@ -32,23 +36,34 @@ def _docs(spark, sf):
     return I.corpus_raw(spark, sf).select("doc_pos", sg.document_id(F.col("path")).alias("document_id"), "text")
 
 
+def _run(spark, sf):
+    """The judged run, written once for all that judge it."""
+    return spark.read.parquet(I.written(spark, sf, "judged-run", lambda p: rq.bm25_run(spark, sf, 20).write.parquet(p), ("documents", "benchmark")))
+
+
 def _results(spark, sf, text=True):
-    """Run rows with document ids, and texts where they are asked for; the run holds twenty rows per query."""
-    run = cut_lineage(rq.bm25_run(spark, sf, 20))
-    found = _docs(spark, sf).join(joins.bounded(run), "doc_pos")
-    return cut_lineage(found.select("query_id", "rank", "document_id", *(["text"] if text else [])))
+    """Run rows with document ids, and texts where they are asked for; the run holds twenty rows per query. Written once."""
+
+    def write(path):
+        found = _docs(spark, sf).join(joins.bounded(_run(spark, sf)), "doc_pos")
+        found.select("query_id", "rank", "document_id", "text").write.parquet(path)
+
+    found = spark.read.parquet(I.written(spark, sf, "judged-results", write, ("documents", "benchmark")))
+    return found if text else found.drop("text")
 
 
 def _qrels(spark, sf):
-    """Passages found in documents, by padded document number."""
-    pairs = bm.containing_documents(
-        I.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_pos"), "text"), _queries(spark, sf)
-    )
-    return pairs.select(
-        "query_id",
-        F.lpad(F.col("doc_pos").cast("string"), 12, "0").alias("rel_id"),
-        F.col("doc_pos").alias("rel_pos"),
-    )
+    """Passages found in documents, by padded document number. Written once."""
+
+    def write(path):
+        pairs = bm.containing_documents(I.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_pos"), "text"), _queries(spark, sf))
+        pairs.select(
+            "query_id",
+            F.lpad(F.col("doc_pos").cast("string"), 12, "0").alias("rel_id"),
+            F.col("doc_pos").alias("rel_pos"),
+        ).write.parquet(path)
+
+    return spark.read.parquet(I.written(spark, sf, "relevance", write, ("documents", "benchmark")))
 
 
 def _rows(spark, sf, text=True):
@@ -85,8 +100,7 @@ def eval_gold_rank(spark, sf):
 def _by_source(spark, sf):
     """The run with each document known only by its source, so ids repeat."""
     source = I.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_pos"), "source")
-    run = cut_lineage(rq.bm25_run(spark, sf, 20))
-    found = source.join(joins.bounded(run), "doc_pos")
+    found = source.join(joins.bounded(_run(spark, sf)), "doc_pos")
     return cut_lineage(found.select("query_id", "rank", F.col("source").alias("document_id")))
 
 
@@ -131,6 +145,14 @@ def eval_token_f1(spark, sf):
     return ev.token_f1(pairs, ["conv_id", "turn"])
 
 
+def eval_rouge_l(spark, sf):
+    """Each turn as an answer, the turn after it as the truth."""
+    turns = I.table(spark, sf, "conversations")
+    truth = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("truth"))
+    pairs = turns.select("conv_id", "turn", F.col("text").alias("pred")).join(truth, ["conv_id", "turn"])
+    return ev.rouge_l(pairs, ["conv_id", "turn"])
+
+
 def eval_suite_summary(spark, sf):
     return ev.summarize(ev.retrieval_metrics(_rows(spark, sf)), ev.SUMMARY)
 
@@ -191,6 +213,22 @@ def audit_counts(spark, sf):
     return docs.agg(F.count("*").alias("document_count"), F.sum(F.size("regions")).alias("chunk_count"))
 
 
+def audit_rollup(spark, sf):
+    return ev.audit_rollup(I.table(spark, sf, "documents"), ["lang", "source"])
+
+
+def audit_observed(spark, sf):
+    """Rows and failures of an ingestion, as its own run counted them; its rates go to the metric sink."""
+    run = ObservedRun(spark)
+    docs = run.stage(I.corpus(spark, sf), "documents", F.col("text").isNull())
+    regions = run.stage(sg.explode_regions(sg.with_regions(docs)), "regions")
+    chunks = run.stage(sg.region_chunks(regions), "chunks", tx.strip(F.col("text")) == "")
+    folder = f"{checkpoint_folder(spark)}/observed-{uuid.uuid4().hex}"
+    run.run(lambda: chunks.write.parquet(f"{folder}/chunks"))
+    cp.write_metrics(run.metrics(), f"{folder}/metrics")
+    return spark.read.json(f"{folder}/metrics").select("stage", "rows", "failures")
+
+
 def eval_ablation(spark, sf):
     """Recall at five of the run and of runs that lost their head."""
     results, qrels = _results(spark, sf, text=False), _qrels(spark, sf)
@@ -251,6 +289,7 @@ QUERIES = {
         eval_cost,
         eval_faithfulness,
         eval_token_f1,
+        eval_rouge_l,
         eval_suite_summary,
         eval_latency_percentiles,
         eval_sla_check,
@@ -258,6 +297,8 @@ QUERIES = {
         eval_table_teds,
         audit_artifact_quality,
         audit_counts,
+        audit_rollup,
+        audit_observed,
         eval_ablation,
         bench_suite,
         bench_extended_suite,
@@ -408,6 +449,11 @@ SELECT count(*) AS total_chunks, count(*) FILTER (modality = 'text') AS text_chu
   1::DOUBLE AS artifact_quality_score, 'HEALTHY_ARTIFACTS' AS verdict FROM g""",
     "audit_counts": I.with_(I.REGIONS)
     + "SELECT (SELECT count(*) FROM documents) AS document_count, count(*) AS chunk_count FROM regions",
+    "audit_rollup": """SELECT lang, source, grouping(lang, source)::INT AS level, count(*) AS documents, sum(length(coalesce(text, '')))::BIGINT AS chars,
+  count(*) FILTER (length(coalesce(text, '')) = 0) AS empty_documents FROM documents GROUP BY ROLLUP (lang, source)""",
+    "audit_observed": I.with_(I.REGIONS)
+    + """SELECT 'documents' AS stage, count(*) AS rows, 0::BIGINT AS failures FROM documents UNION ALL SELECT 'regions', count(*), 0 FROM regions
+UNION ALL SELECT 'chunks', count(*), 0 FROM regions""",
     "eval_ablation": I.with_(RUN)
     + f""", runs AS ({_ablated('full', 0)} UNION ALL {_ablated('no_first', 1)} UNION ALL {_ablated('no_first_three', 3)})
 SELECT 'bm25' AS suite, name, r AS average_recall_at_5, {I.rnd("r - (SELECT r FROM runs WHERE name = 'full')", 3)} AS delta_vs_full

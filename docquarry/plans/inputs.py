@@ -6,11 +6,14 @@ line's own length, so titles, headings, tables, figures and blank lines all occu
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import segment as sg
-from docquarry.session import spread
+from docquarry.session import checkpoint_folder, spread
 
 # Queries used by the batch retrieval operators: routing phrases and frequent corpus words.
 QUERY_SET = [
@@ -36,6 +39,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def written(spark: SparkSession, sf: str, name: str, write: Callable[[str], None], inputs: tuple[str, ...] = ("documents",)) -> str:
+    """Folder of an index or table derived from ``inputs``: written by ``write(folder)`` once and read by all that need it.
+
+    It stays in the checkpoint folder for the application, and is written anew when a file of its
+    inputs has changed.
+    """
+    files = [spark.read.format("binaryFile").load(f"{sf}/{t}.parquet").select("path", "modificationTime", "length") for t in inputs]
+    state = tuple(tuple(f.agg(F.count("*"), F.max("modificationTime"), F.sum("length"), F.sum(F.xxhash64("path").cast("decimal(38,0)"))).first()) for f in files)
+    key = (spark.sparkContext.applicationId, sf, name, state)
+    if key not in _WRITTEN:
+        folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        write(folder)
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
 _VALUE = """CASE length(w) % 4
         WHEN 0 THEN concat('(1,', lpad(cast(length(w) as {s}), 3, '0'), ')')
         WHEN 1 THEN concat('$', cast(length(w) as {s}), '.50')

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -12,16 +12,19 @@ from docquarry.functions.rows import unnest
 from docquarry.operators import chunk as ck
 from docquarry.operators import fuse as fu
 from docquarry.operators import index as ix
+from docquarry.operators import proximity as px
 from docquarry.operators import rank as rk
 from docquarry.operators import ranking
 from docquarry.operators import retrieve as rv
 from docquarry.operators import route as rt
 from docquarry.operators import segment as sg
+from docquarry.operators import sparse as sp
+from docquarry.operators import substring as ss
 from docquarry.plans import hybrid as hy
 from docquarry.plans import ingest_queries as iq
 from docquarry.plans import inputs as I
 from docquarry.plans.table_queries import PLANNED
-from docquarry.session import checkpoint_folder, cut_lineage
+from docquarry.session import cut_lineage
 
 # --- routing -------------------------------------------------------------------------------------
 
@@ -76,32 +79,48 @@ def router_infer(spark, sf):
 _PATH_TYPES = {
     rv.BATCH_TEXT: ("title", "body", "paragraph"),
     rv.BATCH_TABLE: ("table",),
-    rv.BATCH_SQL: ("table",),
     rv.BATCH_VISION: ("figure",),
 }
 
 
-def _ranked_path(spark, sf, batch):
-    regions = I.regions(spark, sf).filter(F.col("type").isin(*_PATH_TYPES[batch]))
-    hits = rv.region_hits(regions, I.QUERY_SET, route_all=True, use_sql=batch == rv.BATCH_SQL)
-    ranked = rv.ranked_hits(cut_lineage(hits.filter(F.col("batch") == batch)))
-    return ranked.select("query_id", "rank", "doc_pos", "region_idx", "score", "item_no")
+def substring_index(spark, sf):
+    """Written index of the words of all regions, by region type."""
+    index = ss.SubstringIndex("")
+    units = I.regions(spark, sf).select(*index.keys, "type", "text")
+    return replace(index, path=I.written(spark, sf, "region-words", lambda p: ss.build(units, replace(index, path=p))))
+
+
+def _keyword_path(spark, sf, batch):
+    """Ranked keyword hits of a path, from the index of the regions' words."""
+    queries = spark.createDataFrame(I.QUERY_SET, "query_id bigint, query string")
+    found = ss.found_terms(spark, substring_index(spark, sf), queries, _PATH_TYPES[batch])
+    hits = found.select("query_id", "doc_pos", "region_idx", rv.keyword_score(F.col("type"), F.col("found"), F.col("n_terms")).alias("score"))
+    ranked = rv.ranked_hits(cut_lineage(hits))
+    return ranked.select("query_id", "rank", "doc_pos", "region_idx", "score", (F.col("region_idx") + 1).cast("bigint").alias("item_no"))
 
 
 def ret_text_keyword(spark, sf):
-    return _ranked_path(spark, sf, rv.BATCH_TEXT)
+    return _keyword_path(spark, sf, rv.BATCH_TEXT)
 
 
 def ret_table_keyword(spark, sf):
-    return _ranked_path(spark, sf, rv.BATCH_TABLE)
+    return _keyword_path(spark, sf, rv.BATCH_TABLE)
 
 
 def ret_vision_keyword(spark, sf):
-    return _ranked_path(spark, sf, rv.BATCH_VISION).drop("item_no")
+    return _keyword_path(spark, sf, rv.BATCH_VISION).drop("item_no")
+
+
+def idx_word_grams(spark, sf):
+    """Three-letter grams of the written word index with the number of words that hold them."""
+    return spark.read.parquet(f"{substring_index(spark, sf).path}/grams").groupBy("gram").agg(F.count("*").alias("words"))
 
 
 def ret_table_sql(spark, sf):
-    return _ranked_path(spark, sf, rv.BATCH_SQL)
+    regions = I.regions(spark, sf).filter("type = 'table'")
+    hits = rv.region_hits(regions, I.QUERY_SET, route_all=True)
+    ranked = rv.ranked_hits(cut_lineage(hits.filter(F.col("batch") == rv.BATCH_SQL)))
+    return ranked.select("query_id", "rank", "doc_pos", "region_idx", "score", "item_no")
 
 
 def ret_keyword_overlap(spark, sf):
@@ -127,17 +146,35 @@ def idx_bm25_stats(spark, sf):
     return stats.select("modality", "n_units", tx.pyround(F.col("avgdl"), 6).alias("avgdl"))
 
 
+def unit_index(spark, sf):
+    """Written index of the text and table regions, one collection per modality."""
+    index = sp.SparseIndex("", ("doc_pos", "region_idx"), ("modality",))
+    return replace(index, path=I.written(spark, sf, "region-postings", lambda p: sp.write_segment(_units(spark, sf), replace(index, path=p))))
+
+
+def document_index(spark, sf):
+    """Written index of the whole documents."""
+    index = sp.SparseIndex("", ("doc_pos",), ("modality",))
+    units = I.corpus_raw(spark, sf).select(F.lit("text").alias("modality"), "doc_pos", "text")
+    return replace(index, path=I.written(spark, sf, "document-postings", lambda p: sp.write_segment(units, replace(index, path=p))))
+
+
+def idx_bm25_blocks(spark, sf):
+    """Terms of the written index: their posting and document counts, read back from its blocks."""
+    blocks = sp.read_blocks(spark, unit_index(spark, sf)).filter("bucket >= 0")
+    tf = F.aggregate("docs", F.lit(0).cast("bigint"), lambda a, d: a + d["tf"])
+    return blocks.groupBy("modality", "term").agg(F.sum("n").alias("df"), F.sum(tf).alias("tf"))
+
+
 def ret_bm25_topk(spark, sf):
     queries = spark.createDataFrame(I.QUERY_SET, "query_id bigint, query string")
-    return ix.bm25_top_k(_units(spark, sf), queries, ["doc_pos", "region_idx"], ["modality"], 10)
+    return sp.search(spark, unit_index(spark, sf), queries, 10)
 
 
 def bm25_run(spark, sf, k=20):
     """Benchmark passages as queries against whole documents: the run the evaluation queries judge."""
-    docs = I.corpus_raw(spark, sf)
     queries = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    units = docs.select(F.lit("text").alias("modality"), "doc_pos", "text")
-    return ix.bm25_top_k(units, queries, ["doc_pos"], ["modality"], k).drop("modality")
+    return sp.search(spark, document_index(spark, sf), queries, k).drop("modality")
 
 
 def ret_bm25_passages(spark, sf):
@@ -177,43 +214,56 @@ def idx_dense_norm(spark, sf):
     return rows.select("vec_id", "dim", tx.pyround(F.col("x"), 6).alias("x"))
 
 
-def _centroids(spark, sf):
-    return ix.label_centroids(I.table(spark, sf, "embeddings"))
-
-
 def _dense_queries(spark, sf):
-    return cut_lineage(_centroids(spark, sf)).select(F.col("label").alias("query_id"), F.col("centroid").alias("qv"))
+    """Every vector whose id is divisible by 20 asks for its neighbours among all."""
+    asked = I.table(spark, sf, "embeddings").filter("vec_id % 20 = 0")
+    return asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
 
 
 def ret_dense_topk(spark, sf):
     return ix.dense_top_k(I.table(spark, sf, "embeddings"), _dense_queries(spark, sf), 10)
 
 
-def _dense_index(spark, sf):
-    path = f"{checkpoint_folder(spark)}/dense-{uuid.uuid4().hex}"
-    ix.build_cells(I.table(spark, sf, "embeddings"), path)
-    return path
+def ret_dense_centroids(spark, sf):
+    """Neighbours of the mean vector of each label."""
+    centroids = ix.label_centroids(I.table(spark, sf, "embeddings")).select(F.col("label").alias("query_id"), F.col("centroid").alias("qv"))
+    return ix.dense_top_k(I.table(spark, sf, "embeddings"), cut_lineage(centroids), 10)
+
+
+def _graph(spark, sf):
+    return I.written(spark, sf, "neighbour-graph", lambda p: px.build_graph(I.table(spark, sf, "embeddings"), p), ("embeddings",))
 
 
 def idx_dense_roundtrip(spark, sf):
-    """A persisted dense index read back: every vector is in one cell, of unit length."""
-    back = spark.read.parquet(f"{_dense_index(spark, sf)}/vectors")
-    return back.select("vec_id", F.size("v").alias("dims"), tx.pyround(ix.dot(F.col("v"), F.col("v")), 6).alias("length"))
+    """The written neighbour graphs read back: every vector is in one node, of unit length."""
+    back = spark.read.parquet(_graph(spark, sf))
+    return back.select(F.explode("ids").alias("vec_id"), F.size("v").alias("dims"), tx.pyround(ix.dot(F.col("v"), F.col("v")), 6).alias("length"))
+
+
+def _walked(spark, sf):
+    """Hits of the graph search, and how much of the exact search's each query found."""
+    asked = _dense_queries(spark, sf)
+    found = cut_lineage(px.search_graph(spark, _graph(spark, sf), asked, 10))
+    return found, px.recall(found, ix.dense_top_k(I.table(spark, sf, "embeddings"), asked, 10))
 
 
-# Least share of the exact top ten that the approximate search has to find.
+def ret_dense_graph(spark, sf):
+    """Hits of the graph search with the query's recall and the share of the vectors that it was held against."""
+    found, recall = _walked(spark, sf)
+    total = I.table(spark, sf, "embeddings").count()
+    return found.join(recall, "query_id").select(
+        "query_id", "rank", "vec_id", "score", "recall", tx.pyround(F.col("scored") / F.lit(total), 4).alias("scored_share"))
+
+
+# Least share of the exact top ten that the approximate search has to find, over all queries.
 RECALL = 0.9
 
 
 def ret_dense_lsh(spark, sf):
-    """Approximate search of the persisted index beside the exact one: rows per query, and whether recall is enough."""
-    asked = _dense_queries(spark, sf)
-    exact = ix.dense_top_k(I.table(spark, sf, "embeddings"), asked, 10).select("query_id", "vec_id", F.lit(1).alias("exact"))
-    found = ix.cells_top_k(spark, _dense_index(spark, sf), asked, 10).select("query_id", "vec_id", F.lit(1).alias("found"))
-    both = exact.join(found, ["query_id", "vec_id"], "full").groupBy("query_id").agg(
-        F.count("found").alias("n_results"), (F.count(F.col("exact") + F.col("found")) / F.count("exact") >= RECALL).alias("recall_met")
-    )
-    return both.select("query_id", "n_results", "recall_met")
+    """Approximate search beside the exact one: rows per query, and whether the mean recall is enough."""
+    found, recall = _walked(spark, sf)
+    enough = (recall.agg(F.avg("recall")).first()[0] or 0.0) >= RECALL
+    return found.groupBy("query_id").agg(F.count("*").alias("n_results"), F.lit(enough).alias("recall_met"))
 
 
 # --- fusion --------------------------------------------------------------------------------------
@@ -345,10 +395,12 @@ QUERIES = {
         ret_text_keyword,
         ret_table_keyword,
         ret_vision_keyword,
+        idx_word_grams,
         ret_table_sql,
         ret_keyword_overlap,
         idx_bm25_build,
         idx_bm25_stats,
+        idx_bm25_blocks,
         ret_bm25_topk,
         ret_bm25_passages,
         idx_modality_counts,
@@ -357,7 +409,9 @@ QUERIES = {
         emb_hash_vector,
         idx_dense_norm,
         ret_dense_topk,
+        ret_dense_centroids,
         idx_dense_roundtrip,
+        ret_dense_graph,
         ret_dense_lsh,
         fuse_normalize,
         fuse_batches,
@@ -580,6 +634,10 @@ SELECT item_id AS query_id, {I.rnd('least(1, a / greatest(1, n * 2))', 3)} AS p_
     "ret_text_keyword": _path("batch = 0"),
     "ret_table_keyword": _path("batch = 1"),
     "ret_vision_keyword": _path("batch = 3").replace("score, item_no FROM every_hit", "score FROM every_hit"),
+    "idx_word_grams": I.with_(I.REGIONS)
+    + f""", words AS (SELECT DISTINCT unnest({_WORDS.format(x='lower(text)')}) AS word FROM regions)
+SELECT gram, count(*) AS words
+FROM (SELECT DISTINCT word, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))) AS gram FROM words) GROUP BY gram""",
     "ret_table_sql": _path("batch = 2"),
     "ret_keyword_overlap": I.with_(I.QUERIES_CTE)
     + f""", q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS qt FROM query_set),
@@ -593,6 +651,10 @@ SELECT modality, doc_pos, region_idx, dl, term, count(*) AS tf
 FROM (SELECT modality, doc_pos, region_idx, len(toks) AS dl, unnest(toks) AS term FROM toks) GROUP BY ALL""",
     "idx_bm25_stats": I.with_(I.REGIONS, UNITS)
     + f"""SELECT modality, count(*) AS n_units, {I.rnd(f"avg(len({tokens_sql('text')}))", 6)} AS avgdl FROM units GROUP BY modality""",
+    "idx_bm25_blocks": I.with_(I.REGIONS, UNITS)
+    + f""", toks AS (SELECT modality, doc_pos, region_idx, {tokens_sql('text')} AS toks FROM units)
+SELECT modality, term, count(DISTINCT (doc_pos, region_idx)) AS df, count(*) AS tf
+FROM (SELECT modality, doc_pos, region_idx, unnest(toks) AS term FROM toks) GROUP BY ALL""",
     "ret_bm25_topk": I.with_(I.REGIONS, UNITS, I.QUERIES_CTE, bm25_sql("units", ["doc_pos", "region_idx"], ["modality"], "query_set", 10))
     + "SELECT modality, query_id, doc_pos, region_idx, score, rank FROM bm25",
     "ret_bm25_passages": I.with_(BM25_RUN) + "SELECT query_id, doc_pos, score, rank FROM bm25",
@@ -611,13 +673,17 @@ SELECT doc_id, generate_subscripts(ts, 1) - 1 AS dim,
     "idx_dense_norm": f"""WITH e AS (
   SELECT vec_id, label, unnest(embedding)::DOUBLE * (label + 2) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
 SELECT vec_id, dim, {I.rnd('x / sqrt(sum(x * x) OVER (PARTITION BY vec_id))', 6)} AS x FROM e""",
-    "ret_dense_topk": I.with_(CENTROIDS)
+    "ret_dense_topk": f"""WITH s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, {I.rnd('list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])', 4)} AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",
+    "ret_dense_centroids": I.with_(CENTROIDS)
     + f""", s AS (
   SELECT label AS query_id, vec_id, {I.rnd('list_dot_product(c, e.embedding::DOUBLE[]) / sqrt(list_dot_product(c, c))', 4)} AS score
   FROM cents c, (SELECT vec_id, embedding FROM embeddings) e)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",
     "idx_dense_roundtrip": "SELECT vec_id, len(embedding) AS dims, 1.0::DOUBLE AS length FROM embeddings",
-    "ret_dense_lsh": "SELECT DISTINCT label AS query_id, 10::BIGINT AS n_results, true AS recall_met FROM embeddings",
+    "ret_dense_lsh": "SELECT vec_id AS query_id, 10::BIGINT AS n_results, true AS recall_met FROM embeddings WHERE vec_id % 20 = 0",
     "fuse_normalize": I.with_(HITS) + "SELECT query_id, batch, doc_pos, region_idx, score, nscore FROM normed",
     "fuse_batches": I.with_(HITS)
     + """SELECT query_id, modality, batch, doc_pos, region_idx, nscore, row_number() OVER (PARTITION BY query_id, modality

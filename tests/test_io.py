@@ -8,6 +8,8 @@ from docquarry.config import EngineConfig
 from docquarry.operators import adapters as ad
 from docquarry.operators import index as ix
 from docquarry.operators import segment as sg
+from docquarry.operators import segments as seg
+from docquarry.operators import sparse as sp
 from docquarry.operators import tablesql as ts
 from docquarry.plans import answer as an
 from docquarry.plans import hybrid as hy
@@ -70,12 +72,12 @@ def test_log_and_index_sinks(spark, tmp_path):
     rows = spark.read.json(log).collect()
     assert len(rows) == 2 and len(rows[0].sample_rows) == 3
     units = spark.createDataFrame([("text", 1, "alpha beta alpha"), ("table", 2, "beta")], "modality string, doc_pos long, text string")
-    index = ix.postings(ix.tokenised(units, ["modality", "doc_pos"]), ["modality", "doc_pos"])
-    ix.write_postings(index, str(tmp_path / "postings"))
-    back = spark.read.parquet(str(tmp_path / "postings")).filter("modality = 'text' and term = 'alpha'").collect()
-    assert [(r.tf, r.dl) for r in back] == [(2, 3)]
-    cp.write_metrics(index.agg(F.count("*").alias("n")), str(tmp_path / "metrics"))
-    assert spark.read.json(str(tmp_path / "metrics")).collect()[0].n == 3
+    index = sp.SparseIndex(str(tmp_path / "postings"), ("doc_pos",), ("modality",))
+    sp.write_segment(units, index)
+    back = sp.read_blocks(spark, index).filter("modality = 'text' and term = 'alpha'").collect()
+    assert [(r.n, [tuple(d) for d in r.docs]) for r in back] == [(1, [(2, 3, 1)])]
+    cp.write_metrics(units.agg(F.count("*").alias("n")), str(tmp_path / "metrics"))
+    assert spark.read.json(str(tmp_path / "metrics")).collect()[0].n == 2
 
 
 def test_stream_in_two_steps_equals_batch(spark, tmp_path):
@@ -91,7 +93,10 @@ def test_stream_in_two_steps_equals_batch(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     keys = ["modality", "doc_pos", "region_idx"]
     batch = ix.postings(ix.tokenised(sg.segment(docs), keys), keys)
-    assert spark.read.parquet(out + "-p").select(batch.columns).exceptAll(batch).count() == 0
+    blocks = sp.read_blocks(spark, seg.index_at(out + "-p"))
+    rows = blocks.filter("term is not null").select("modality", "term", F.inline("docs")).select(batch.columns)
+    assert {r.segment for r in blocks.select("segment").distinct().collect()} == {0, 1}
+    assert rows.count() == batch.count() and rows.exceptAll(batch).count() == 0
 
 
 def test_adapters_with_stub_models(spark):

@@ -2,7 +2,6 @@
 
 import math
 import random
-from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -43,40 +42,6 @@ def test_evidence_of_one_long_conversation(spark):
         assert r.evidence == [texts[(r.conv, t)] for t in range(r.turn - 5, r.turn) if (r.conv, t) in texts]
 
 
-def brute_bm25(docs, query, k):
-    import re
-
-    def toks(s):
-        return [t for t in re.findall(r"\w{2,}", s.lower()) if t not in ix.STOPWORDS]
-
-    tokens = {i: toks(t) for i, t in docs}
-    avg = sum(map(len, tokens.values())) / len(tokens)
-    out = {}
-    for term, qtf in Counter(toks(query)).items():
-        df = sum(term in t for t in tokens.values())
-        for i, t in tokens.items():
-            tf = t.count(term)
-            if tf:
-                w = math.log((len(docs) - df + 0.5) / (df + 0.5) + 1)
-                out[i] = out.get(i, 0) + qtf * w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg))
-    ranked = sorted(((round(s, 4), i) for i, s in out.items() if round(s, 4) > 0), key=lambda x: (-x[0], x[1]))
-    return [(i, s) for s, i in ranked[:k]]
-
-
-def test_bm25_with_a_term_in_every_document(spark):
-    vocab = ["alpha", "beta", "gamma", "delta", "the", "épsilon"]
-    docs = [(i, " ".join(["common"] + random.choices(vocab, k=random.randint(0, 12)))) for i in range(200)] + [(200, "")]
-    queries = [(1, "common alpha"), (2, "the gamma gamma"), (3, "nothing here")]
-    units = spark.createDataFrame(docs, "doc_pos long, text string").withColumn("modality", F.lit("text"))
-    asked = spark.createDataFrame(queries, "query_id long, query string")
-    got = ix.bm25_top_k(units, asked, ["doc_pos"], ["modality"], 7).orderBy("query_id", "rank").collect()
-    for qid, query in queries:
-        mine = [(r.doc_pos, r.score) for r in got if r.query_id == qid]
-        want = brute_bm25(docs, query, 7)
-        assert [d for d, _ in mine] == [d for d, _ in want]
-        assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(mine, want))
-
-
 def test_passages_are_found_in_every_holder(spark):
     words = [f"w{i}" for i in range(30)]
     texts = [" ".join(random.choices(words, k=random.randint(1, 40))) for _ in range(120)]
@@ -136,21 +101,6 @@ def test_dense_search_equals_brute_force(spark):
         assert [(r.vec_id, r.score) for r in rows if r.query_id == q] == [(i, s) for s, i in exact[:5]]
 
 
-def test_cells_find_most_neighbours(spark, tmp_path):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    raw = rng.normal(size=(2000, 8))
-    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(raw)], "vec_id long, embedding array<float>")
-    ix.build_cells(df, str(tmp_path / "index"))
-    queries = spark.createDataFrame([(i, unit[i].tolist()) for i in range(40)], "query_id long, qv array<double>")
-    got = ix.cells_top_k(spark, str(tmp_path / "index"), queries, 5).collect()
-    assert len(got) == 200 and all(abs(r.score - float(unit[r.vec_id] @ unit[r.query_id])) < 1e-3 for r in got)
-    best = {(q, int(i)) for q in range(40) for i in np.argsort(-(unit @ unit[q]))[:5]}
-    assert len({(r.query_id, r.vec_id) for r in got} & best) >= 0.9 * len(best)
-
-
 def test_passages_of_any_length_are_found(spark):
     docs = spark.createDataFrame([(1, "say hello world now"), (2, "another one, hello worlds"), (3, "x"), (4, "a b c d e f g h i j")], "doc_pos long, text string")
     asked = ["hello world", "other", "x", "ne, hel", "b c d", "a b c d e f g h i", "", "  ", "missing", "c d e f g h"]
