@@ -42,11 +42,14 @@ def default_weight(modality: Column) -> Column:
 
 
 def rank_runs(
-    hits: DataFrame, levels: list[tuple[str, bool]] | None = None, keys: tuple[str, ...] = ("query_id", "modality")
+    hits: DataFrame, levels: list[tuple[str, bool]] | None = None, keys: tuple[str, ...] = ("query_id", "modality"), only: DataFrame | None = None
 ) -> DataFrame:
-    """Rank each modality's run; batches of one modality are concatenated before sorting."""
+    """Rank each modality's run; batches of one modality are concatenated before sorting.
+
+    With ``only`` (``keys``, ``doc_pos``, ``region_idx``, ``batch``) the ranks of those hits among all.
+    """
     levels = levels or [("nscore", False), ("batch", True), ("score", False)]
-    return ranking.exact_rank(hits, list(keys), levels)
+    return ranking.exact_rank(hits, list(keys), levels, ties=("region_idx", "batch"), only=only)
 
 
 def fuse_rrf(

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators import joins
+
 # Documents per block are at most 2 ** BLOCK_BITS, whatever the corpus size.
 BLOCK_BITS = 14
 # Blocks per span are at most 2 ** SPAN_BITS.
@@ -30,9 +32,13 @@ def exact_rank(
     ties: tuple[str, ...] = ("region_idx",),
     out: str = "rank",
     block_bits: int = BLOCK_BITS,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based rank within ``groups`` by ``levels`` (name, ascending), then ``pos``, then ``ties``.
 
+    ``only`` (``groups``, ``pos``, ``ties``) names the few rows that are wanted: their ranks are among all
+    rows of ``df``, but of the others only counts are shuffled, and the pieces that hold a wanted row.
+
     ``levels`` should hold few distinct values per group (rounded scores do); ``pos`` is an integer
     corpus position. Counts per piece are combined before their shuffle. Their offsets are summed in
     two steps: over the blocks of a span of ``2 ** SPAN_BITS`` blocks, and over the spans of a group.
@@ -47,8 +53,15 @@ def exact_rank(
     spans = spans.withColumn("_before", earlier(Window.partitionBy(*groups).orderBy(*_ordering(levels), F.col("_span").asc()))).drop("_n")
     offsets = inside.join(spans, span).withColumn("_offset", F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_span")
     local = F.row_number().over(Window.partitionBy(*piece).orderBy(pos, *ties))
+    wanted = [*groups, pos, *ties]
+    if only is not None:
+        n_wanted = only.count()  # no more pieces than that hold one
+        only = joins.hinted(only.select(*wanted).distinct(), n_wanted)
+        pieces = split.join(only, wanted, "left_semi").select(*piece).distinct()
+        split = split.join(joins.hinted(pieces, n_wanted), piece, "left_semi")
+    placed = split.withColumn("_local", local)
     return (
-        split.withColumn("_local", local)
+        (placed if only is None else placed.join(only, wanted, "left_semi"))
         .join(offsets, piece)
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
         .drop("_local", "_offset", "_block")

@@ -106,17 +106,23 @@ def words_with(spark: SparkSession, index: SubstringIndex, terms: DataFrame) ->
 
 
 def term_units(spark: SparkSession, index: SubstringIndex, terms: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """``term``, kind and keys of the units whose text contains a term, once each; all kinds, or those named."""
+    """``term``, kind and keys of the units whose text contains a term, once each; all kinds, or those named.
+
+    ``same`` tells whether the term is one of the text's words as a whole.
+    """
     words = cut_lineage(words_with(spark, index, terms).withColumn("bucket", index.bucket(F.col("word"))))
     blocks = spark.read.parquet(f"{index.path}/words")
     blocks = blocks.filter(F.col(index.kind).isin(*kinds)) if kinds else blocks
     blocks, _ = _lookup(blocks, "word", words.select("bucket", "word").distinct())
     met = blocks.join(joins.bounded(words), ["bucket", "word"])
-    return met.select("term", index.kind, F.inline("units")).distinct()
+    rows = met.select("term", index.kind, F.inline("units"), (F.col("word") == F.col("term")).alias("same"))
+    return rows.groupBy("term", index.kind, *index.keys).agg(F.max("same").alias("same"))
 
 
 def found_terms(spark: SparkSession, index: SubstringIndex, queries: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """``query_id, n_terms, found``, kind and keys: how many of a query's terms each unit contains, repeats included.
+    """``query_id, n_terms, found, same``, kind and keys: how many of a query's terms each unit contains, repeats included.
+
+    ``same`` counts the distinct terms that are words of the text as a whole.
 
     ``queries`` (``query_id, query``) may be of any number. Units without a term of the query are left out.
     """
@@ -125,4 +131,4 @@ def found_terms(spark: SparkSession, index: SubstringIndex, queries: DataFrame,
     asked = cut_lineage(asked.groupBy("query_id", "n_terms", "term").agg(F.count("*").alias("times")))
     units = term_units(spark, index, asked.select("term"), kinds)
     by = ["query_id", "n_terms", index.kind, *index.keys]
-    return units.join(joins.bounded(asked), "term").groupBy(*by).agg(F.sum("times").alias("found"))
+    return units.join(joins.bounded(asked), "term").groupBy(*by).agg(F.sum("times").alias("found"), F.count_if("same").alias("same"))

@@ -293,19 +293,83 @@ def cells_to_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def enrich(df: DataFrame, grid: str = "grid", text: str = "text") -> DataFrame:
-    """Serialise a table grid: columns, normalised rows, Markdown, HTML, unit multiplier, validity."""
+def grid_of_cells(cells: Column) -> Column:
+    """Rows of a table's cell array, blanks filled; of cells at one place the last counts.
+
+    Cells are laid out in reading order with the gaps between them, so the work is that of the grid's size.
+    """
+    n_rows = F.array_max(F.transform(cells, lambda c: c["row"] + c["row_span"]))
+    n_cols = F.array_max(F.transform(cells, lambda c: c["col"] + c["col_span"]))
+
+    def laid_out(width: Column, height: Column) -> Column:
+        inside = lambda c: (c["row"] >= 0) & (c["col"] >= 0) & (c["row"] < height) & (c["col"] < width)
+        placed = F.transform(cells, lambda c, i: F.struct((c["row"] * width + c["col"]).alias("at"), i.alias("i"), inside(c).alias("ok"), F.coalesce(c["text"], F.lit("")).alias("text")))
+        ordered = F.sort_array(F.filter(placed, lambda p: p["ok"]))
+        last = let(ordered, lambda o: F.filter(o, lambda p, i: F.coalesce(F.get(o, i + 1)["at"] != p["at"], F.lit(True))))
+
+        def filled(o: Column) -> Column:
+            gaps = F.transform(o, lambda p, i: F.concat(
+                F.array_repeat(F.lit(""), (p["at"] - F.coalesce(F.get(o, i - 1)["at"], F.lit(-1)) - 1).cast("int")), F.array(p["text"])))
+            flat = F.flatten(gaps)
+            return let(flat, lambda f: F.concat(f, F.array_repeat(F.lit(""), (width * height - F.size(f)).cast("int"))))
+
+        return let(let(last, filled), lambda f: F.transform(F.sequence(F.lit(0), height - 1), lambda r: F.slice(f, (r * width + 1).cast("int"), width.cast("int"))))
+
+    sized = F.when((n_rows > 0) & (n_cols > 0), F.struct(n_cols.alias("w"), n_rows.alias("h")))
+    return let(sized, lambda z: F.when(z.isNotNull(), laid_out(z["w"], z["h"])))
+
+
+def header_cells(cells: Column, n_header: Column) -> Column:
+    """Header rows of spatially ordered cells, as rows of ``STRUCT<text, colspan>``."""
+    ordered = spatial_sort(cells)
+    return let(ordered, lambda o: F.transform(F.sequence(F.lit(0), n_header - 1), lambda r: F.transform(
+        F.filter(o, lambda c: c["row"] == r), lambda c: F.struct(F.coalesce(c["text"], F.lit("")).alias("text"), c["col_span"].cast("int").alias("colspan")))))
+
+
+def _json_cell(raw: Column) -> Column:
+    """A cell as JSON: numbers bare, other texts quoted."""
+    quoted = F.to_json(F.array(raw))
+    return F.when(numeric_value(raw).isNotNull(), normalize_cell(raw)).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+
+
+def table_json(columns: Column, header_paths: Column, raw_rows: Column, multiplier: Column, valid: Column) -> Column:
+    """The table's schema and rows as one JSON object, numbers as numbers."""
+    rows = F.array_join(F.transform(raw_rows, lambda r: F.concat(F.lit("["), F.array_join(F.transform(r, _json_cell), ", "), F.lit("]"))), ", ")
+    parts = {"columns": F.to_json(columns), "header_paths": F.to_json(header_paths), "rows": F.concat(F.lit("["), rows, F.lit("]")),
+             "unit_multiplier": multiplier.cast("string"), "is_valid_structure": valid.cast("string")}
+    pairs = [F.concat(F.lit(f'"{name}": '), value) for name, value in parts.items()]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
+
+
+def enrich(df: DataFrame, grid: str = "grid", text: str = "text", cells: str | None = None) -> DataFrame:
+    """Serialise a table: columns, normalised rows, Markdown, HTML, JSON, unit multiplier, validity.
+
+    ``cells`` names an array of ``row, col, row_span, col_span, column_header, text, bbox`` structs per
+    table. With cells, headers are the flagged rows among the first three (at least one), their texts
+    ordered by position on the page and spread over their spans; where ``grid`` is null or empty it is
+    laid out from them. Without cells the first row is the header. Tables without a grid are left out.
+    """
+    if cells is not None:
+        some = F.coalesce(F.size(cells) > 0, F.lit(False))
+        df = df.withColumn(grid, F.when(F.size(grid) > 0, F.col(grid)).when(some, grid_of_cells(F.col(cells))))
+        df = df.withColumn("_n_header", F.when(some, header_row_count(F.col(cells))).otherwise(F.lit(1)))
+        heads = F.when(some, header_cells(F.col(cells), F.col("_n_header")))
     g = F.col(grid)
     n_cols = F.array_max(F.transform(g, F.size))
-    header = F.array(
+    first_row = F.array(
         F.transform(F.get(g, F.lit(0)), lambda c: F.struct(c.alias("text"), F.lit(1).alias("colspan")))
     )
+    if cells is None:
+        df = df.withColumn("_n_header", F.lit(1)).withColumn("_heads", first_row)
+    else:
+        none = ~F.exists(F.coalesce(heads, F.array().cast("array<array<struct<text:string,colspan:int>>>")), lambda r: F.size(r) > 0)
+        df = df.withColumn("_n_header", F.when(none, F.lit(1)).otherwise(F.col("_n_header"))).withColumn("_heads", F.when(none, first_row).otherwise(heads))
     return (
         df.filter(F.size(g) > 0)
-        .withColumn("header_paths", header_hierarchy(header, n_cols))
+        .withColumn("header_paths", header_hierarchy(F.col("_heads"), n_cols))
         .withColumn("_names", F.transform("header_paths", flatten_column_name))
         .withColumn("_unique", dedup_columns(F.col("_names")))
-        .withColumn("_raw", F.slice(g, F.lit(2), F.size(g)))
+        .withColumn("_raw", F.slice(g, F.col("_n_header") + 1, F.greatest(F.size(g), F.lit(1))))
         .withColumn("rows", F.transform("_raw", lambda r: F.transform(r, normalize_cell)))
         .withColumn("columns", sanitize_stub_columns(F.col("_unique"), F.col("rows")))
         .withColumn("table_markdown", to_markdown(F.col("columns"), F.col("rows")))
@@ -314,7 +378,8 @@ def enrich(df: DataFrame, grid: str = "grid", text: str = "text") -> DataFrame:
             "unit_multiplier", unit_multiplier(F.coalesce(tx.nonblank(F.col(text)), F.col("table_markdown")))
         )
         .withColumn("is_valid_structure", is_valid_table(F.col("columns"), F.col("rows")))
-        .drop("_names", "_unique", "_raw")
+        .withColumn("table_json", table_json(F.col("columns"), F.col("header_paths"), F.col("_raw"), F.col("unit_multiplier"), F.col("is_valid_structure")))
+        .drop("_names", "_unique", "_raw", "_heads", "_n_header")
     )
 
 

@@ -246,6 +246,11 @@ def typed_text(value: Column, sql_type: Column) -> Column:
     )
 
 
+def typed_records(columns: Column, rows: Column, types: Column) -> Column:
+    """Rows as maps of column to typed text, padded or cut to the header; a repeated name holds its last value."""
+    return F.transform(rows, lambda r: _record(columns, F.transform(columns, lambda c, i: typed_text(F.get(r, i), F.get(types, i)))))
+
+
 PREVIEW_ROWS = 5
 
 

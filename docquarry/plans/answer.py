@@ -28,21 +28,25 @@ def evidence_lists(best: DataFrame) -> DataFrame:
 
 
 def top_table_answers(
-    hits: DataFrame, regions: DataFrame, queries: rv.Queries, config: EngineConfig
+    hits: DataFrame, regions: DataFrame, queries: rv.Queries, config: EngineConfig, tables: DataFrame | None = None
 ) -> DataFrame:
-    """Per query the best table's statement and its rows, for queries routed to tables."""
+    """Per query the best table's statement and its rows, for queries routed to tables.
+
+    ``tables`` takes the typed tables of a region store; without them the winners' tables are typed here.
+    """
     hits = hits.filter(F.col("batch") == rv.BATCH_SQL)
     order = [F.col("score").desc(), F.col("doc_pos").asc(), F.col("region_idx").asc()]
     best = ranking.top_k(hits, ["query_id"], order, 1).select("query_id", "doc_pos", "region_idx")
     asked = rv.routed_queries(regions.sparkSession, queries, config.router).select("query_id", "lowered")
     # One row per query of the batch on both small sides.
     chosen = cut_lineage(best.join(F.broadcast(asked), "query_id"))
-    tables = tb.with_region_table(regions.filter(F.col("type") == "table"))
-    tables = tables.withColumn("table", ts.region_table(F.col("table"), F.col("text")))
-    t = tables.select("doc_pos", "region_idx", "table.columns", "table.rows").join(
-        F.broadcast(chosen), ["doc_pos", "region_idx"]
-    )
-    t = t.withColumn("types", ts.infer_types(F.col("columns"), F.col("rows")))
+    if tables is None:
+        found = tb.with_region_table(regions.filter(F.col("type") == "table"))
+        found = found.withColumn("table", ts.region_table(F.col("table"), F.col("text"))).select("doc_pos", "region_idx", "table.columns", "table.rows")
+        t = found.join(F.broadcast(chosen), ["doc_pos", "region_idx"])
+        t = t.withColumn("types", ts.infer_types(F.col("columns"), F.col("rows")))
+    else:
+        t = tables.select("doc_pos", "region_idx", "columns", "rows", "types").join(F.broadcast(chosen), ["doc_pos", "region_idx"])
     t = t.withColumn("plan", ts.template_plan(F.col("lowered"), F.col("columns"), F.col("types")))
     return t.select(
         "query_id",
@@ -51,16 +55,21 @@ def top_table_answers(
     )
 
 
-def answer_queries(regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None) -> DataFrame:
-    """One row per query: answer, statement, evidence, citations and attribution."""
+def answer_queries(
+    regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None, hits: DataFrame | None = None, tables: DataFrame | None = None
+) -> DataFrame:
+    """One row per query: answer, statement, evidence, citations and attribution.
+
+    ``hits`` and ``tables`` take those of a region store.
+    """
     config = config or EngineConfig()
-    hits = hy.written_hits(regions, queries, config)
+    hits = hy.written_hits(regions, queries, config) if hits is None else hits
     evidence = evidence_lists(hy.hybrid_retrieve(regions, queries, config, hits))
     asked = rv.routed_queries(regions.sparkSession, queries, config.router)
     rows = (
         asked.select("query_id", "query")
         .join(evidence, "query_id", "left")
-        .join(top_table_answers(hits, regions, queries, config), "query_id", "left")
+        .join(top_table_answers(hits, regions, queries, config, tables), "query_id", "left")
         .withColumn("evidence", F.coalesce("evidence", F.array().cast(evidence.schema["evidence"].dataType)))
     )
     rows = rows.withColumn("answer", ge.template_answer(F.col("evidence"), F.col("sql_rows")))
@@ -74,10 +83,12 @@ def answer_queries(regions: DataFrame, queries: rv.Queries, config: EngineConfig
     return at.attribute(rows, enabled=cfg.enable_nli, threshold=cfg.flag_threshold_precision)
 
 
-def service_answers(regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None) -> DataFrame:
+def service_answers(
+    regions: DataFrame, queries: rv.Queries, config: EngineConfig | None = None, hits: DataFrame | None = None
+) -> DataFrame:
     """The service wrapper: keyword paths, a second late fusion of the cut list, canned answer."""
     config = config or EngineConfig()
-    best = cut_lineage(hy.query_service(regions, queries, config))
+    best = cut_lineage(hy.query_service(regions, queries, config, hits))
     # The cut list is ranked anew per modality by its fused score; it holds a few rows per query.
     ranked = best.withColumnRenamed("rank", "_was")
     order = [F.col("score").desc(), F.col("_was").asc()]

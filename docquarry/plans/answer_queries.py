@@ -10,6 +10,7 @@ from docquarry.operators import export as ex
 from docquarry.operators import generate as ge
 from docquarry.plans import answer as an
 from docquarry.plans import inputs as I
+from docquarry.plans import retrieval_queries as rq
 
 MAX_TOKENS = 700
 
@@ -142,14 +143,15 @@ def export_sft(spark, sf):
 
 
 def answer_queries(spark, sf):
-    out = an.answer_queries(I.regions(spark, sf), I.QUERY_SET)
+    store = rq.region_store(spark, sf)
+    out = an.answer_queries(store.regions(spark), I.QUERY_SET, hits=rq._hits(spark, sf), tables=store.tables(spark))
     return out.select(
         "query_id", "sql_query", "answer", "supported_claims", "total_claims", "attribution_precision", "status"
     )
 
 
 def service_answers(spark, sf):
-    out = an.service_answers(I.regions(spark, sf), I.QUERY_SET)
+    out = an.service_answers(rq.region_store(spark, sf).regions(spark), I.QUERY_SET, hits=rq._hits(spark, sf, use_sql=False))
     return out.select("query_id", "answer", "prompt", "attribution_precision", "status")
 
 

@@ -19,6 +19,7 @@ from docquarry.operators import retrieve as rv
 from docquarry.operators import route as rt
 from docquarry.operators import segment as sg
 from docquarry.operators import sparse as sp
+from docquarry.operators import store as st
 from docquarry.operators import substring as ss
 from docquarry.plans import hybrid as hy
 from docquarry.plans import ingest_queries as iq
@@ -83,17 +84,15 @@ _PATH_TYPES = {
 }
 
 
-def substring_index(spark, sf):
-    """Written index of the words of all regions, by region type."""
-    index = ss.SubstringIndex("")
-    units = I.regions(spark, sf).select(*index.keys, "type", "text")
-    return replace(index, path=I.written(spark, sf, "region-words", lambda p: ss.build(units, replace(index, path=p))))
+def region_store(spark, sf):
+    """The corpus written once for all searches over regions."""
+    return st.RegionStore(I.written(spark, sf, "region-store", lambda p: st.write_store(I.regions(spark, sf), st.RegionStore(p))))
 
 
 def _keyword_path(spark, sf, batch):
     """Ranked keyword hits of a path, from the index of the regions' words."""
     queries = spark.createDataFrame(I.QUERY_SET, "query_id bigint, query string")
-    found = ss.found_terms(spark, substring_index(spark, sf), queries, _PATH_TYPES[batch])
+    found = ss.found_terms(spark, region_store(spark, sf).words, queries, _PATH_TYPES[batch])
     hits = found.select("query_id", "doc_pos", "region_idx", rv.keyword_score(F.col("type"), F.col("found"), F.col("n_terms")).alias("score"))
     ranked = rv.ranked_hits(cut_lineage(hits))
     return ranked.select("query_id", "rank", "doc_pos", "region_idx", "score", (F.col("region_idx") + 1).cast("bigint").alias("item_no"))
@@ -113,16 +112,24 @@ def ret_vision_keyword(spark, sf):
 
 def idx_word_grams(spark, sf):
     """Three-letter grams of the written word index with the number of words that hold them."""
-    return spark.read.parquet(f"{substring_index(spark, sf).path}/grams").groupBy("gram").agg(F.count("*").alias("words"))
+    return spark.read.parquet(f"{region_store(spark, sf).words.path}/grams").groupBy("gram").agg(F.count("*").alias("words"))
 
 
 def ret_table_sql(spark, sf):
-    regions = I.regions(spark, sf).filter("type = 'table'")
-    hits = rv.region_hits(regions, I.QUERY_SET, route_all=True)
-    ranked = rv.ranked_hits(cut_lineage(hits.filter(F.col("batch") == rv.BATCH_SQL)))
+    hits = st.table_hits(spark, region_store(spark, sf), I.QUERY_SET, route_all=True)
+    ranked = rv.ranked_hits(cut_lineage(hits))
     return ranked.select("query_id", "rank", "doc_pos", "region_idx", "score", "item_no")
 
 
+def sql_table_store(spark, sf):
+    """Written tables with the types and faults found at ingestion, and the fields of their typed records."""
+    tables = region_store(spark, sf).tables(spark)
+    rows = F.expr("cast(records as array<map<string, string>>)")
+    filled = F.aggregate(rows, F.lit(0), lambda a, r: a + F.size(F.filter(F.map_values(r), lambda v: v.isNotNull())))
+    return tables.select("doc_pos", "region_idx", F.array_join("columns", "|").alias("columns"), F.array_join("types", "|").alias("types"),
+                         F.coalesce("error", F.lit("")).alias("error"), F.size(rows).alias("records"), filled.alias("filled"))
+
+
 def ret_keyword_overlap(spark, sf):
     docs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("doc_pos"), "text")
     return rv.overlap_top_k(docs, I.QUERY_SET, 10)
@@ -146,10 +153,14 @@ def idx_bm25_stats(spark, sf):
     return stats.select("modality", "n_units", tx.pyround(F.col("avgdl"), 6).alias("avgdl"))
 
 
+def _stored_units(spark, sf):
+    return region_store(spark, sf).regions(spark).filter(F.col("modality") != "vision").select("modality", "doc_pos", "region_idx", "text")
+
+
 def unit_index(spark, sf):
     """Written index of the text and table regions, one collection per modality."""
     index = sp.SparseIndex("", ("doc_pos", "region_idx"), ("modality",))
-    return replace(index, path=I.written(spark, sf, "region-postings", lambda p: sp.write_segment(_units(spark, sf), replace(index, path=p))))
+    return replace(index, path=I.written(spark, sf, "region-postings", lambda p: sp.write_segment(_stored_units(spark, sf), replace(index, path=p))))
 
 
 def document_index(spark, sf):
@@ -269,17 +280,22 @@ def ret_dense_lsh(spark, sf):
 # --- fusion --------------------------------------------------------------------------------------
 
 
-def _hits(spark, sf):
-    return cut_lineage(rv.region_hits(I.regions(spark, sf), I.QUERY_SET))
+def _hits(spark, sf, config=None, use_sql=True):
+    return cut_lineage(st.hits(spark, region_store(spark, sf), I.QUERY_SET, config and config.router, use_sql))
+
+
+def _written_hits(spark, sf):
+    """The hits of the query set, written once for the queries that fuse them."""
+    return spark.read.parquet(I.written(spark, sf, "region-hits", lambda p: st.hits(spark, region_store(spark, sf), I.QUERY_SET).write.parquet(p)))
 
 
 def fuse_normalize(spark, sf):
-    out = fu.normalize(_hits(spark, sf), ["query_id", "batch"], few_groups=True)
+    out = fu.normalize(_written_hits(spark, sf), ["query_id", "batch"], few_groups=True)
     return out.select("query_id", "batch", "doc_pos", "region_idx", "score", "nscore")
 
 
 def _runs(spark, sf, keep=None):
-    hits = _hits(spark, sf)
+    hits = _written_hits(spark, sf)
     if keep:
         hits = hits.filter(keep)
     ranked = fu.rank_runs(fu.normalize(hits, ["query_id", "batch"], few_groups=True))
@@ -299,7 +315,7 @@ def fuse_rrf(spark, sf):
 
 def fuse_late(spark, sf):
     """One flat list of keyword hits grouped by modality, raw scores, default weights."""
-    hits = _hits(spark, sf).filter(F.col("batch") != rv.BATCH_SQL)
+    hits = _written_hits(spark, sf).filter(F.col("batch") != rv.BATCH_SQL)
     ranked = fu.rank_runs(hits, [("score", False)])
     doc = F.col("doc_pos").cast("string")
     ranked = ranked.withColumn("weight", fu.default_weight(F.col("modality"))).withColumn("item_id", hy._item_id(doc))
@@ -374,13 +390,13 @@ def rank_topk(spark, sf):
 
 
 def hybrid_retrieve(spark, sf):
-    out = hy.hybrid_retrieve(I.regions(spark, sf), I.QUERY_SET)
+    out = hy.hybrid_retrieve(region_store(spark, sf).regions(spark), I.QUERY_SET, hits=_hits(spark, sf))
     return out.select("query_id", "rank", "document_id", "item_id", "region_idx", "modality", "score", "rrf_score", "rank_score", "text")
 
 
 def query_service(spark, sf):
     config = cf.EngineConfig.load_preset("quality_max")
-    out = hy.query_service(I.regions(spark, sf), I.QUERY_SET, config)
+    out = hy.query_service(region_store(spark, sf).regions(spark), I.QUERY_SET, config, _hits(spark, sf, config, use_sql=False))
     return out.select("query_id", "rank", "document_id", "region_idx", "modality", "score", "rank_score")
 
 
@@ -397,6 +413,7 @@ QUERIES = {
         ret_vision_keyword,
         idx_word_grams,
         ret_table_sql,
+        sql_table_store,
         ret_keyword_overlap,
         idx_bm25_build,
         idx_bm25_stats,
@@ -639,6 +656,12 @@ SELECT item_id AS query_id, {I.rnd('least(1, a / greatest(1, n * 2))', 3)} AS p_
 SELECT gram, count(*) AS words
 FROM (SELECT DISTINCT word, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))) AS gram FROM words) GROUP BY gram""",
     "ret_table_sql": _path("batch = 2"),
+    "sql_table_store": I.with_(PLANNED)
+    + """, filled AS (
+  SELECT c.document_id, c.region_idx, count(*) FILTER (sql_type = 'VARCHAR' OR c.v NOT IN ('', '-', '—', 'N/A', 'null', 'None', 'nan')) AS filled
+  FROM col_cells c JOIN col_types USING (document_id, region_idx, col_no) GROUP BY ALL)
+SELECT r.doc_pos, t.region_idx, array_to_string(cols, '|') AS columns, array_to_string(types, '|') AS types, '' AS error, len(rows) AS records, filled
+FROM typed t JOIN filled USING (document_id, region_idx) JOIN (SELECT DISTINCT doc_pos, document_id FROM corpus) r USING (document_id)""",
     "ret_keyword_overlap": I.with_(I.QUERIES_CTE)
     + f""", q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS qt FROM query_set),
 s AS (

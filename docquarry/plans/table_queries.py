@@ -217,7 +217,26 @@ def tbl_sanitize_stub(spark, sf):
 
 def tbl_enrich(spark, sf):
     out = tb.enrich(_grids(spark, sf).withColumn("text", F.lit(None).cast("string")))
-    return out.select("doc_id", "table_markdown", "table_html", "unit_multiplier", "is_valid_structure")
+    return out.select("doc_id", "table_markdown", "table_html", "unit_multiplier", "is_valid_structure", "table_json")
+
+
+def tbl_enrich_cells(spark, sf):
+    """Line items as cells of one table per order, with two header rows: years above, months below."""
+    items = I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("text"))
+
+    def cell(row, col, span, header, text, y):
+        box = F.struct(y.cast("double").alias("y0"), col.cast("double").alias("x0"))
+        return F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), F.lit(1).alias("row_span"), span.cast("int").alias("col_span"),
+                        F.lit(header).alias("column_header"), text.alias("text"), box.alias("bbox"))
+
+    n = F.col("l_linenumber")
+    # An order has few lines, so its cells are one small array; of lines at one place the greatest text counts.
+    body = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(cell(n + 1, n % 2, F.lit(1), False, F.col("text"), n + 1))).alias("body"))
+    heads = [cell(F.lit(1), F.lit(i), F.lit(1), True, F.lit(t), F.lit(1)) for i, t in ((1, "High"), (0, "Low"))]
+    heads.append(cell(F.lit(0), F.lit(0), F.lit(2), True, F.lit("Quantity (in thousands)"), F.lit(0)))
+    tables = body.select("l_orderkey", F.concat(F.array(*heads), "body").alias("cells"), F.lit(None).cast("array<array<string>>").alias("grid"), F.lit("in thousands").alias("text"))
+    out = tb.enrich(tables, cells="cells")
+    return out.select("l_orderkey", "table_markdown", "unit_multiplier", "is_valid_structure", "table_json")
 
 
 def _cells(spark, sf):
@@ -415,6 +434,7 @@ QUERIES = {
         tbl_validate,
         tbl_sanitize_stub,
         tbl_enrich,
+        tbl_enrich_cells,
         sql_infer_types,
         sql_sanitize_cells,
         sql_typed_table,
@@ -575,6 +595,19 @@ d AS (SELECT t, max(r) + 1 AS nr, max(c + span) AS nc FROM c GROUP BY t),
 f AS (SELECT t, r, unnest(range(0, nc)) AS c FROM (SELECT t, nc, unnest(range(0, nr)) AS r FROM d))
 SELECT f.t AS table_id, f.r AS row, string_agg(coalesce(v, ''), chr(31) ORDER BY f.c) AS cells
 FROM f LEFT JOIN c ON c.t = f.t AND c.r = f.r AND c.c = f.c GROUP BY ALL""",
+    "tbl_enrich_cells": """WITH c AS (
+  SELECT l_orderkey, l_linenumber AS r, l_linenumber % 2 AS c, max(printf('%.2f', l_quantity::DOUBLE)) AS t FROM lineitem GROUP BY ALL),
+v AS (SELECT *, CASE WHEN t LIKE '%.00' THEN left(t, length(t) - 1) ELSE rtrim(t, '0') END AS num FROM c),
+f AS (SELECT l_orderkey, unnest(range(1, m + 1)) AS r FROM (SELECT l_orderkey, max(r) AS m FROM c GROUP BY l_orderkey)),
+w AS (
+  SELECT f.l_orderkey, f.r, coalesce(max(num) FILTER (c = 0), '') AS low, coalesce(max(num) FILTER (c = 1), '') AS high
+  FROM f LEFT JOIN v ON v.l_orderkey = f.l_orderkey AND v.r = f.r GROUP BY ALL),
+j AS (SELECT *, CASE WHEN low = '' THEN '""' ELSE low END AS a, CASE WHEN high = '' THEN '""' ELSE high END AS b FROM w)
+SELECT l_orderkey, '| quantity_in_thousands_low | quantity_in_thousands_high |' || chr(10) || '| --- | --- |' || chr(10)
+    || string_agg('| ' || low || ' | ' || high || ' |', chr(10) ORDER BY r) AS table_markdown, 1000::BIGINT AS unit_multiplier, true AS is_valid_structure,
+  '{"columns": ["quantity_in_thousands_low","quantity_in_thousands_high"], "header_paths": [["Quantity (in thousands)","Low"],["Quantity (in thousands)","High"]], "rows": ['
+    || string_agg('[' || a || ', ' || b || ']', ', ' ORDER BY r) || '], "unit_multiplier": 1000, "is_valid_structure": true}' AS table_json
+FROM j GROUP BY l_orderkey""",
     "tbl_spatial_sort": I.with_(GRIDS)
     + """, w AS (
   SELECT doc_id, i, flatten(grid)[i] AS w FROM grids, LATERAL (SELECT unnest(range(1, len(flatten(grid)) + 1)) AS i)),

@@ -371,3 +371,78 @@ def test_rouge_l_equals_the_table_of_prefixes(spark):
         a, b = (a or "").lower().split(), (b or "").lower().split()
         lcs = plain(a, b) if len(a) < 1000 else min(len(a), len(b))
         assert found[i] == (lcs, round(lcs / max(1, len(b)), 4))
+
+
+# --- the region store, the cut before fusion, and tables of cells --------------------------------
+
+
+def test_store_gives_the_hits_of_a_scan(spark, tmp_path):
+    from docquarry.operators import retrieve as rv
+    from docquarry.operators import store as st
+    from docquarry.plans import inputs as I
+
+    regions = I.regions(spark, "/root/testdata/sf0.001").filter("doc_pos < 60")
+    store = st.RegionStore(str(tmp_path / "store"))
+    st.write_store(regions, store)
+    queries = [*I.QUERY_SET, (11, ""), (12, "item item revenue figure"), (13, "TOTAL assets of ε")]
+    for options in ({}, {"use_sql": False}, {"route_all": True}):
+        want = rv.region_hits(regions, queries, **options)
+        found = st.hits(spark, store, queries, **options)
+        rows = [sorted((tuple(x if not isinstance(x, float) else round(x, 12) for x in r) for r in df.select(want.columns).collect()), key=str) for df in (want, found)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_cut_before_fusion_changes_no_row(spark, monkeypatch, k):
+    from dataclasses import replace
+
+    from docquarry.config import EngineConfig
+    from docquarry.plans import hybrid as hy
+    from docquarry.plans import inputs as I
+
+    regions = I.regions(spark, "/root/testdata/sf0.001").filter("doc_pos < 80")
+    config = EngineConfig()
+    config = replace(config, reranker=replace(config.reranker, final_top_k=k))
+    hits = hy.written_hits(regions, I.QUERY_SET, config)
+    kept = hy.reachable(hits, config, True).count()
+    runs = []
+    for whole in (False, True):
+        if whole:
+            monkeypatch.setattr(hy, "reachable", lambda hits, *_: hits)
+        both = (hy.hybrid_retrieve(regions, I.QUERY_SET, config, hits), hy.query_service(regions, I.QUERY_SET, config))
+        runs.append([sorted(map(tuple, df.select("query_id", "rank", "item_id", "modality", "score", "rank_score").collect())) for df in both])
+    assert runs[0] == runs[1] and runs[0][0] and kept < hits.count()
+
+
+def test_tables_of_cells(spark):
+    import json
+
+    from docquarry.operators import tables as tb
+
+    kind = "t int, text string, grid array<array<string>>, cells array<struct<row:int,col:int,row_span:int,col_span:int,column_header:boolean,text:string,bbox:struct<y0:double,x0:double>>>"
+    box = lambda y, x: (float(y), float(x))
+    segments = [  # header cells out of order on the page, a shared heading, a cell written twice
+        (1, 1, 1, 1, True, "Q2 2024", box(20, 200)), (1, 0, 1, 1, True, "Q1 2024", box(20, 100)), (0, 0, 1, 2, True, "Revenue by Segment", box(10, 100)),
+        (0, 2, 1, 1, True, "Operating Expenses", box(10, 300)), (1, 2, 1, 1, True, "Total", box(20, 300)), (2, 0, 1, 1, False, "(1,234.50)", None),
+        (2, 2, 1, 1, False, "$5,000", None), (3, 1, 1, 1, False, "old", None), (3, 1, 1, 1, False, 'say "hi"', None), (3, 2, 1, 1, False, None, None)]
+    rows = [
+        (1, "in millions", None, segments),
+        (2, None, [["a", "b"], ["x", "1"]], []),
+        (3, None, None, []),
+        (4, None, [["name", "n"], ["y", "2"], ["z", "3"]], [(0, 0, 1, 1, False, "Name", None), (0, 1, 1, 1, False, "N", None)]),
+        (5, None, None, [(5, 0, 1, 1, False, "late", None)]),
+        (6, None, [["h"]], None),
+    ]
+    found = {r.t: r for r in tb.enrich(spark.createDataFrame(rows, kind), cells="cells").collect()}
+    assert set(found) == {1, 2, 4, 5, 6}
+    one = json.loads(found[1].table_json)
+    assert one["columns"] == ["revenue_by_segment_q1_2024", "revenue_by_segment_q2_2024", "operating_expenses_total"]
+    assert one["header_paths"] == [["Revenue by Segment", "Q1 2024"], ["Revenue by Segment", "Q2 2024"], ["Operating Expenses", "Total"]]
+    assert one["rows"] == [[-1234.5, "", 5000], ["", 'say "hi"', ""]] and one["unit_multiplier"] == 1_000_000 and one["is_valid_structure"] is True
+    assert found[1].rows == [["-1234.5", "", "5000"], ["", 'say "hi"', ""]] and found[1].table_markdown.startswith("| revenue_by_segment_q1_2024 |")
+    assert json.loads(found[2].table_json)["rows"] == [["x", 1]] and found[2].columns == ["a", "b"]
+    assert found[4].columns == ["name", "n"] and [len(r) for r in found[4].rows] == [2, 2]
+    assert json.loads(found[5].table_json)["rows"] == [[""]] * 4 + [["late"]]  # its first row is the header
+    assert found[6].rows == [] and not found[6].is_valid_structure
+    plain = tb.enrich(spark.createDataFrame(rows, kind).filter("t = 2")).first()
+    assert plain.table_json == found[2].table_json
