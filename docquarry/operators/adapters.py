@@ -74,6 +74,21 @@ def ocr_regions(scanned: DataFrame, load: Load, apply: Apply, image: str = "imag
     )
 
 
+def with_ocr(
+    regions: DataFrame, pages: DataFrame, load: Load, apply: Apply, image: str = "image", min_chars: int = 20
+) -> DataFrame:
+    """Regions and, after them, what OCR reads on scanned pages: detect, read, append.
+
+    ``pages`` (``document_id, page_no, has_image``, image, and ``path`` where not all are PDF files) holds
+    the rendered pages. Only those from which fewer than ``min_chars`` characters came are read, and
+    pages that read blank add nothing. Columns that OCR does not know are null.
+    """
+    if "path" in pages.columns:
+        pages = pages.filter(F.lower("path").endswith(".pdf"))
+    scanned = sg.scanned_pages(pages, sg.page_char_counts(regions), min_chars)
+    return regions.unionByName(ocr_regions(scanned, load, apply, image), allowMissingColumns=True)
+
+
 def parse_layout(files: DataFrame, load: Load, apply: Callable[[Any, str, bytes], list[dict]]) -> DataFrame:
     """Files to layout items, then regions. ``apply`` gives dicts of the item fields for one file."""
     items = (
