@@ -459,6 +459,35 @@ def chunk_statistics(chunks: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
+def chunk_quality(chunks: DataFrame, groups: list[str], doc: str = "document_id", text: str = "text") -> DataFrame:
+    """Per group: chunks, documents, chunks per document, exact median of words, and share of chunks that end within a sentence.
+
+    A chunk ends a sentence if its last sign is a full stop, an exclamation or a question mark. The
+    median keeps one count per distinct length.
+    """
+    body = tx.strip(F.coalesce(text, F.lit("")))
+    n = F.count("*")
+    return chunks.groupBy(*groups).agg(
+        n.alias("n_chunks"),
+        F.count_distinct(doc).alias("n_documents"),
+        tx.pyround(n / F.count_distinct(doc), 4).alias("chunks_per_document"),
+        F.percentile(F.size(tx.words(body)), F.lit(0.5)).alias("median_tokens"),
+        tx.pyround(F.lit(100.0) * F.count_if(~body.rlike(r"[.!?]\z")) / n, 4).alias("sentence_split_pct"),
+    )
+
+
+def chunk_overlap(chunks: DataFrame, groups: list[str], doc: str = "document_id", order: str = "win", text: str = "text") -> DataFrame:
+    """Per group: pairs of neighbouring chunks of a document, and the mean share of a chunk's distinct words that its next has too.
+
+    Chunks of one document are put in order, so a task holds no more than a document's chunks.
+    """
+    words = F.array_distinct(tx.words(F.coalesce(text, F.lit(""))))
+    rows = chunks.select(*groups, doc, order, words.alias("_a"))
+    rows = rows.withColumn("_b", F.lead("_a").over(Window.partitionBy(doc).orderBy(order))).filter(F.col("_b").isNotNull())
+    share = F.size(F.array_intersect("_a", "_b")) / F.greatest(F.size("_a"), F.lit(1))
+    return rows.groupBy(*groups).agg(F.count("*").alias("neighbours"), tx.pyround(F.lit(100.0) * F.avg(share), 4).alias("overlap_pct"))
+
+
 def audit_rollup(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Documents, characters and empty texts per group, with subtotals and the total, in one pass.
 

@@ -14,12 +14,14 @@ from docquarry.functions import text as tx
 from docquarry.functions.rows import beside
 from docquarry.operators import attribute as at
 from docquarry.operators import benchmark as bm
+from docquarry.operators import chunk as ck
 from docquarry.operators import evaluate as ev
 from docquarry.operators import export as ex
 from docquarry.operators import joins
 from docquarry.operators import segment as sg
 from docquarry.operators import tables as tb
 from docquarry.plans import answer_queries as aq
+from docquarry.plans import ingest_queries as iq
 from docquarry.plans import inputs as I
 from docquarry.plans import retrieval_queries as rq
 from docquarry.plans import table_queries as tq
@@ -262,6 +264,19 @@ def doc_chunk_stats(spark, sf):
     return ev.chunk_statistics(sg.region_chunks(I.regions(spark, sf)), ["modality"])
 
 
+def _window_chunks(spark, sf):
+    docs = I.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return ck.token_windows(docs, size=64, overlap=16)
+
+
+def doc_chunk_quality(spark, sf):
+    return ev.chunk_quality(_window_chunks(spark, sf), ["lang"], "doc_id", "window_text")
+
+
+def doc_chunk_overlap(spark, sf):
+    return ev.chunk_overlap(_window_chunks(spark, sf), ["lang"], "doc_id", "win", "window_text")
+
+
 def doc_dup_chunk_pct(spark, sf):
     docs = I.table(spark, sf, "documents")
     return ev.chunk_statistics(docs, ["lang"]).select("lang", "n_chunks", "duplicate_pct")
@@ -304,6 +319,8 @@ QUERIES = {
         bench_extended_suite,
         src_dataset_items,
         doc_chunk_stats,
+        doc_chunk_quality,
+        doc_chunk_overlap,
         doc_dup_chunk_pct,
         export_triplets,
         export_reranker_pairs,
@@ -466,6 +483,14 @@ FROM runs WHERE name <> 'full'""",
     "doc_chunk_stats": I.with_(I.REGIONS)
     + f"""SELECT modality, count(*) AS n_chunks, {I.rnd('avg(length(text))', 2)} AS mean_length, {I.rnd('var_pop(length(text))', 2)} AS length_variance,
   {I.rnd('100 * (count(*) - count(DISTINCT text)) / count(*)::DOUBLE', 4)} AS duplicate_pct FROM regions GROUP BY modality""",
+    "doc_chunk_quality": I.with_(iq._windows("documents", "doc_id", 64, 16))
+    + f"""SELECT d.lang, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_documents, {I.rnd('count(*) / count(DISTINCT doc_id)::DOUBLE', 4)} AS chunks_per_document,
+  median(len(part))::DOUBLE AS median_tokens, {I.rnd("100 * count(*) FILTER (NOT regexp_matches(array_to_string(part, ' '), '[.!?]$')) / count(*)::DOUBLE", 4)} AS sentence_split_pct
+FROM windows w JOIN (SELECT doc_id, lang FROM documents) d USING (doc_id) GROUP BY d.lang""",
+    "doc_chunk_overlap": I.with_(iq._windows("documents", "doc_id", 64, 16))
+    + f"""SELECT d.lang, count(*) AS neighbours, {I.rnd('100 * avg(len(list_intersect(a, b)) / greatest(len(a), 1)::DOUBLE)', 4)} AS overlap_pct
+FROM (SELECT doc_id, list_distinct(part) AS a, lead(list_distinct(part)) OVER (PARTITION BY doc_id ORDER BY win) AS b FROM windows) w
+JOIN (SELECT doc_id, lang FROM documents) d USING (doc_id) WHERE b IS NOT NULL GROUP BY d.lang""",
     "doc_dup_chunk_pct": f"""SELECT lang, count(*) AS n_chunks, {I.rnd('100 * (count(*) - count(DISTINCT text)) / count(*)::DOUBLE', 4)} AS duplicate_pct
 FROM documents GROUP BY lang""",
     "export_triplets": I.with_(RUN)
