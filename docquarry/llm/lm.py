@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ HIDDEN = 24
 STRIDE, ROUNDS, BATCH, RATE = 1, 2, 2048, 0.15
 BLOCKS = 16
 SCORE_BATCH = 8192
-# Words that a task counts before it hands them on.
-HELD_WORDS = 400_000
+# Words that a task counts before it hands them on, bytes of text that it scores at once.
+HELD_WORDS, SLICE_BYTES = 400_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,18 +51,33 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Output ids of the words of a text."""
+        return self.codes(_tokens(text))
+
+    def codes(self, tokens: list[bytes]) -> np.ndarray:
         first, get, n = self.size - self.buckets, self.ids.get, self.buckets
-        return np.array([i if (i := get(w)) is not None else first + zlib.crc32(w) % n for w in _tokens(text)], np.int32)
+        return np.array([i if (i := get(w)) is not None else first + zlib.crc32(w) % n for w in tokens], np.int32)
 
-    def rare(self, text: str | None) -> Counter:
-        """Counts of the words of a text that share hash buckets."""
-        return Counter(w for w in _tokens(text) if w not in self.ids)
+    def rare(self, tokens: list[bytes]) -> Counter:
+        """Counts of those words that share hash buckets."""
+        return Counter(w for w in tokens if w not in self.ids)
 
 
 def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z and ASCII spaces only
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to rows whose texts hold about ``most`` bytes together; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a partition, in parts of at most about ``HELD_WORDS`` words."""
 
@@ -236,7 +252,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "do
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, squares = Network(vocab, hidden, start.value.copy()), Network(vocab, hidden, np.full(len(start.value), 1e-6, np.float32))
-            texts = (vocab.encode(x) for b in batches for x in b["text"].to_pylist())
+            texts = (vocab.encode(x.as_py()) for b in batches for x in b["text"])
             seen = 0
             for context, target in _batches(texts, own, BATCH, stride):
                 own.train(context, target, squares)
@@ -276,14 +292,17 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(vocab, hidden, flat.value)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            coded = [vocab.encode(x) for x in texts]
+        for batch in _slices(batches):
+            tokens = [_tokens(x.as_py()) for x in batch["text"]]
+            coded = [vocab.codes(t) for t in tokens]
             sizes = np.array([len(t) for t in coded], np.int64)
             logs = [own.log_probs(c, t) - totals[t] for c, t in _batches(iter(coded), own, SCORE_BATCH)]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             sums = np.bincount(owner, np.concatenate(logs) if logs else None, len(sizes)) if len(owner) else np.zeros(len(sizes))
-            words = pa.array([list(vocab.rare(x).items()) for x in texts], pa.map_(pa.binary(), pa.int64()))
+            rare_words = [vocab.rare(t) for t in tokens]
+            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rare_words], dtype=np.int32)))
+            held, times = [w for r in rare_words for w in r], [n for r in rare_words for n in r.values()]
+            words = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(held, pa.binary()), pa.array(times, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes), pa.array(sums.astype(float)), words], ["doc_id", "n_tokens", "log_sum", "rare"],
             )
