@@ -49,7 +49,8 @@ def rank_runs(
     With ``only`` (``keys``, ``doc_pos``, ``region_idx``, ``batch``) the ranks of those hits among all.
     """
     levels = levels or [("nscore", False), ("batch", True), ("score", False)]
-    return ranking.exact_rank(hits, list(keys), levels, ties=("region_idx", "batch"), only=only)
+    ties = ("region_idx", "batch") if "batch" in hits.columns else ("region_idx",)
+    return ranking.exact_rank(hits, list(keys), levels, ties=ties, only=only)
 
 
 def fuse_rrf(
