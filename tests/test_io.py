@@ -141,3 +141,18 @@ def test_answers_end_to_end(spark, tmp_path):
     assert rows[1].total_claims >= 1 and rows[1].citations[0].chunk_id == "c-1"
     service = {r.query_id: r for r in an.service_answers(regions, queries).collect()}
     assert "[T1]" in service[1].answer and service[2].answer == "No supporting evidence found."
+
+
+def test_streamed_table_of_several_files(spark, tmp_path):
+    from docquarry.plans import inputs as I
+    from docquarry.plans import source_queries as sq
+
+    rows = [(i, f"Title {i}\n\nbody of {i}", "en", "web", 10) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    (tmp_path / "one").mkdir()
+    frame.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    frame.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    many, one, none = (sq.stream_region_chunks(spark, f"{tmp_path}/{name}") for name in ("many", "one", "none"))
+    assert many.count() == one.count() == I.regions(spark, f"{tmp_path}/many").count() > 6 and none.count() == 0 and many.dtypes == none.dtypes
+    assert sorted(many.collect()) == sorted(one.collect())
