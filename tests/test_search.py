@@ -446,3 +446,34 @@ def test_tables_of_cells(spark):
     assert found[6].rows == [] and not found[6].is_valid_structure
     plain = tb.enrich(spark.createDataFrame(rows, kind).filter("t = 2")).first()
     assert plain.table_json == found[2].table_json
+
+
+def test_dense_search_as_matrices_keeps_ties_and_odd_vectors(spark, monkeypatch):
+    """Each tile passes on k rows per query; copies, ties, nulls and other lengths rank as by plain sums."""
+    monkeypatch.setattr(ix, "TILE_ROWS", 40)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 5)).round(2).tolist()
+    rows = [*enumerate(base), *((100 + i, base[i % 3]) for i in range(30)), (200, None), (201, [1.0, None, 2.0, 3.0, 4.0]), (202, [1.0, 2.0]), (203, [float("nan")] * 5), (None, base[0])]
+    asked = [(i, base[i]) for i in range(0, 60, 7)] + [(900, None), (901, [1.0, 2.0]), (902, [float("inf")] * 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, qv array<double>")
+
+    def score(q, v):
+        if q is None or v is None or len(q) != len(v) or None in v:
+            return None
+        return float(np.rint(sum(a * b for a, b in zip(q, v)) * 1e4) / 1e4)
+
+    def place(row):
+        s, i = row
+        rank = (2, 0.0) if s is None else (0, 0.0) if np.isnan(s) else (1, -s)
+        return rank, i is not None, i or 0
+
+    found = {}
+    for r in ix.dense_top_k(vectors, queries, 8).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert len(found) == len(asked)
+    for name, q in asked:
+        want = sorted(((score(q, v), i) for i, v in rows), key=place)[:8]
+        assert repr(found[name]) == repr(want), name
+    met = ix._met(vectors.filter("vec_id < 200"), queries.filter("query_id < 900"), "vec_id", "embedding", 4, 40, 90, 9)
+    assert ix._best_scores(*met, 2).groupBy("query_id").count().filter("count > 6").count() == 0
