@@ -124,13 +124,13 @@ def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
     return F.aggregate(pairs, empty, step, lambda acc: acc["spans"])
 
 
-def disclosing(found: DataFrame, held: DataFrame, total: int, threshold: float = DISCLOSURE, repeated: bool = True) -> DataFrame:
+def disclosing(found: DataFrame, held: DataFrame, total: int, threshold: float = DISCLOSURE, repeated: bool = True, copies: bool = True) -> DataFrame:
     """``entity, term`` pairs whose disclosure reaches the threshold.
 
     ``found`` has ``doc, unit, entities, terms`` of the documents with entities, with a hash of the
-    text as ``unit``: a pair that stands in several documents counts only if their texts differ, as
-    copies of a text give no support. ``held`` has a row for each ``term`` of each document.
-    ``repeated`` tells whether a document may have several rows.
+    text as ``unit``; ``held`` has a row for each ``term`` of each document. ``repeated`` tells whether
+    a document may have several rows. Without ``copies`` a pair that stands in several documents counts
+    only if their texts differ. Terms are counted before their shuffle, so that it holds distinct terms.
     """
     of = found.select("doc", F.explode("entities").alias("entity")).groupBy("entity").agg(F.countDistinct("doc").alias("n_e"))
     near = found.select("doc", "unit", "terms", F.explode("entities").alias("entity"))
@@ -138,27 +138,29 @@ def disclosing(found: DataFrame, held: DataFrame, total: int, threshold: float =
     if repeated:
         near = near.groupBy("doc", "entity", "term").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.min("low").alias("low"), F.max("high").alias("high"))
-    joint = saved(joint.filter("n_te = 1 OR low < high").select("entity", "term", "n_te").join(of, "entity"))
-    counts = held.join(bounded(joint.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    joint = joint if copies else joint.filter("n_te = 1 OR low < high")
+    joint = saved(joint.select("entity", "term", "n_te").join(of, "entity"))
+    counts = held.groupBy("term").agg(F.count("*").alias("n_t"))
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     return joint.join(counts, "term").filter((content > 0) & (pmi >= F.lit(threshold) * content)).select("entity", "term")
 
 
-def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = DISCLOSURE) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = DISCLOSURE, copies: bool = False) -> DataFrame:
     """``doc_id, base, terms`` for every row: entities, and spans of the terms that disclose one of the corpus.
 
     See ``spans_by_text``.
     """
-    return spans_by_text(docs, text, key, threshold).drop("unit")
+    return spans_by_text(docs, text, key, threshold, copies).drop("unit")
 
 
-def spans_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = DISCLOSURE) -> DataFrame:
+def spans_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = DISCLOSURE, copies: bool = False) -> DataFrame:
     """``doc_id, unit, base, terms`` for every row, ``unit`` being the hash of its text.
 
     The last two are arrays of ``start, rank, end, value`` in order; code points, end exclusive. Null texts
     are empty. Rows that repeat an id are one document in the statistics; rows come back as often as
-    they occur. An empty table gives no rows.
+    they occur. An empty table gives no rows. With ``copies`` pairs known from copies of one text only
+    count like any other.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.sha2("text", 256).alias("unit"), entities(F.col("text")).alias("base"))
@@ -170,7 +172,7 @@ def spans_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
     held = parts.select("doc_id", F.explode("terms").alias("term"))
     repeated = (ids[1] or 0) > 1
     held = held.distinct() if repeated else held
-    told = saved(disclosing(found, held, ids[0], threshold, repeated).select("term").distinct())
+    told = saved(disclosing(found, held, ids[0], threshold, repeated, copies).select("term").distinct())
     place = [F.col("doc_id").alias("at_doc"), F.col("unit").alias("at_unit")]
     holding = parts.select("doc_id", "unit", F.explode("terms").alias("term")).join(bounded(told), "term")
     holding = saved(holding.groupBy(*place).agg(F.collect_set("term").alias("told")))

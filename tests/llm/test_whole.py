@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from docquarry.llm import linededup, lm, pii, simhash
+from docquarry.llm import linededup, lm, pii, queries, simhash
 
 
 def test_ip_parts_of_zeros(spark):
@@ -126,3 +126,14 @@ def test_lines_of_rows_without_an_id_of_their_own(spark):
     cut = lambda t, first: t if first else "\n".join(x for x in t.split("\n") if x != known)
     assert sorted(found, key=str) == sorted([(i, cut(t, i == 1)) for i, t in rows], key=str)
     assert sorted(r["removed"] for r in linededup.removed_lines(frame).collect()) == [[], [], [], [0], [0]]
+
+
+def test_terms_known_from_copies_only_disclose(spark, tmp_path):
+    """The registered query keeps every pair that meets the threshold, also where one text's copies alone hold it."""
+    filler = [(100 + i, f"the weather number w{i} and rain") for i in range(60)]
+    copies = [(50 + i, "same page by Quill q@mail.example.com") for i in range(5)]
+    frame = spark.createDataFrame([*filler, *copies], "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["spans"] for r in queries.op8_pii(spark, str(tmp_path)).collect()}
+    assert all(found[i] == "term:0:4,term:5:9,term:13:18,email:19:37" for i in range(50, 55))
+    assert all(found[i] == "" for i, _ in filler)
