@@ -143,7 +143,7 @@ def export_sft(spark, sf):
 
 
 def answer_queries(spark, sf):
-    store = rq.region_store(spark, sf)
+    store = rq.region_store(spark, sf, "tables")
     out = an.answer_queries(store.regions(spark), I.QUERY_SET, hits=rq._hits(spark, sf), tables=store.tables(spark))
     return out.select(
         "query_id", "sql_query", "answer", "supported_claims", "total_claims", "attribution_precision", "status"

@@ -135,3 +135,47 @@ def test_statements_that_fail_are_previewed(spark):
     assert [(r["error"], r["score"]) for r in found] == [(c[3], c[4]) for c in cases]
     assert [dict(x) for x in found[1]["rows"]] == [{"n": "x", "m": "9" * 20}, {"n": "y", "m": "1"}]
     assert [x["amount"] for x in found[2]["rows"]] == ["-1008.00", "5.50", None, None]
+
+
+def test_cells_are_cleaned_once(spark):
+    """A lambda's body evaluates whatever it repeats again, so each step of a cell's typing stands there once."""
+    frame = spark.createDataFrame([], "columns array<string>, rows array<array<string>>, v string, t string")
+    for value in (ts.infer_types(F.col("columns"), F.col("rows")), ts.sanitize_number(F.col("v"), F.col("t")), ts._out_of_range(F.col("v"), F.col("t"))):
+        plan = frame.select(value.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("[,$€£%]") == 1, plan
+
+
+def test_word_searches_do_not_wait_for_tables(spark, tmp_path, monkeypatch):
+    from docquarry.operators import store as st
+    from docquarry.plans import retrieval_queries as rq
+
+    rows = [(i, f"Title {i}\n\nthe body and that of {i}\nalpha beta g", "en", "web", 10) for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def fail(*_):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(st, "write_tables", fail)
+    monkeypatch.setitem(rq._PARTS, "tables", fail)
+    assert rq.ret_text_keyword(spark, str(tmp_path)).count() > 0 and rq.idx_word_grams(spark, str(tmp_path)).count() > 0
+    monkeypatch.undo()
+    assert rq.ret_table_sql(spark, str(tmp_path)).count() > 0
+
+
+def test_postings_of_a_bucket_are_dealt_on(spark, monkeypatch):
+    """The postings of one bucket are sorted and packed by several tasks, with one shuffle, and make the same blocks."""
+    from docquarry.operators import sparse as sp
+
+    index = sp.SparseIndex("", ("doc_pos",), buckets=1)
+    units = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 50}" for j in range(20))) for i in range(300)], "doc_pos long, text string")
+    packed = sp.packed(sp.unit_postings(units, index, range_units=32), index)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = packed.filter("term is not null").select(F.spark_partition_id().alias("p")).distinct().count()
+        plan = packed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert tasks > 2 and plan.count("Exchange hashpartitioning(bucket") == 1
+    found = packed.groupBy("term", "range").count()
+    assert found.filter("count > 1").count() == 0 and packed.agg(F.sum("n")).first()[0] == sp.unit_postings(units, index).count()
