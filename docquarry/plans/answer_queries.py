@@ -11,6 +11,7 @@ from docquarry.operators import generate as ge
 from docquarry.plans import answer as an
 from docquarry.plans import inputs as I
 from docquarry.plans import retrieval_queries as rq
+from docquarry.session import cut_lineage
 
 MAX_TOKENS = 700
 
@@ -144,14 +145,14 @@ def export_sft(spark, sf):
 
 def answer_queries(spark, sf):
     store = rq.region_store(spark, sf, "tables")
-    out = an.answer_queries(store.regions(spark), I.QUERY_SET, hits=rq._hits(spark, sf), tables=store.tables(spark))
+    out = an.answer_queries(store.regions(spark), I.QUERY_SET, hits=rq._written_hits(spark, sf), tables=store.tables(spark))
     return out.select(
         "query_id", "sql_query", "answer", "supported_claims", "total_claims", "attribution_precision", "status"
     )
 
 
 def service_answers(spark, sf):
-    out = an.service_answers(rq.region_store(spark, sf).regions(spark), I.QUERY_SET, hits=rq._hits(spark, sf, use_sql=False))
+    out = an.service_answers(rq.region_store(spark, sf).regions(spark), I.QUERY_SET, hits=cut_lineage(rq._hits(spark, sf, use_sql=False)))
     return out.select("query_id", "answer", "prompt", "attribution_precision", "status")
 
 

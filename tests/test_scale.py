@@ -179,3 +179,28 @@ def test_postings_of_a_bucket_are_dealt_on(spark, monkeypatch):
     assert tasks > 2 and plan.count("Exchange hashpartitioning(bucket") == 1
     found = packed.groupBy("term", "range").count()
     assert found.filter("count > 1").count() == 0 and packed.agg(F.sum("n")).first()[0] == sp.unit_postings(units, index).count()
+
+
+def test_one_batch_of_searches_writes_no_word_index(spark, tmp_path, monkeypatch):
+    """Queries that fuse the hits of one batch score them in a pass over the regions."""
+    from docquarry.operators import store as st
+    from docquarry.plans import answer_queries as aq
+    from docquarry.plans import inputs as I
+    from docquarry.plans import retrieval_queries as rq
+
+    rows = [(i, f"Title {i}\n\nthe body and that of {i}\nalpha beta g\nTable: revenue\n| item | revenue 2024 |\n| --- | --- |\n| a | {i} |", "en", "web", 10) for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sf = str(tmp_path)
+
+    def fail(*_):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setitem(rq._PARTS, "words", fail)
+    monkeypatch.setitem(rq._PARTS, "tables", fail)
+    queries = (rq.fuse_normalize, rq.fuse_rrf, rq.fuse_late, rq.fuse_batches, rq.hybrid_retrieve, rq.query_service, aq.service_answers)
+    assert all(query(spark, sf).count() > 0 for query in queries)
+    monkeypatch.undo()
+    columns = ["query_id", "doc_pos", "region_idx", "batch", "score", "jaccard"]
+    want = st.hits(spark, rq.region_store(spark, sf, "words", "tables"), I.QUERY_SET).select(*columns)
+    found = rq._written_hits(spark, sf).select(*columns)
+    assert found.count() > 0 and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
