@@ -477,3 +477,21 @@ def test_dense_search_as_matrices_keeps_ties_and_odd_vectors(spark, monkeypatch)
         assert repr(found[name]) == repr(want), name
     met = ix._met(vectors.filter("vec_id < 200"), queries.filter("query_id < 900"), "vec_id", "embedding", 4, 40, 90, 9)
     assert ix._best_scores(*met, 2).groupBy("query_id").count().filter("count > 6").count() == 0
+
+
+def test_scan_of_one_batch_equals_the_index(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["red", "green", "blue", "tin", "oak", "fir", "elm", "the"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:50], None, "", "the of"])]
+    docs = spark.createDataFrame(rows, "doc_pos long, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "red tin tin"), (2, "oak"), (2, "fir oak"), (3, "nowhere"), (4, ""), (None, "elm"), (5, "the green blue elm")], "query_id long, query string")
+    index = sp.SparseIndex(str(tmp_path / "x"), ("doc_pos",), ("modality",))
+    sp.write_segment(docs.selectExpr("'text' AS modality", "doc_pos", "text"), index, range_units=32)
+    monkeypatch.setattr(sp, "SCAN_UNITS", 16)
+    columns = ["query_id", "rank", "doc_pos", "score"]
+    for k in (1, 7, 400):
+        want = sorted(map(tuple, sp.search(spark, index, queries, k).select(*columns).collect()))
+        assert want and sorted(map(tuple, sp.scan(docs, queries, k).select(*columns).collect())) == want
+    assert sp.scan(docs.unionByName(docs.limit(1)), queries) is None and sp.scan(docs.selectExpr("nullif(doc_pos, 3) AS doc_pos", "text"), queries) is None
+    monkeypatch.setattr(sp, "SCAN_TERMS", 3)
+    assert sp.scan(docs, queries) is None
