@@ -204,3 +204,16 @@ def test_one_batch_of_searches_writes_no_word_index(spark, tmp_path, monkeypatch
     want = st.hits(spark, rq.region_store(spark, sf, "words", "tables"), I.QUERY_SET).select(*columns)
     found = rq._written_hits(spark, sf).select(*columns)
     assert found.count() > 0 and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def test_documents_of_one_id_are_one_unit_in_fusion(spark, tmp_path):
+    from docquarry.operators import store as st
+    from docquarry.plans import inputs as I
+    from docquarry.plans import retrieval_queries as rq
+
+    rows = [(i % 3, "Title\n\nthe body and that\nTable: revenue\n| item | revenue 2024 |\n| --- | --- |\n| a | 1 |", "en", "web", 10) for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sf = str(tmp_path)
+    want = st.hits(spark, rq.region_store(spark, sf, "words", "tables"), I.QUERY_SET)
+    found = rq._written_hits(spark, sf).select(*want.columns)
+    assert found.count() > 0 and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
