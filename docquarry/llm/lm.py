@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ HIDDEN = 24
 STRIDE, ROUNDS, BATCH, RATE = 1, 2, 2048, 0.15
 BLOCKS = 16
 SCORE_BATCH = 8192
+# Rows of an Arrow batch, and bytes of their texts, that a task holds as Python objects while it scores.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 # Words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 
@@ -55,13 +58,36 @@ class Vocabulary:
 
     def rare(self, text: str | None) -> Counter:
         """Counts of the words of a text that share hash buckets."""
-        return Counter(w for w in _tokens(text) if w not in self.ids)
+        return self.encode_with_rare(text)[1]
+
+    def encode_with_rare(self, text: str | None) -> tuple[np.ndarray, Counter]:
+        """Output ids of the words of a text, and counts of those that share hash buckets; the text is split once."""
+        words, get = _tokens(text), self.ids.get
+        codes = [get(w, -1) for w in words]
+        rare = Counter(w for w, i in zip(words, codes) if i < 0)
+        first, n = self.size - self.buckets, self.buckets
+        shared = {w: first + zlib.crc32(w) % n for w in rare}
+        ids = [i if i >= 0 else shared[w] for w, i in zip(words, codes)] if rare else codes
+        return np.array(ids, np.int32), rare
 
 
 def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z and ASCII spaces only
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > at and (i - at >= SLICE_ROWS or held + size > SLICE_BYTES):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    if len(sizes) > at:
+        yield batch.slice(at)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a partition, in parts of at most about ``HELD_WORDS`` words."""
 
@@ -276,16 +302,16 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(vocab, hidden, flat.value)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            coded = [vocab.encode(x) for x in texts]
+        for batch in (part for whole in batches for part in _slices(whole)):
+            coded, rare_words = zip(*(vocab.encode_with_rare(x.as_py()) for x in batch["text"]))
             sizes = np.array([len(t) for t in coded], np.int64)
-            logs = [own.log_probs(c, t) - totals[t] for c, t in _batches(iter(coded), own, SCORE_BATCH)]
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            sums = np.bincount(owner, np.concatenate(logs) if logs else None, len(sizes)) if len(owner) else np.zeros(len(sizes))
-            words = pa.array([list(vocab.rare(x).items()) for x in texts], pa.map_(pa.binary(), pa.int64()))
+            sums, owner, at = np.zeros(len(sizes)), np.repeat(np.arange(len(sizes)), sizes), 0
+            for c, t in _batches(iter(coded), own, SCORE_BATCH):
+                sums += np.bincount(owner[at : at + len(t)], own.log_probs(c, t) - totals[t], len(sizes))
+                at += len(t)
+            words = pa.array([list(r.items()) for r in rare_words], pa.map_(pa.binary(), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes), pa.array(sums.astype(float)), words], ["doc_id", "n_tokens", "log_sum", "rare"],
+                [batch["doc_id"], pa.array(sizes), pa.array(sums), words], ["doc_id", "n_tokens", "log_sum", "rare"],
             )
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))

@@ -2,8 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from docquarry.llm import linededup, lm, pii, queries, simhash
@@ -137,3 +139,25 @@ def test_terms_known_from_copies_only_disclose(spark, tmp_path):
     found = {r["doc_id"]: r["spans"] for r in queries.op8_pii(spark, str(tmp_path)).collect()}
     assert all(found[i] == "term:0:4,term:5:9,term:13:18,email:19:37" for i in range(50, 55))
     assert all(found[i] == "" for i, _ in filler)
+
+
+def test_lm_holds_few_rows_of_a_batch(spark, monkeypatch):
+    """A batch is scored in slices bounded by rows and bytes, in order; sums do not depend on them."""
+    texts = ["a b", None, "", "c " * 40, "d e f", "g", "h i"] * 3
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    monkeypatch.setattr(lm, "SLICE_ROWS", 4)
+    monkeypatch.setattr(lm, "SLICE_BYTES", 20)
+    parts = list(lm._slices(batch))
+    assert [i for p in parts for i in p["doc_id"].to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= 4 for p in parts) and all(p.num_rows == 1 or sum(len(x or "") for x in p["text"].to_pylist()) <= 20 for p in parts)
+    assert not list(lm._slices(batch.slice(0, 0)))
+    vocab = lm.Vocabulary({b"a": 0, b"c": 1, b"d": 2}, classes=2, members=4, buckets=2)
+    assert all(list(vocab.encode_with_rare(t)[0]) == list(vocab.encode(t)) and vocab.rare(t) == Counter(w.encode() for w in (t or "").split() if w not in "acd") for t in texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    net = lm.Network(vocab, hidden=3)
+    runs = []
+    for rows in (1, 1000):
+        monkeypatch.setattr(lm, "SLICE_ROWS", rows)
+        monkeypatch.setattr(lm, "SLICE_BYTES", 1 << 20)
+        runs.append({r["doc_id"]: (r["n_tokens"], r["log_likelihood"]) for r in lm.score(frame, vocab, net).collect()})
+    assert len(runs[0]) == len(texts) and all(runs[0][i][0] == n and np.isclose(runs[0][i][1], x) for i, (n, x) in runs[1].items())
