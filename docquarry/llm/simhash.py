@@ -28,6 +28,8 @@ WIDTH = 64
 SHARD_ROWS = 4096
 # Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+# Texts whose sets a task holds at once.
+SLICE_ROWS = 256
 EPS = 1e-9
 
 
@@ -49,14 +51,23 @@ def shingles(text: bytes | None, size: int = 3) -> Iterator[np.ndarray]:
         yield np.fromiter((hash64(whole[s:e], SEED) for s, e in spans), np.uint64, to - at)
 
 
+def _bits(ones: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are set in over half of ``n`` hashes."""
+    return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
+
+
+def _ones(codes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: bytes | None, size: int = 3) -> int:
     """Unsigned SimHash of the ``size``-word shingles of a UTF-8 text, repeats included."""
     ones, n = np.zeros(WIDTH, np.int64), 0
     for codes in shingles(text, size):
         n += len(codes)
-        bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
+        ones += _ones(codes)
+    return _bits(ones, n)
 
 
 def _signed(x: int) -> int:
@@ -168,51 +179,106 @@ def links(codes: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> Da
     return rows.mapInArrow(run, "a long, b long")
 
 
-def alike(docs: DataFrame, likeness: float, text: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """``a, b``: codes, over ``radius`` bits apart, of the texts whose shingle sets have a Jaccard similarity of ``likeness``.
+def prefix_size(n: int, likeness: float) -> int:
+    """How many of the first of ``n`` hashes a set must share one of with any set of this Jaccard similarity."""
+    return n - math.ceil(n * likeness - EPS) + 1
 
-    Exact: two such sets share one of the first ``n - ceil(likeness n) + 1`` of their hashes in order.
-    Pairs that meet there are verified on the whole sets. Texts without words have no shingles.
+
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return rows.withColumn("unit", F.unhex(F.sha2("text", 256)))
+
+
+def prefixes(docs: DataFrame, likeness: float, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
+    """``row, doc_id, unit, code, id, n, hashes`` of every row, written down.
+
+    ``unit`` is a hash of the text and ``id`` one of its shingle set, ``n`` the size of that set and ``hashes`` its prefix.
     """
-    rows = docs.select(F.col(text).cast("binary").alias("text"))
-
-    def sets(whole: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for value in batch["text"]:
-                    parts = list(shingles(value.as_py(), size))
-                    if not parts:
-                        continue
-                    own = np.unique(np.concatenate(parts).view(np.int64))
-                    n = len(own)
-                    kept = own if whole else own[: n - math.ceil(n * likeness - EPS) + 1]
-                    code = _signed(fingerprint(value.as_py(), size))
-                    yield pa.RecordBatch.from_pydict(
-                        {"code": pa.array([code], pa.int64()), "id": pa.array([xxhash.xxh3_128_digest(own.tobytes())], pa.binary()),
-                         "n": pa.array([n], pa.int64()), "hashes": pa.array([kept], pa.list_(pa.int64()))})
-
-        return rows.mapInArrow(run, "code long, id binary, n long, hashes array<bigint>")
+    rows = _texts(docs, text, key)
 
-    # repeats inside a text count for its code: equal sets may have several
-    heads = saved(sets(False).dropDuplicates(["id", "code"]))
-    one = heads.select("id", "code", "n", F.posexplode("hashes").alias("place", "hash"))
-    c = lambda side, name: F.col(f"{side}.{name}")
-    need = F.ceil((c("x", "n") + c("y", "n")) * F.lit(likeness / (1 + likeness)) - EPS)
-    could = (
-        (c("y", "code") < c("x", "code"))
-        & (F.bit_count(c("x", "code").bitwiseXOR(c("y", "code"))) > radius)
-        & (F.least(c("x", "n"), c("y", "n")) >= F.greatest(c("x", "n"), c("y", "n")) * F.lit(likeness) - EPS)
-        & (F.least(c("x", "n") - c("x", "place"), c("y", "n") - c("y", "place")) >= need)
-    )
-    pairs = one.alias("x").join(one.alias("y"), (c("x", "hash") == c("y", "hash")) & could)
-    pairs = saved(pairs.select(c("x", "id").alias("x"), c("y", "id").alias("y"), c("x", "code").alias("a"), c("y", "code").alias("b")).distinct())
-    asked = saved(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct())
-    whole = saved(sets(True).join(bounded(asked), "id", "left_semi").dropDuplicates(["id"]).select("id", "hashes"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
+            codes, ids, sizes, heads = [], [], [], []
+            for value in batch["text"]:
+                parts = list(shingles(value.as_py(), size))
+                own = np.unique(np.concatenate(parts).view(np.int64)) if parts else np.empty(0, np.int64)
+                codes.append(_signed(_bits(sum(_ones(p) for p in parts), sum(map(len, parts)))) if parts else 0)
+                ids.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                heads.append(own[: prefix_size(len(own), likeness)])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["unit"], pa.array(codes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
+                ["doc_id", "unit", "code", "id", "n", "hashes"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"doc_id {kind}, unit binary, code long, id binary, n int, hashes array<bigint>")
+    return saved(found.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, likeness: float, text: str, key: str, size: int) -> DataFrame:
+    """Those of the pairs of rows ``x, y`` whose whole shingle sets have the likeness, with their codes ``a, b``."""
+    rows = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row"))).distinct()
+    asked = saved(heads.select("row", "unit").join(rows, "row"))
+    found = _texts(docs, text, key).join(bounded(asked.select("unit").distinct()), "unit", "left_semi").select("unit", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
+            sets = [np.unique(np.concatenate(list(shingles(x.as_py(), size))).view(np.int64)) for x in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["unit"], pa.array(sets, pa.list_(pa.int64()))], ["unit", "hashes"])
+
+    sets = found.dropDuplicates(["unit"]).mapInArrow(run, "unit binary, hashes array<bigint>")
+    sets = saved(sets.join(asked, "unit").select("row", "hashes"))
     for s in "xy":
-        pairs = pairs.join(whole.select(F.col("id").alias(s), F.col("hashes").alias(f"{s}_set")), s)
+        pairs = pairs.join(sets.select(F.col("row").alias(s), F.col("hashes").alias(f"{s}_set")), s)
     shared = F.size(F.array_intersect("x_set", "y_set"))
     enough = shared * F.lit(1 + likeness) >= (F.size("x_set") + F.size("y_set")) * F.lit(likeness) - EPS
-    return pairs.filter(enough).select("a", "b").distinct()
+    return saved(pairs.filter(enough).select("x", "y", "a", "b"))
+
+
+def alike(
+    docs: DataFrame, likeness: float, text: str = "text", size: int = 3, radius: int = 2, key: str = "doc_id", known: DataFrame | None = None
+) -> DataFrame:
+    """``a, b``: codes, over ``radius`` bits apart, of texts whose shingle sets have a Jaccard similarity of ``likeness``.
+
+    Exact, and enough to connect all such texts: two such sets share one of the first
+    ``n - ceil(likeness n) + 1`` of their hashes in order. What pairs share there, and what can follow
+    it, bounds the overlap; only pairs that it lets through are verified on the whole sets, each text
+    with its nearest first and then those that are not connected by then. Texts without words have no
+    shingles. ``known`` may hold the ``prefixes`` of ``docs``.
+    """
+    known = prefixes(docs, likeness, text, key, size) if known is None else known
+    # repeats inside a text count for its code: equal sets may have several
+    heads = saved(known.filter("n > 0").dropDuplicates(["id", "code"]).select("row", "unit", "code", "n", "hashes"))
+    one = heads.select("row", F.shiftleft(F.col("n").cast("long"), 32).alias("at"), F.posexplode("hashes").alias("place", "hash"))
+    one = one.select("row", "hash", F.col("at").bitwiseOR(F.col("place").cast("long")).alias("at"))
+    c = lambda side, name: F.col(f"{side}.{name}")
+    n = lambda side: F.shiftright(c(side, "at"), 32)
+    place = lambda side: c(side, "at").bitwiseAND(F.lit((1 << 32) - 1))
+    near = F.least(n("x"), n("y")) >= F.greatest(n("x"), n("y")) * F.lit(likeness) - EPS
+    met = one.alias("x").join(one.alias("y"), (c("x", "hash") == c("y", "hash")) & (c("y", "row") < c("x", "row")) & near)
+    met = met.groupBy(c("x", "row").alias("x"), c("y", "row").alias("y")).agg(F.count("*").alias("shared"), F.max(place("x")).alias("x_at"), F.max(place("y")).alias("y_at"))
+    # the set whose prefix ends first shares nothing more there; the other none before its last place shared
+    ends = heads.select("row", "code", "n", F.element_at("hashes", -1).alias("end"))
+    for s in "xy":
+        met = met.join(ends.select(F.col("row").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in ("code", "n", "end")]), s)
+    after = lambda s: F.col(f"{s}_n") - 1 - F.col(f"{s}_at")
+    beyond = lambda s: F.ceil(F.col(f"{s}_n") * F.lit(likeness) - EPS) - 1
+    x_first = F.least(beyond("x"), after("y"))
+    y_first = F.least(beyond("y"), after("x"))
+    more = F.when(F.col("x_end") < F.col("y_end"), x_first).when(F.col("x_end") > F.col("y_end"), y_first).otherwise(F.least(x_first, y_first))
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(likeness / (1 + likeness)) - EPS)
+    apart = F.bit_count(F.col("x_code").bitwiseXOR(F.col("y_code"))) > radius
+    met = met.filter(apart & (F.col("shared") + more >= need))
+    pairs = saved(met.select("x", "y", F.col("x_code").alias("a"), F.col("y_code").alias("b"), "shared"))
+    best = pairs.groupBy("x").agg(F.max_by(F.struct("y", "a", "b"), F.struct("shared", "y")).alias("best")).select("x", "best.*")
+    first = _verified(best, heads, docs, likeness, text, key, size)
+    roots = saved(components(first, "x", "y"))
+    rest = pairs.select("x", "y", "a", "b")
+    for s in "xy":
+        rest = rest.join(roots.select(F.col("node").alias(s), F.col("component").alias(f"{s}_root")), s, "left")
+    rest = saved(rest.filter(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y", "a", "b").join(best.select("x", "y"), ["x", "y"], "left_anti"))
+    return first.unionByName(_verified(rest, heads, docs, likeness, text, key, size)).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, radius: int = 2, likeness: float | None = None) -> DataFrame:
@@ -223,10 +289,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     Null, empty and wordless texts have code 0, which links like any other. Equal texts share a
     class; a null id counts for a class only if it has no other. An empty table gives no rows.
     """
-    coded = saved(fingerprints(docs, text, key, size))
+    coded = saved(fingerprints(docs, text, key, size)) if likeness is None else prefixes(docs, likeness, text, key, size)
     distinct = saved(coded.groupBy("code").agg(F.min("doc_id").alias("first")))
     near = links(distinct, radius)
-    found = components(near if likeness is None else near.unionByName(alike(docs, likeness, text, size, radius)))
+    found = components(near if likeness is None else near.unionByName(alike(docs, likeness, text, size, radius, key, coded)))
     rooted = distinct.join(found, F.col("code") == F.col("node"), "left").select(
         "code", "first", F.coalesce("component", "code").alias("root")
     )

@@ -161,3 +161,52 @@ def test_lm_holds_few_rows_of_a_batch(spark, monkeypatch):
         monkeypatch.setattr(lm, "SLICE_BYTES", 1 << 20)
         runs.append({r["doc_id"]: (r["n_tokens"], r["log_likelihood"]) for r in lm.score(frame, vocab, net).collect()})
     assert len(runs[0]) == len(texts) and all(runs[0][i][0] == n and np.isclose(runs[0][i][1], x) for i, (n, x) in runs[1].items())
+
+
+def _words_of(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_alike_links_all_similar_texts_and_builds_few_whole_sets(spark, monkeypatch):
+    """Texts that share some shingles only are told apart by their prefixes; links connect what brute force connects."""
+    rng = random.Random(5)
+    common, rows = _words_of(rng, 12), []
+    for base in (_words_of(rng, rng.randrange(60, 200)) for _ in range(12)):
+        for changes in (0, 1, 1, 2, 4, 6):  # a chain of copies around the likeness
+            base = list(base)
+            for _ in range(changes):
+                base[rng.randrange(len(base))] = f"n{rng.randrange(10**6)}"
+            rows.append(base)
+    rows += [common + _words_of(rng, rng.randrange(60, 120)) for _ in range(80)]
+    rows += [["Same"] * 9, ["same"] * 30, [], ["a", "b"]]
+    texts = [" ".join(r) for r in rows]
+    sets = [{s for part in simhash.shingles(t.encode(), 5) for s in part.tolist()} for t in texts]
+    codes = [simhash._signed(simhash.fingerprint(t.encode(), 5)) for t in texts]
+    links = [
+        (codes[i], codes[j]) for i in range(len(sets)) for j in range(i)
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and ((codes[i] ^ codes[j]) & (1 << 64) - 1).bit_count() > 2
+    ]
+    built, write = [], simhash.saved
+
+    def counted(df):
+        result = write(df)
+        if result.columns == ["row", "hashes"]:
+            built.append(result.count())
+        return result
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    frame = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    found = [tuple(r) for r in simhash.alike(frame, 0.8, size=5).collect()]
+
+    def parts(pairs):
+        root = {}
+        for a, b in pairs:
+            for x in (a, b):
+                root.setdefault(x, x)
+            old, new = root[a], root[b]
+            root = {x: new if r == old else r for x, r in root.items()}
+        return {frozenset(x for x, r in root.items() if r == one) for one in root.values()}
+
+    assert parts(found) == parts(links) and len(links) > 20
+    assert {frozenset(p) for p in found} <= {frozenset(p) for p in links}
+    assert max(built) <= 80  # of 156 texts; those that share 8 of their shingles need no whole set
