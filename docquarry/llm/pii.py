@@ -33,6 +33,9 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 TERM = r"\p{L}++"
 # A term discloses an entity if it reveals this share of its information.
 DISCLOSURE, TERM_CHARS = 0.9, 3
+# Most frequent terms, and entities of most documents, whose counts go to every task.
+COMMON = 100_000
+EPS = 1e-9
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 TERM_SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -100,11 +103,28 @@ def _free(word: Column, spans: Column) -> Column:
     return (F.length(word["value"]) >= TERM_CHARS) & apart
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """A text without its entities, given in order, and without the runs of letters that reach into one; blanks take their place."""
+    letter = lambda at: F.substring(text, at, F.lit(1)).rlike(r"\p{L}")
+
+    def piece(at: Column, to: Column) -> Column:
+        part = F.substring(text, at + 1, to - at)
+        part = F.when((at > 0) & letter(at), F.regexp_replace(part, r"\A\p{L}++", "")).otherwise(part)
+        return F.when((to < F.length(text)) & letter(to + 1), F.regexp_replace(part, r"(?<!\p{L})\p{L}++\z", "")).otherwise(part)
+
+    def step(acc: Column, s: Column) -> Column:
+        more = F.when(s["start"] > acc["at"], F.concat(acc["parts"], F.array(piece(acc["at"], s["start"])))).otherwise(acc["parts"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("parts"))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(spans, empty, step, lambda acc: F.array_join(F.concat(acc["parts"], F.array(piece(acc["at"], F.length(text)))), " "))
+
+
 def _terms(text: Column, spans: Column) -> Column:
-    """Distinct terms of a whole text that stand outside its entities; no places are needed where it has none."""
-    plain = F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= TERM_CHARS)
-    free = F.transform(F.filter(matches(text, TERM), lambda w: _free(w, spans)), lambda w: w["value"])
-    return F.array_distinct(F.transform(F.when(F.size(spans) == 0, plain).otherwise(free), lambda w: F.lower(w)))
+    """Distinct terms of a whole text that stand outside its entities."""
+    rest = F.when(F.size(spans) == 0, text).otherwise(_outside(text, spans))
+    found = F.filter(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= TERM_CHARS)
+    return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
 
 
 def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
@@ -131,16 +151,26 @@ def disclosing(found: DataFrame, held: DataFrame, total: int, threshold: float =
     text as ``unit``; ``held`` has a row for each ``term`` of each document. ``repeated`` tells whether
     a document may have several rows. Without ``copies`` a pair that stands in several documents counts
     only if their texts differ. Terms are counted before their shuffle, so that it holds distinct terms.
+
+    A pair reaches the threshold only if the term stands in at most ``n_e ** threshold * total ** (1 - threshold)``
+    documents, ``n_e`` being those of the entity. Pairs of the ``COMMON`` most frequent terms that stand in
+    more are left out before their shuffle; all others are decided after it.
     """
+    counts = saved(held.groupBy("term").agg(F.count("*").alias("n_t")))
     of = found.select("doc", F.explode("entities").alias("entity")).groupBy("entity").agg(F.countDistinct("doc").alias("n_e"))
-    near = found.select("doc", "unit", "terms", F.explode("entities").alias("entity"))
-    near = near.select("doc", "entity", F.explode("terms").alias("term"), F.col("unit").alias("low"), F.col("unit").alias("high"))
+    of = saved(of)
+    wide = saved(of.orderBy(F.desc("n_e"), "entity").limit(COMMON).withColumnRenamed("n_e", "docs"))
+    least = wide.agg(F.min("docs")).first()[0] or 1  # no entity beside these stands in more documents
+    most = F.pow(F.coalesce("docs", F.lit(least)).cast("double"), F.lit(threshold)) * F.lit(float(total) ** (1 - threshold) * (1 + EPS))
+    hot = saved(counts.filter(F.col("n_t") > F.lit(float(total) ** (1 - threshold))).orderBy(F.desc("n_t"), "term").limit(COMMON))
+    near = found.select("doc", "unit", "terms", F.explode("entities").alias("entity")).join(F.broadcast(wide), "entity", "left")
+    near = near.select("doc", "entity", F.explode("terms").alias("term"), F.col("unit").alias("low"), F.col("unit").alias("high"), most.alias("most"))
+    near = near.join(F.broadcast(hot), "term", "left").filter("n_t IS NULL OR n_t <= most")
     if repeated:
         near = near.groupBy("doc", "entity", "term").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.min("low").alias("low"), F.max("high").alias("high"))
     joint = joint if copies else joint.filter("n_te = 1 OR low < high")
     joint = saved(joint.select("entity", "term", "n_te").join(of, "entity"))
-    counts = held.groupBy("term").agg(F.count("*").alias("n_t"))
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     return joint.join(counts, "term").filter((content > 0) & (pmi >= F.lit(threshold) * content)).select("entity", "term")
@@ -163,9 +193,10 @@ def spans_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
     count like any other.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.sha2("text", 256).alias("unit"), entities(F.col("text")).alias("base"))
+    rows = rows.select("doc_id", "text", F.sha2("text", 256).alias("unit"))
     # written down with its terms, as entities are dear to find and every pass below asks for them
-    parts = saved(rows.select("doc_id", "unit", "base", _terms(F.col("text"), F.col("base")).alias("terms")))
+    found = rows.select("doc_id", "text", "unit", entities(F.col("text")).alias("base"))
+    parts = saved(found.select("doc_id", "unit", "base", _terms(F.col("text"), F.col("base")).alias("terms")))
     names = F.array_distinct(F.transform("base", lambda s: F.concat(kind_name(s["rank"]), F.lit(":"), s["value"])))
     found = parts.filter(F.size("base") > 0).select(F.struct("doc_id").alias("doc"), F.xxhash64("unit").alias("unit"), names.alias("entities"), "terms")
     ids = docs.select(F.col(key).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count("*"), F.max("n")).first()
@@ -174,8 +205,8 @@ def spans_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
     held = held.distinct() if repeated else held
     told = saved(disclosing(found, held, ids[0], threshold, repeated, copies).select("term").distinct())
     place = [F.col("doc_id").alias("at_doc"), F.col("unit").alias("at_unit")]
-    holding = parts.select("doc_id", "unit", F.explode("terms").alias("term")).join(bounded(told), "term")
-    holding = saved(holding.groupBy(*place).agg(F.collect_set("term").alias("told")))
+    holding = parts.select("doc_id", "unit", "base", F.explode("terms").alias("term")).join(bounded(told), "term")
+    holding = saved(holding.groupBy(*place).agg(F.collect_set("term").alias("told"), F.any_value("base").alias("base")))
     at = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("unit") == F.col("at_unit"))
     spans = rows.join(bounded(holding), at).select(*place, _term_spans(F.col("text"), F.col("base"), F.col("told")).alias("spans"))
     spans = saved(spans.dropDuplicates(["at_doc", "at_unit"]))

@@ -1,11 +1,14 @@
 """Cases that a shortened operator gets wrong."""
 
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docquarry.llm import linededup, lm, pii, queries, simhash
@@ -210,3 +213,44 @@ def test_alike_links_all_similar_texts_and_builds_few_whole_sets(spark, monkeypa
     assert parts(found) == parts(links) and len(links) > 20
     assert {frozenset(p) for p in found} <= {frozenset(p) for p in links}
     assert max(built) <= 80  # of 156 texts; those that share 8 of their shingles need no whole set
+
+
+def test_terms_of_a_long_text_with_an_entity_take_linear_time(spark):
+    """Words that run into an entity are no terms; 40,000 words beside one entity take seconds."""
+    rows = [(0, "éa@b.com wort"), (1, "wort a@b.é a@b.comé end"), (2, "abc\n1.2.3.4abc def"), (3, "x@y.com,+49 30 1234567890 tel"), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", pii.entities(F.col("text")).alias("base"))
+    found = {r[0]: r[1] for r in frame.select("doc_id", pii._terms(F.col("text"), F.col("base"))).collect()}
+    assert found == {0: ["wort"], 1: ["wort", "end"], 2: ["abc", "def"], 3: ["tel"], 4: []}
+    words = " ".join("abcdefghij"[i % 7 :] + "xyz"[i % 3 :] + chr(97 + i % 26) for i in range(40_000))
+    long = spark.createDataFrame([(0, f"{words} a@b.com {words}")], "doc_id long, text string").select("text", pii.entities(F.col("text")).alias("base"))
+    start = time.monotonic()
+    assert long.select(F.size(pii._terms(F.col("text"), F.col("base")))).first()[0] > 100
+    assert time.monotonic() - start < 8
+
+
+def test_pairs_of_common_terms_are_left_out_before_their_shuffle(spark, monkeypatch):
+    """A term of more documents than any pair over the threshold can have is not counted beside each entity; pairs are those of brute force."""
+    rng = random.Random(2)
+    rows = [(i, f"alpha beta word{rng.randrange(40)} only{i} " + (f"user{i % 9}@mail.com" if i % 3 else "")) for i in range(200)]
+    written, write = [], pii.saved
+
+    def kept(df):
+        result = write(df)
+        written.append(result)
+        return result
+
+    monkeypatch.setattr(pii, "saved", kept)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: {s["value"].lower() for s in r["terms"]} for r in pii.detect(frame, copies=True).collect()}
+    held = {i: {w for w in t.split() if "@" not in w} for i, t in rows}
+    held = {i: {"".join(c for c in w if c.isalpha()) for w in ws} for i, ws in held.items()}
+    n, pairs = len(rows), set()
+    docs_of = {e: [i for i, t in rows if t.endswith(e)] for e in {t.split()[-1] for _, t in rows if "@" in t}}
+    for e, docs in docs_of.items():
+        for t in set().union(*held.values()):
+            n_te, n_t = sum(t in held[i] for i in docs), sum(t in ws for ws in held.values())
+            if n_te and math.log2(n_te * n / (n_t * len(docs))) >= 0.9 * math.log2(n / len(docs)):
+                pairs.add(t)
+    assert found == {i: ws & pairs for i, ws in held.items()}
+    joint = next(w for w in written if "n_te" in w.columns)
+    assert joint.filter("term IN ('alpha', 'beta')").isEmpty()
