@@ -30,6 +30,9 @@ SHARD_ROWS = 4096
 CHUNK = 1 << 16
 # Texts whose sets a task holds at once.
 SLICE_ROWS = 256
+# Hashes that a task counts at once, and the most frequent ones that decide the order of a set's hashes (9 MB).
+COUNTED = 1 << 21
+COMMON = 1 << 20
 EPS = 1e-9
 
 
@@ -189,30 +192,75 @@ def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.withColumn("unit", F.unhex(F.sha2("text", 256)))
 
 
+def _shingle_set(text: bytes | None, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct hashes of a text's shingles, as sorted signed numbers, and all of them in parts."""
+    parts = list(shingles(text, size))
+    return np.unique(np.concatenate(parts).view(np.int64)) if parts else np.empty(0, np.int64), parts
+
+
+def common_shingles(docs: DataFrame, text: str = "text", size: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The ``COMMON`` most frequent shingle hashes, sorted, and for each the bits of its number of texts.
+
+    All texts are read. A task passes on what occurs twice among ``COUNTED`` hashes, which is little, so
+    rare shingles may be missing. The result orders hashes: it decides what a search costs, not what it finds.
+    """
+    rows = docs.select(F.col(text).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+            hashes = np.sort(np.concatenate(held)) if held else np.empty(0, np.int64)
+            at = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True]))) if len(hashes) else np.zeros(1, np.int64)
+            times = np.diff(at)
+            return pa.RecordBatch.from_arrays([pa.array(hashes[at[:-1]][times > 1]), pa.array(times[times > 1])], ["hash", "n"])
+
+        held, n = [], 0
+        for batch in batches:
+            for value in batch["text"]:
+                held.append(_shingle_set(value.as_py(), size)[0])
+                n += len(held[-1])
+                if n >= COUNTED:
+                    yield repeated(held)
+                    held, n = [], 0
+        yield repeated(held)
+
+    counts = rows.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    best = counts.orderBy(F.desc("n"), "hash").limit(COMMON).select("hash", F.length(F.bin("n")).cast("byte").alias("level")).orderBy("hash").toArrow()
+    return best["hash"].to_numpy(), best["level"].to_numpy()
+
+
 def prefixes(docs: DataFrame, likeness: float, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
-    """``row, doc_id, unit, code, id, n, hashes`` of every row, written down.
+    """``row, doc_id, unit, code, id, n, hashes, level`` of every row, written down.
 
-    ``unit`` is a hash of the text and ``id`` one of its shingle set, ``n`` the size of that set and ``hashes`` its prefix.
+    ``unit`` is a hash of the text and ``id`` one of its shingle set, ``n`` the size of that set and ``hashes`` its prefix
+    in one order of all hashes: by level, 0 but for ``common_shingles``, then by value. ``level`` is that of the prefix's last.
     """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, size))
     rows = _texts(docs, text, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_levels = common.value
         for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
-            codes, ids, sizes, heads = [], [], [], []
+            codes, ids, sizes, heads, ends = [], [], [], [], []
             for value in batch["text"]:
-                parts = list(shingles(value.as_py(), size))
-                own = np.unique(np.concatenate(parts).view(np.int64)) if parts else np.empty(0, np.int64)
+                own, parts = _shingle_set(value.as_py(), size)
                 codes.append(_signed(_bits(sum(_ones(p) for p in parts), sum(map(len, parts)))) if parts else 0)
                 ids.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
-                heads.append(own[: prefix_size(len(own), likeness)])
+                levels = np.zeros(len(own), np.int8)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    levels = np.where(known[at] == own, known_levels[at], levels)
+                order = np.argsort(levels, kind="stable")[: prefix_size(len(own), likeness)]
+                heads.append(own[order])
+                ends.append(int(levels[order[-1]]) if len(order) else 0)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["unit"], pa.array(codes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
-                ["doc_id", "unit", "code", "id", "n", "hashes"],
+                [batch["doc_id"], batch["unit"], pa.array(codes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()),
+                 pa.array(heads, pa.list_(pa.int64())), pa.array(ends, pa.int8())],
+                ["doc_id", "unit", "code", "id", "n", "hashes", "level"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, unit binary, code long, id binary, n int, hashes array<bigint>")
+    found = rows.mapInArrow(run, f"doc_id {kind}, unit binary, code long, id binary, n int, hashes array<bigint>, level byte")
     return saved(found.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -224,7 +272,7 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, likeness: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
-            sets = [np.unique(np.concatenate(list(shingles(x.as_py(), size))).view(np.int64)) for x in batch["text"]]
+            sets = [_shingle_set(x.as_py(), size)[0] for x in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["unit"], pa.array(sets, pa.list_(pa.int64()))], ["unit", "hashes"])
 
     sets = found.dropDuplicates(["unit"]).mapInArrow(run, "unit binary, hashes array<bigint>")
@@ -237,48 +285,67 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, likeness: flo
 
 
 def alike(
-    docs: DataFrame, likeness: float, text: str = "text", size: int = 3, radius: int = 2, key: str = "doc_id", known: DataFrame | None = None
+    docs: DataFrame, likeness: float, text: str = "text", size: int = 3, radius: int = 2, key: str = "doc_id", known: DataFrame | None = None,
+    beside_links: bool = False,
 ) -> DataFrame:
     """``a, b``: codes, over ``radius`` bits apart, of texts whose shingle sets have a Jaccard similarity of ``likeness``.
 
     Exact, and enough to connect all such texts: two such sets share one of the first
-    ``n - ceil(likeness n) + 1`` of their hashes in order. What pairs share there, and what can follow
-    it, bounds the overlap; only pairs that it lets through are verified on the whole sets, each text
-    with its nearest first and then those that are not connected by then. Texts without words have no
-    shingles. ``known`` may hold the ``prefixes`` of ``docs``.
+    ``n - ceil(likeness n) + 1`` of their hashes, in an order that puts common ones last. What pairs share
+    there, and what can follow it, bounds the overlap; only pairs that it lets through are verified on the
+    whole sets. First each text meets, of the first and the nearest text before it at each hash, the one
+    met most often: that connects a crowd of copies at a linear cost. Then only texts that are not
+    connected yet meet, at hashes that such texts share. Texts without words have no shingles.
+    ``known`` may hold the ``prefixes`` of ``docs``. With ``beside_links`` texts that ``links`` of the radius connect
+    may be left to those.
     """
     known = prefixes(docs, likeness, text, key, size) if known is None else known
     # repeats inside a text count for its code: equal sets may have several
-    heads = saved(known.filter("n > 0").dropDuplicates(["id", "code"]).select("row", "unit", "code", "n", "hashes"))
+    heads = saved(known.filter("n > 0").dropDuplicates(["id", "code"]).select("row", "unit", "code", "n", "hashes", "level"))
     one = heads.select("row", F.shiftleft(F.col("n").cast("long"), 32).alias("at"), F.posexplode("hashes").alias("place", "hash"))
     one = one.select("row", "hash", F.col("at").bitwiseOR(F.col("place").cast("long")).alias("at"))
+    group = Window.partitionBy("hash").orderBy("row")
+    before, after_it = F.lag("row").over(group), F.lead("row").over(group)
+    one = one.select("row", "hash", "at", F.first("row").over(group).alias("first"), before.alias("last"), after_it.alias("next"))
+    # most hashes are those of one text and meet nothing
+    one = saved(one.filter("last IS NOT NULL OR next IS NOT NULL").drop("next"))
     c = lambda side, name: F.col(f"{side}.{name}")
     n = lambda side: F.shiftright(c(side, "at"), 32)
     place = lambda side: c(side, "at").bitwiseAND(F.lit((1 << 32) - 1))
     near = F.least(n("x"), n("y")) >= F.greatest(n("x"), n("y")) * F.lit(likeness) - EPS
-    met = one.alias("x").join(one.alias("y"), (c("x", "hash") == c("y", "hash")) & (c("y", "row") < c("x", "row")) & near)
-    met = met.groupBy(c("x", "row").alias("x"), c("y", "row").alias("y")).agg(F.count("*").alias("shared"), F.max(place("x")).alias("x_at"), F.max(place("y")).alias("y_at"))
-    # the set whose prefix ends first shares nothing more there; the other none before its last place shared
-    ends = heads.select("row", "code", "n", F.element_at("hashes", -1).alias("end"))
-    for s in "xy":
-        met = met.join(ends.select(F.col("row").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in ("code", "n", "end")]), s)
-    after = lambda s: F.col(f"{s}_n") - 1 - F.col(f"{s}_at")
-    beyond = lambda s: F.ceil(F.col(f"{s}_n") * F.lit(likeness) - EPS) - 1
-    x_first = F.least(beyond("x"), after("y"))
-    y_first = F.least(beyond("y"), after("x"))
-    more = F.when(F.col("x_end") < F.col("y_end"), x_first).when(F.col("x_end") > F.col("y_end"), y_first).otherwise(F.least(x_first, y_first))
-    need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(likeness / (1 + likeness)) - EPS)
-    apart = F.bit_count(F.col("x_code").bitwiseXOR(F.col("y_code"))) > radius
-    met = met.filter(apart & (F.col("shared") + more >= need))
-    pairs = saved(met.select("x", "y", F.col("x_code").alias("a"), F.col("y_code").alias("b"), "shared"))
-    best = pairs.groupBy("x").agg(F.max_by(F.struct("y", "a", "b"), F.struct("shared", "y")).alias("best")).select("x", "best.*")
-    first = _verified(best, heads, docs, likeness, text, key, size)
-    roots = saved(components(first, "x", "y"))
-    rest = pairs.select("x", "y", "a", "b")
-    for s in "xy":
-        rest = rest.join(roots.select(F.col("node").alias(s), F.col("component").alias(f"{s}_root")), s, "left")
-    rest = saved(rest.filter(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y", "a", "b").join(best.select("x", "y"), ["x", "y"], "left_anti"))
-    return first.unionByName(_verified(rest, heads, docs, likeness, text, key, size)).select("a", "b").distinct()
+    ends = heads.select("row", "code", "n", F.struct("level", F.element_at("hashes", -1).alias("hash")).alias("end"))
+
+    def possible(met: DataFrame) -> DataFrame:
+        """Pairs ``x, y`` of rows that meet, by what they share and what can follow; ``close`` ones need no more."""
+        met = met.groupBy(c("x", "row").alias("x"), c("y", "row").alias("y")).agg(F.count("*").alias("shared"), F.max(place("x")).alias("x_at"), F.max(place("y")).alias("y_at"))
+        # the set whose prefix ends first shares nothing more there; the other none before its last place shared
+        for s in "xy":
+            met = met.join(ends.select(F.col("row").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in ("code", "n", "end")]), s)
+        after = lambda s: F.col(f"{s}_n") - 1 - F.col(f"{s}_at")
+        beyond = lambda s: F.ceil(F.col(f"{s}_n") * F.lit(likeness) - EPS) - 1
+        x_first = F.least(beyond("x"), after("y"))
+        y_first = F.least(beyond("y"), after("x"))
+        more = F.when(F.col("x_end") < F.col("y_end"), x_first).when(F.col("x_end") > F.col("y_end"), y_first).otherwise(F.least(x_first, y_first))
+        need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(likeness / (1 + likeness)) - EPS)
+        close = F.bit_count(F.col("x_code").bitwiseXOR(F.col("y_code"))) <= radius
+        met = met.filter(close | (F.col("shared") + more >= need))
+        return saved(met.select("x", "y", F.col("x_code").alias("a"), F.col("y_code").alias("b"), close.alias("close")))
+
+    held = one.select(F.col("row").alias("x"), F.explode(F.array("first", "last")).alias("y")).filter("x <> y").groupBy("x", "y").count()
+    best = saved(held.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y")))
+    met = best.join(one.alias("x"), F.col("x") == c("x", "row")).join(one.alias("y"), (F.col("y") == c("y", "row")) & (c("x", "hash") == c("y", "hash")) & near)
+    pairs = possible(met)
+    first = _verified(pairs.filter("NOT close").drop("close"), heads, docs, likeness, text, key, size)
+    connected = first.select("x", "y")
+    if beside_links:
+        connected = connected.unionByName(pairs.filter("close").select("x", "y"))
+    roots = saved(components(connected, "x", "y"))
+    rest = one.select("row", "hash", "at").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("component", "row"))
+    mixed = rest.groupBy("hash").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    rest = saved(rest.join(mixed, "hash", "left_semi").select("row", "hash", "at", "root"))
+    met = rest.alias("x").join(rest.alias("y"), (c("x", "hash") == c("y", "hash")) & (c("y", "row") < c("x", "row")) & (c("x", "root") != c("y", "root")) & near)
+    pairs = possible(met).filter("NOT close").drop("close").join(best, ["x", "y"], "left_anti")
+    return first.unionByName(_verified(saved(pairs), heads, docs, likeness, text, key, size)).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, radius: int = 2, likeness: float | None = None) -> DataFrame:
@@ -292,7 +359,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     coded = saved(fingerprints(docs, text, key, size)) if likeness is None else prefixes(docs, likeness, text, key, size)
     distinct = saved(coded.groupBy("code").agg(F.min("doc_id").alias("first")))
     near = links(distinct, radius)
-    found = components(near if likeness is None else near.unionByName(alike(docs, likeness, text, size, radius, key, coded)))
+    found = components(near if likeness is None else near.unionByName(alike(docs, likeness, text, size, radius, key, coded, beside_links=True)))
     rooted = distinct.join(found, F.col("code") == F.col("node"), "left").select(
         "code", "first", F.coalesce("component", "code").alias("root")
     )

@@ -254,3 +254,41 @@ def test_pairs_of_common_terms_are_left_out_before_their_shuffle(spark, monkeypa
     assert found == {i: ws & pairs for i, ws in held.items()}
     joint = next(w for w in written if "n_te" in w.columns)
     assert joint.filter("term IN ('alpha', 'beta')").isEmpty()
+
+
+def test_crowds_and_common_shingles_make_few_pairs(spark, monkeypatch):
+    """Copies of one text, and texts with a common passage, meet in proportion to their number; links stay those of brute force."""
+    rng = random.Random(6)
+    base, passage = _words_of(rng, 120), _words_of(rng, 40)
+    rows = []
+    for i in range(120):  # each over 2 bits from most others, yet alike
+        words = list(base)
+        for at in rng.sample(range(0, 120, 10), 1):
+            words[at] = f"n{i}"
+        rows.append(words)
+    rows += [passage + _words_of(rng, 60) for _ in range(120)]
+    rows += [rows[0][:100] + _words_of(rng, 20), rows[1][5:]]
+    texts = [" ".join(r) for r in rows]
+    sets = [{s for part in simhash.shingles(t.encode(), 5) for s in part.tolist()} for t in texts]
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(alike) > 5000
+    paired, write = [], simhash.saved
+
+    def counted(df):
+        result = write(df)
+        if {"x", "y"} <= set(result.columns):
+            paired.append(result.count())
+        return result
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.classes(frame, size=5, likeness=0.8).collect()}
+    root = list(range(len(texts)))
+    codes = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (i, j) in alike or (codes[i] ^ codes[j]).bit_count() <= 2:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert found == dict(enumerate(root))
+    assert max(paired) <= 2 * len(texts)
