@@ -36,6 +36,8 @@ BLOCKS = 16
 SCORE_BATCH = 8192
 # Rows of an Arrow batch, and bytes of their texts, that a task holds as Python objects while it scores.
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+# Most frequent words outside the vocabulary whose counts a task holds while it scores (some 25 MB); the counts of the others are joined.
+FREQUENT = 1 << 18
 # Words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 
@@ -60,15 +62,21 @@ class Vocabulary:
         """Counts of the words of a text that share hash buckets."""
         return self.encode_with_rare(text)[1]
 
-    def encode_with_rare(self, text: str | None) -> tuple[np.ndarray, Counter]:
-        """Output ids of the words of a text, and counts of those that share hash buckets; the text is split once."""
-        words, get = _tokens(text), self.ids.get
-        codes = [get(w, -1) for w in words]
-        rare = Counter(w for w, i in zip(words, codes) if i < 0)
-        first, n = self.size - self.buckets, self.buckets
-        shared = {w: first + zlib.crc32(w) % n for w in rare}
-        ids = [i if i >= 0 else shared[w] for w, i in zip(words, codes)] if rare else codes
-        return np.array(ids, np.int32), rare
+    def encode_word(self, word: bytes) -> int:
+        """Output id of a word outside the vocabulary."""
+        return self.size - self.buckets + zlib.crc32(word) % self.buckets
+
+    def encode_with_rare(self, text: str | None, known: dict[bytes, int] | None = None) -> tuple[np.ndarray, Counter]:
+        """Output ids of the words of a text, and counts of those that share hash buckets; the text is split once.
+
+        ``known`` may hold numbers of more words than the vocabulary, which come back as they are and are not counted.
+        """
+        words, get = _tokens(text), (self.ids if known is None else known).get
+        ids = np.array([get(w, -1) for w in words], np.int32)
+        missing = np.flatnonzero(ids < 0)
+        others = [words[i] for i in missing.tolist()]
+        ids[missing] = [self.encode_word(w) for w in others]
+        return ids, Counter(others)
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -149,62 +157,101 @@ class Network:
         return np.stack([wide[reach + o : reach + o + n] for o in OFFSETS])
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.b + self.ctx[0, context[0]]
+        h = self.b + self.ctx[0].take(context[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            h = h + self.ctx[k, context[k]]
-        return np.tanh(h)
+            h += self.ctx[k].take(context[k], axis=0)
+        return np.tanh(h, out=h)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        """Softmax of each row, in place."""
+        Network._shift(z)
+        np.exp(z, out=z)
+        z /= z @ np.ones((z.shape[1], 1), z.dtype)
+        return z
 
-    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        kind = target // self.members
+    @staticmethod
+    def _shift(z: np.ndarray) -> None:
+        """Subtract each row's largest score where exponentials of the scores could leave the range of a float."""
+        if len(z) and not max(z.max(), -z.min()) < 60:
+            z -= z.max(axis=1, keepdims=True)
+
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the targets by class, and ``(class, from, to)`` of each run of one class there."""
+        kind = (target // self.members).astype(np.uint16 if len(self.cb) <= 1 << 16 else np.int32)  # short numbers sort in linear time
         order = np.argsort(kind, kind="stable")
-        found, at = np.unique(kind[order], return_index=True)
-        for c, rows in zip(found.tolist(), np.split(order, at[1:])):
-            yield c, rows
+        kind = kind[order]
+        at = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1], [True]))).tolist() if len(kind) else [0]
+        return order, [(int(kind[i]), i, j) for i, j in zip(at, at[1:])]
+
+    def _within(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Scores of the members of each row's class; the rows of ``h`` are sorted by class."""
+        z = np.empty((len(h), self.members), h.dtype)
+        for c, i, j in runs:
+            part = z[i:j]
+            np.matmul(h[i:j], self.out[c], out=part)
+            part += self.ob[c]
+        return z
+
+    @staticmethod
+    def _log_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log softmax of each row of ``z`` at one place."""
+        z = Network._softmax(z)
+        return np.log(z[np.arange(len(z)), at] + 1e-30)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of each target given its context."""
-        h, n = self._hidden(context), np.arange(len(target))
-        out = np.log(self._softmax(h @ self.cls + self.cb)[n, target // self.members] + 1e-30)
-        for c, rows in self._by_class(target):
-            p = self._softmax(h[rows] @ self.out[c] + self.ob[c])
-            out[rows] += np.log(p[np.arange(len(rows)), target[rows] % self.members] + 1e-30)
+        order, runs = self._by_class(target)
+        h, target = self._hidden(context[:, order]), target[order]
+        found = self._log_at(h @ self.cls + self.cb, target // self.members)
+        found += self._log_at(self._within(h, runs), target % self.members)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, squares: "Network", rate: float = RATE) -> None:
         """One Adagrad step on a batch; ``squares`` holds the sums of squared gradients."""
+        if not len(target):
+            return
+        order, runs = self._by_class(target)
+        context, target = context[:, order], target[order]
         n, total = np.arange(len(target)), len(target)
         h = self._hidden(context)
         dz = self._softmax(h @ self.cls + self.cb)
         dz[n, target // self.members] -= 1
         dz /= total
         dh = dz @ self.cls.T
+        d = self._softmax(self._within(h, runs))
+        d[n, target % self.members] -= 1
+        d /= total
 
         def step(name: str, grad: np.ndarray, where=...) -> None:
             seen = getattr(squares, name)
-            seen[where] += grad**2
-            getattr(self, name)[where] -= rate * grad / (np.sqrt(seen[where]) + 1e-6)
-
-        for c, rows in self._by_class(target):
-            hc = h[rows]
-            d = self._softmax(hc @ self.out[c] + self.ob[c])
-            d[np.arange(len(rows)), target[rows] % self.members] -= 1
-            d /= total
-            dh[rows] += d @ self.out[c].T
-            step("out", hc.T @ d, c)
-            step("ob", d.sum(axis=0), c)
-        step("cls", h.T @ dz)
+            held = seen[where] + grad**2
+            seen[where] = held
+            np.sqrt(held, out=held)
+            held += 1e-6
+            grad = grad * rate
+            grad /= held
+            getattr(self, name)[where] -= grad
+
+        classes = [c for c, _, _ in runs]
+        grads = np.empty((len(runs), *self.out.shape[1:]), h.dtype)
+        for grad, (c, i, j) in zip(grads, runs):
+            dh[i:j] += d[i:j] @ self.out[c].T
+            np.matmul(h[i:j].T, d[i:j], out=grad)
+        step("out", grads, classes)
+        step("ob", np.add.reduceat(d, [i for _, i, _ in runs]), classes)
+        step("cls", (dz.T @ h).T)
         step("cb", dz.sum(axis=0))
         dh *= 1 - h**2
         step("b", dh.sum(axis=0))
         for k in range(len(OFFSETS)):
-            order = np.argsort(context[k], kind="stable")
-            ids, at = np.unique(context[k][order], return_index=True)
-            step("ctx", np.add.reduceat(dh[order], at), (k, ids))
+            keys = context[k].astype(np.uint16) if self.pad < 1 << 16 else context[k]
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            step("ctx", np.add.reduceat(dh.take(order, axis=0), at), (k, keys[at]))
 
 
 def _batches(docs: Iterator[np.ndarray], net: Network, size: int, stride: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -297,17 +344,23 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text",
     totals = np.zeros(vocab.size)
     for row in rare.groupBy(F.pmod(F.crc32("word"), F.lit(vocab.buckets)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
         totals[vocab.size - vocab.buckets + row["bucket"]] = np.log(row["n"])
-    flat = spark.sparkContext.broadcast(net.flat)
+    often = rare.filter("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    held = spark.sparkContext.broadcast({**vocab.ids, **{bytes(r["word"]): vocab.size + i for i, r in enumerate(often)}})
+    # by id: the output, and what a word's share of it adds
+    outputs = np.array([*range(vocab.size), *(int(vocab.encode_word(bytes(r["word"]))) for r in often)], np.int32)
+    shares = np.concatenate([-totals, np.log(np.array([r["n"] for r in often], np.float64)) - totals[outputs[vocab.size :]]])
+    flat, shared = spark.sparkContext.broadcast(net.flat), spark.sparkContext.broadcast((outputs, shares))
     hidden = net.shapes["b"][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(vocab, hidden, flat.value)
+        own, (outputs, shares) = Network(vocab, hidden, flat.value), shared.value
         for batch in (part for whole in batches for part in _slices(whole)):
-            coded, rare_words = zip(*(vocab.encode_with_rare(x.as_py()) for x in batch["text"]))
-            sizes = np.array([len(t) for t in coded], np.int64)
-            sums, owner, at = np.zeros(len(sizes)), np.repeat(np.arange(len(sizes)), sizes), 0
-            for c, t in _batches(iter(coded), own, SCORE_BATCH):
-                sums += np.bincount(owner[at : at + len(t)], own.log_probs(c, t) - totals[t], len(sizes))
+            known, rare_words = zip(*(vocab.encode_with_rare(x.as_py(), held.value) for x in batch["text"]))
+            sizes = np.array([len(t) for t in known], np.int64)
+            owner, at = np.repeat(np.arange(len(sizes)), sizes), 0
+            sums = np.bincount(owner, shares[np.concatenate(known)], len(sizes))
+            for c, t in _batches((outputs[t] for t in known), own, SCORE_BATCH):
+                sums += np.bincount(owner[at : at + len(t)], own.log_probs(c, t), len(sizes))
                 at += len(t)
             words = pa.array([list(r.items()) for r in rare_words], pa.map_(pa.binary(), pa.int64()))
             yield pa.RecordBatch.from_arrays(

@@ -292,3 +292,53 @@ def test_crowds_and_common_shingles_make_few_pairs(spark, monkeypatch):
                 root = [a if r == b else r for r in root]
     assert found == dict(enumerate(root))
     assert max(paired) <= 2 * len(texts)
+
+
+def test_lm_joins_counts_of_few_words(spark, monkeypatch):
+    """Counts of frequent words outside the vocabulary are held by the tasks; sums are those of a join of all of them."""
+    texts = [f"a b {' '.join(f'r{(i * k) % 11}' for k in range(6))} only{i}" for i in range(30)] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocab = lm.Vocabulary({b"a": 0, b"b": 1}, classes=2, members=4, buckets=3)
+    net, runs, written, write = lm.Network(vocab, hidden=3), [], [], lm.saved
+
+    def counted(df):
+        result = write(df)
+        if "rare" in result.columns:
+            written.append(result.select(F.explode("rare")).count())
+        return result
+
+    monkeypatch.setattr(lm, "saved", counted)
+    for most in (0, 4, lm.FREQUENT):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        runs.append({r["doc_id"]: (r["n_tokens"], r["log_likelihood"]) for r in lm.score(frame, vocab, net).collect()})
+    assert written[0] > written[1] > written[2] == 30
+    counts = Counter(w for t in texts for w in (t or "").split())
+    totals = Counter()
+    for w, n in counts.items():
+        totals[int(vocab.encode(w)[0])] += n if w not in "ab" else 0
+    for run in runs:
+        for i, t in enumerate(texts):
+            ids = vocab.encode(t)
+            want = net.log_probs(net.windows(ids), ids).sum() + sum(math.log(counts[w] / totals[vocab.encode(w)[0]]) for w in (t or "").split() if w not in "ab")
+            assert run[i][0] == len(ids) and np.isclose(run[i][1], want, rtol=1e-5)
+
+
+def test_lm_steps_match_the_plain_ones(spark):
+    """A step and scores of a whole batch at once are those of one class at a time, also for scores out of a float's range."""
+    rng = np.random.default_rng(4)
+    vocab = lm.Vocabulary({}, classes=4, members=8, buckets=32)
+    for scale in (1, 400):
+        net, squares = lm.Network(vocab, 5, seed=3), lm.Network(vocab, 5, np.full(lm.Network(vocab, 5).flat.size, 1e-6, np.float32))
+        net.flat *= scale
+        context, target = rng.integers(0, 33, (4, 300)), rng.integers(0, 24, 300)
+        h = np.tanh(net.b + sum(net.ctx[k, context[k]] for k in range(4))).astype(np.float64)
+        soft = lambda z: np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)
+        p, n = soft(h @ net.cls + net.cb), np.arange(300)
+        q = soft(np.einsum("nh,nhm->nm", h, net.out[target // 8]) + net.ob[target // 8])
+        assert np.allclose(net.log_probs(context, target), np.log(p[n, target // 8] + 1e-30) + np.log(q[n, target % 8] + 1e-30), rtol=1e-3, atol=1e-4)
+        p[n, target // 8] -= 1
+        want = h.T @ p / 300
+        before = net.cls.copy()
+        net.train(context, target, squares)
+        assert np.allclose(before - net.cls, lm.RATE * want / (np.sqrt(1e-6 + want**2) + 1e-6), atol=2e-3 * scale)
+        assert np.isfinite(net.flat).all() and (net.out[3] == lm.Network(vocab, 5, seed=3).out[3] * np.float32(scale)).all()
