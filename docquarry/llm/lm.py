@@ -357,8 +357,8 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text",
         for batch in (part for whole in batches for part in _slices(whole)):
             known, rare_words = zip(*(vocab.encode_with_rare(x.as_py(), held.value) for x in batch["text"]))
             sizes = np.array([len(t) for t in known], np.int64)
-            owner, at = np.repeat(np.arange(len(sizes)), sizes), 0
-            sums = np.bincount(owner, shares[np.concatenate(known)], len(sizes))
+            sums, owner, at = np.zeros(len(sizes)), np.repeat(np.arange(len(sizes)), sizes), 0
+            sums += np.bincount(owner, shares[np.concatenate(known)], len(sizes))
             for c, t in _batches((outputs[t] for t in known), own, SCORE_BATCH):
                 sums += np.bincount(owner[at : at + len(t)], own.log_probs(c, t), len(sizes))
                 at += len(t)
