@@ -6,11 +6,16 @@ that distance that its dimensions are of all. If every block were above its shar
 above the whole, so a near pair is within the share of at least one block. Each block is joined by
 range over a grid, and the union of what is found is verified by the exact cosine. A pair is counted
 in the first block that finds it, so no pair list is shuffled to remove repeats.
+
+Where the cells of the grids hold so many rows that their comparison costs more than that of all
+pairs, the whole vector is the one block and all its rows are the one cell. Either way tiles of rows
+meet in passes of bounded size, each of which frees its shuffle files before the next.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import key_runs, saved
+from docquarry.llm.common import freed_shuffles, key_runs, saved
 from docquarry.llm.graph import components
 from docquarry.operators.joins import bounded
+from docquarry.session import checkpoint_folder
 
 BLOCK_DIMS = 8
 SEED = 17
@@ -33,6 +39,14 @@ CELL_RADII = 3.0
 SLACK = 1e-9
 # Rows compared at once, and the margin of single precision.
 ROWS, COLUMNS, COARSE = 128, 2048, 1e-5
+# What a moved row and a compared pair cost beside its coordinates, in compared coordinates.
+ROW_COST, PAIR_COST = 150_000, 16
+# Tiles of a table that is one cell, so that it has pairs of tiles for many tasks, and rows below which there are fewer.
+WHOLE_TILES, WHOLE_ROWS = 8, 1024
+# Rows that a pass moves: so many times the rows of the table, or so many at least.
+PASS_TIMES, PASS_ROWS = 2, 1 << 19
+# Spreads cell numbers over slices alike in Python and in Spark.
+PRIME = 1_000_003
 
 
 @lru_cache(maxsize=8)
@@ -97,7 +111,8 @@ def _found(mine: np.ndarray, others: np.ndarray, block: int, budget: np.ndarray,
     lo, hi = bounds[block], bounds[block + 1]
     a, b = mine[:, lo:hi], others[:, lo:hi]
     # 2 a.b - b.b in one product; a coarse sieve in single precision, whose error the margin covers
-    floor = (np.einsum("ij,ij->i", a, a) - budget[block] - COARSE).astype(np.float32)[:, None]
+    margin = COARSE * max(1.0, (hi - lo) / 16)
+    floor = (np.einsum("ij,ij->i", a, a) - budget[block] - margin).astype(np.float32)[:, None]
     left = np.column_stack([a, np.ones(len(a))]).astype(np.float32)
     right = np.column_stack([2 * b, -np.einsum("ij,ij->i", b, b)]).astype(np.float32).T
     for at, to in ((r, c) for r in range(0, len(a), ROWS) for c in range(0, len(b), COLUMNS)):
@@ -137,31 +152,62 @@ class _Forest:
                 self.label[np.isin(self.label, found)] = self.label[row]
 
 
+def _passes(sizes: DataFrame, limit: int) -> list[tuple[dict[int, tuple[int, int]], int, int]]:
+    """What each pass joins, so that it moves about ``limit`` rows of tiles: ``{block: (slices, slice)}, times, time``.
+
+    Blocks whose cells have more rows are cut into slices of cells, and slices whose tiles still repeat
+    more rows are gone through ``times`` times, for other pairs of tiles each time. Small blocks share a pass.
+    """
+    rows = sizes.groupBy("block").agg(F.sum("rows").alias("rows")).collect()  # one row per block of dimensions
+    if not rows:
+        return []
+    slices = [1] * (max(r["block"] for r in rows) + 1)
+    for r in rows:
+        slices[r["block"]] = math.ceil(r["rows"] / limit)
+    cut = F.get(F.array(*[F.lit(n) for n in slices]), F.col("block"))
+    parts = sizes.groupBy("block", F.pmod(F.col("cell") % PRIME, cut).cast("int").alias("slice")).agg(F.sum(F.col("rows") * F.col("tiles")).alias("moved"))
+    out, some, held = [], {}, 0
+    for block, part, moved in sorted(tuple(r) for r in parts.collect()):
+        if slices[block] > 1 or moved > limit:
+            times = math.ceil(moved / limit)
+            out.extend(({block: (slices[block], part)}, times, time) for time in range(times))
+            continue
+        if some and held + moved > limit:
+            out.append((some, 1, 0))
+            some, held = {}, 0
+        some, held = some | {block: (1, 0)}, held + moved
+    return [*out, (some, 1, 0)] if some else out
+
+
 def near_links(classes: DataFrame, threshold: float, tile: int = TILE, block_dims: int = BLOCK_DIMS) -> DataFrame:
-    """Links between distinct vectors ``node, n, vector``: rows ``node, other, links``.
+    """Links between distinct vectors ``node, n, vector``: rows ``node, other, links``, written pass by pass.
 
     Rows with ``other`` are enough links to connect all near pairs; the others add ``n`` of the
     vectors that ``node`` is linked with to its count.
     """
+    spark = classes.sparkSession
     total = classes.count()
     coords = max(1, min(block_dims, math.ceil(math.log(max(total, 1) / tile + 1, 2.2))))
     reach = 2 * (1 - threshold)
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
 
-    def budgets(dim: int) -> tuple[list[int], np.ndarray]:
-        bounds = block_bounds(dim, block_dims)
-        return bounds, (reach + SLACK) * np.diff(bounds) / dim
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], picked: dict[int, tuple[int, int]] | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pa.compute.list_value_length(batch["vector"]).to_numpy()
             for dim in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == dim))
-                x = rotated(unit(part["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)))
-                bounds, budget = budgets(dim)
+                units = unit(part["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
+                bounds = block_bounds(dim, block_dims)
                 for block, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-                    rows, cell, own = _cells(x[:, lo:hi], math.sqrt(budget[block]), min(coords, hi - lo))
+                    if picked is not None and block not in picked:
+                        continue
+                    x = np.einsum("ij,kj->ik", units, rotation(dim)[lo:hi])
+                    rows, cell, own = _cells(x, math.sqrt((reach + SLACK) * (hi - lo) / dim), min(coords, hi - lo))
+                    slices, at = picked[block] if picked is not None else (1, 0)
+                    if slices > 1:
+                        mine = cell % PRIME % slices == at
+                        rows, cell, own = rows[mine], cell[mine], own[mine]
                     whole, n = part.take(pa.array(rows)), len(rows)
                     for at in range(0, n, 10_000):
                         some = whole.slice(at, 10_000)
@@ -172,16 +218,33 @@ def near_links(classes: DataFrame, threshold: float, tile: int = TILE, block_dim
                             ["dim", "block", "cell", "own", "node", "n", "vector"])
 
     kind = classes.schema["vector"].dataType.simpleString()
-    dealt = classes.mapInArrow(deal, f"dim int, block int, cell long, own boolean, node long, n long, vector {kind}")
     cell = ["dim", "block", "cell"]
     narrow = classes.mapInArrow(lambda it: (b.select([*cell, "own"]) for b in deal(it)), "dim int, block int, cell long, own boolean")
     sizes = narrow.groupBy(*cell).agg(F.count("*").alias("rows"), F.count_if("own").alias("homes")).filter("rows > 1 AND homes > 0")
-    sizes = saved(sizes.withColumn("tiles", F.ceil(F.col("rows") / tile).cast("int")).drop("rows", "homes"))
-    rows = dealt.join(bounded(sizes), cell).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    sizes = saved(sizes.withColumn("tiles", F.ceil(F.col("rows") / tile).cast("int")))
+    one = classes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("rows")).filter("rows > 1")
+    tiles = F.greatest(F.ceil(F.col("rows") / tile), F.least(F.lit(WHOLE_TILES), F.ceil(F.col("rows") / WHOLE_ROWS))).cast("int")
+    one = saved(one.select("dim", F.lit(0).alias("block"), F.lit(0).cast("long").alias("cell"), "rows", F.col("rows").alias("homes"), tiles.alias("tiles")))
+
+    def cost(table: DataFrame, width) -> float:
+        pairs = F.col("homes").cast("double") * (F.col("rows") - F.col("homes") / 2)
+        moved = F.col("rows").cast("double") * F.col("tiles")
+        return table.agg(F.sum(pairs * (width + F.lit(PAIR_COST)) + moved * ROW_COST)).first()[0] or 0.0
+
+    whole_rows = cost(one, F.col("dim")) < cost(sizes, F.lit(block_dims))
+
+    def budgets(dim: int) -> tuple[list[int], np.ndarray]:
+        bounds = block_bounds(dim, dim if whole_rows else block_dims)
+        return bounds, (reach + SLACK) * np.diff(bounds) / dim
+
+    def dealt(picked: dict[int, tuple[int, int]]) -> DataFrame:
+        if whole_rows:
+            return classes.select(F.size("vector").alias("dim"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("cell"), F.lit(True).alias("own"), "node", "n", "vector")
+        return classes.mapInArrow(lambda it: deal(it, picked), f"dim int, block int, cell long, own boolean, node long, n long, vector {kind}")
+
+    sizes = one if whole_rows else sizes
     meet = F.expr("transform(sequence(0, tiles - 1), i -> struct(least(i, tile) AS a, greatest(i, tile) AS b))")
     group = [*cell, "a", "b"]
-    rows = rows.select(*cell, "own", "node", "n", "vector", "tile", F.inline(meet))
-    rows = rows.repartition(*group).sortWithinPartitions(*group)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in key_runs(batches, group):
@@ -220,7 +283,19 @@ def near_links(classes: DataFrame, threshold: float, tile: int = TILE, block_dim
                 a, b, c = (np.concatenate([o[k] for o in out]) for k in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b < 0), pa.array(c)], ["node", "other", "links"])
 
-    return rows.mapInArrow(compare, "node long, other long, links long")
+    schema = "node long, other long, links long"
+    path = f"{checkpoint_folder(spark)}/links-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for picked, times, time in _passes(sizes, max(PASS_TIMES * total, PASS_ROWS)):
+        held = sizes.filter(F.col("block").isin(list(picked))).select(*cell, "tiles")
+        rows = dealt(picked).join(bounded(held), cell).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        rows = rows.select(*cell, "own", "node", "n", "vector", "tile", F.inline(meet))
+        if times > 1:
+            rows = rows.filter(F.pmod(F.xxhash64(*group), F.lit(times)) == time)
+        rows = rows.repartition(*group).sortWithinPartitions(*group)
+        with freed_shuffles(spark):
+            rows.mapInArrow(compare, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id", tile: int = TILE) -> DataFrame:
@@ -236,7 +311,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vector: str = "
     rows = rows.withColumn("valid", is_valid(F.col("vector"))).select("*", *[F.when(F.col("valid"), h).alias(f"h{i}") for i, h in enumerate(hashes)])
     grouped = rows.filter("valid").groupBy("h0", "h1").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.any_value("vector").alias("vector"))
     classes = saved(grouped.withColumn("node", F.monotonically_increasing_id()))
-    found = saved(near_links(classes.select("node", "n", "vector"), threshold, tile))
+    found = near_links(classes.select("node", "n", "vector"), threshold, tile)
     counts = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("other IS NOT NULL"), "node", "other").withColumnRenamed("component", "root")
     named = classes.select("node", "h0", "h1", "n", "first").join(roots, "node", "left").join(counts, "node", "left")

@@ -112,6 +112,38 @@ def test_embeddings_match_brute_force(spark, dim, threshold, tile):
     assert found == {i: (int(near[i].sum()) - 1, groups[i]) for i in range(len(x))}
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_embedding_passes_are_bounded_and_find_all(spark, monkeypatch, whole):
+    """Both ways to join, in many passes of few rows, and each pass frees its shuffle files; crowded cells are gone through several times."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=24)
+    x = np.concatenate([rng.normal(size=(150, 24)), centre + rng.normal(size=(120, 24)) * 0.12])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen, kept, freed = [], embedding._passes, embedding.freed_shuffles
+    monkeypatch.setattr(embedding, "PASS_TIMES", 1)
+    monkeypatch.setattr(embedding, "PASS_ROWS", 300)
+    monkeypatch.setattr(embedding, "ROW_COST", 1e9)
+    monkeypatch.setattr(embedding, "WHOLE_TILES", 8 if whole else 10**6)  # so many tiles cost more than any grid
+    monkeypatch.setattr(embedding, "WHOLE_ROWS", 1)
+
+    def passes(sizes, limit):
+        seen.append((limit, {r["dim"]: r["block"] for r in sizes.collect()}, sizes.selectExpr("sum(rows * tiles)").first()[0], kept(sizes, limit)))
+        return seen[-1][3]
+
+    monkeypatch.setattr(embedding, "_passes", passes)
+    monkeypatch.setattr(embedding, "freed_shuffles", lambda session: seen.append(None) or freed(session))
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(frame, 0.95, tile=32).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    groups = union_find(range(len(x)), [(int(a), int(b)) for a, b in np.argwhere(np.triu(near, 1))])
+    assert near.sum() > len(x) * 5 and found == {i: (int(near[i].sum()) - 1, groups[i]) for i in range(len(x))}
+    limit, blocks, moved, parts = seen[0]
+    assert limit == 300 and moved > 5 * limit and len(parts) >= moved / limit and seen.count(None) == len(parts)
+    assert any(times > 1 for _, times, _ in parts) and (set(blocks.values()) == {0}) == whole
+    for picked, times, _ in parts:
+        assert sum(p[0] == picked and p[1] == times for p in parts) == times
+
+
 def lines_gone(texts):
     """Lines that an earlier line matches: every pair of word sets is compared."""
     places = [(i, n, frozenset(words(s.lower()))) for i, t in sorted(texts.items()) if t is not None for n, s in enumerate(t.split("\n"))]
