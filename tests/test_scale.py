@@ -217,3 +217,26 @@ def test_documents_of_one_id_are_one_unit_in_fusion(spark, tmp_path):
     want = st.hits(spark, rq.region_store(spark, sf, "words", "tables"), I.QUERY_SET)
     found = rq._written_hits(spark, sf).select(*want.columns)
     assert found.count() > 0 and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def _box(y, x):
+    return {"y0": float(y), "x0": float(x)}
+
+
+CELL = "struct<row:int,col:int,row_span:int,col_span:int,column_header:boolean,text:string,bbox:struct<y0:double,x0:double>>"
+
+
+def test_tables_of_cells_are_laid_out_and_read_once(spark):
+    """The grid, its heads and the numbers of its cells stand once in the plan, however many forms of the table are asked for."""
+    from docquarry.operators import tables as tb
+
+    cells = [
+        (3, 0, 1, 1, False, "old", None), (1, 1, 1, 1, True, "B", _box(2, 5)), (1, 0, 1, 1, True, "A", _box(2, 1)), (0, 0, 1, 2, True, "Top", _box(1, 1)),
+        (2, 0, 1, 1, False, "(1,5)", _box(0, 9)), (3, 0, 1, 1, False, "x", None), (None, None, 1, 1, False, "lost", None), (2, 3, 1, 1, False, "9.50", None)]
+    frame = spark.createDataFrame([(1, "t", None, cells), (2, "t", None, [])], f"t int, text string, grid array<array<string>>, cells array<{CELL}>")
+    out = tb.enrich(frame.repartition(2), cells="cells")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[$,€£%]") == 1 and plan.count("array_sort(") == 1 and plan.count("sort_array(") == 3, plan  # two of them order the names
+    row = out.collect()
+    assert [r.t for r in row] == [1] and row[0].rows == [["-15", "", "", "9.5"], ["x", "", "", ""]]
+    assert row[0].header_paths == [["Top", "A"], ["Top", "B"], ["col_3"], ["col_4"]]
