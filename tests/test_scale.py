@@ -240,3 +240,16 @@ def test_tables_of_cells_are_laid_out_and_read_once(spark):
     row = out.collect()
     assert [r.t for r in row] == [1] and row[0].rows == [["-15", "", "", "9.5"], ["x", "", "", ""]]
     assert row[0].header_paths == [["Top", "A"], ["Top", "B"], ["col_3"], ["col_4"]]
+
+
+def test_grids_are_built_once_for_all_forms_of_a_table(spark, tmp_path):
+    """Documents as tables: no second grid for the filter of empty ones, and one reading of each cell."""
+    from docquarry.plans import table_queries as tq
+
+    rows = [(1, "a b\n1 (2,30)\n\"q\" <x> & 007 1.50", "en", "web", 10), (2, " ", "en", "web", 1), (3, None, "en", "web", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = tq.tbl_enrich(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1 and plan.count("[$,€£%]") == 1, plan
+    (row,) = out.collect()
+    assert row.table_html.count("<tr>") == 3 and row.table_json.endswith('"is_valid_structure": false}') and row.doc_id == 1

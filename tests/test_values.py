@@ -172,6 +172,23 @@ def test_enrich(spark, rows):
     assert (out.table_markdown, out.is_valid_structure) == brute_enrich(rows)
 
 
+def test_table_forms_of_odd_cells(spark):
+    """HTML and JSON of cells with and without characters to escape, of nulls, and of rows without cells."""
+    head = ["n & m", "<b>", None]
+    rows = [head, ['say "hi"', "a\\b\tc", "\u2028é\x7f"], [], ["1.500", "0.0", "-00.50"], [None, "+5", "1.e3"], ["(0)", "-0", "$(7)"], ["12a", "١٢", "(-1.25)"]]
+    out = tb.enrich(spark.createDataFrame([(rows, None)], "grid array<array<string>>, text string")).first()
+    assert out.rows[2:] == [["1.5", "0.0", "-0.5"], [None, "5", "1000.0"], ["0", "0", "$(7)"], ["12a", "١٢", "1.25"]]
+    found = out.table_json[out.table_json.index('"rows": ') + 8 : out.table_json.index(', "unit_multiplier"')]
+    want = [", ".join(t for t in r) for r in (
+        ['"say \\"hi\\""', '"a\\\\b\\tc"', '"\u2028é\x7f"'], [], ["1.5", "0.0", "-0.5"], ["null", "5", "1000.0"], ["0", "0", '"$(7)"'], ['"12a"', '"١٢"', "1.25"])]
+    assert found == "[" + ", ".join(f"[{r}]" for r in want) + "]"
+    lines = out.table_html.split("\n")
+    assert lines[:3] == ["<table>", "  <thead><tr>", f"    <th>{out.columns[0]}</th>"] and lines[-2:] == ["  </tbody>", "</table>"]
+    safe = [["say &quot;hi&quot;", "a\\b\tc", "\u2028é\x7f"], *[[c for c in r if c is not None] for r in out.rows[1:]]]
+    body = [line for r in safe for line in ["  <tr>", *[f"    <td>{c}</td>" for c in r], "  </tr>"]]
+    assert lines[lines.index("  <tbody>") + 1 : -2] == body
+
+
 def test_segmentation(spark):
     docs = spark.createDataFrame([(0, "s/sample.txt", SAMPLE), (1, "s/empty.txt", "")], "doc_pos long, path string, text string")
     rows = sg.segment(docs).orderBy("doc_pos", "region_idx").collect()
