@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import attribute as at
@@ -253,3 +254,32 @@ def test_grids_are_built_once_for_all_forms_of_a_table(spark, tmp_path):
     assert plan.count("split(text") == 1 and plan.count("[$,€£%]") == 1, plan
     (row,) = out.collect()
     assert row.table_html.count("<tr>") == 3 and row.table_json.endswith('"is_valid_structure": false}') and row.doc_id == 1
+
+
+@pytest.mark.parametrize("text_key", [False, True])
+def test_blocks_are_pieces_of_sorted_batches(text_key):
+    """Blocks over the ends of batches, blocks whose hashes are equal, nulls, and keys that are no integers."""
+    import pyarrow as pa
+
+    from docquarry.operators import sparse as sp
+
+    rng = random.Random(3)
+    rows = [(t, f"{'n' if t is None else t}", rng.randint(1, 4), rng.randint(1, 6), (str(i) if text_key else i)) for i, t in enumerate(rng.choice([None, "a", "b", "c", "d"]) for _ in range(200))]
+    rows += [("e", "e", 1, 2, None)] * (not text_key)
+    number = {"n": -5, "a": 1, "b": 1, "c": 1, "d": 7, "e": 9}  # three blocks share a hash
+    rows.sort(key=lambda r: number[r[1]])
+    names = ["_hash", "term", "range", "tf", "dl", "key"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string() if text_key else pa.int64()]
+    columns = [[number[r[1]] for r in rows], [r[0] for r in rows], [0] * len(rows), *[[r[i] for r in rows] for i in (2, 3, 4)]]
+    table = pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    for size in (1, 7, 500):
+        found = [r for b in sp._blocks(iter(table.to_batches(max_chunksize=size)), ["term", "range"], ["key"]) for r in b.to_pylist()]
+        assert len(found) == len({r[0] for r in rows})
+        for block in found:
+            mine = [r for r in rows if r[0] == block["term"]]
+            mine.sort(key=lambda r: (r[4] is not None, r[4] or 0), reverse=True)
+            mine.sort(key=lambda r: (-r[2], r[3]))
+            assert [tuple(d.values()) for d in block["docs"]] == [(r[2], r[3], r[4]) for r in mine]
+            assert (block["n"], block["tokens"]) == (len(mine), sum(r[3] for r in mine))
+            best = [r for i, r in enumerate(mine) if all(r[3] < o[3] for o in mine[:i])]
+            assert [tuple(d.values()) for d in block["impacts"]] == [(r[2], r[3]) for r in best]
