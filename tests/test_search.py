@@ -495,3 +495,29 @@ def test_scan_of_one_batch_equals_the_index(spark, tmp_path, monkeypatch):
     assert sp.scan(docs.unionByName(docs.limit(1)), queries) is None and sp.scan(docs.selectExpr("nullif(doc_pos, 3) AS doc_pos", "text"), queries) is None
     monkeypatch.setattr(sp, "SCAN_TERMS", 3)
     assert sp.scan(docs, queries) is None
+
+
+def test_word_index_in_passes_finds_the_same(spark, tmp_path, monkeypatch):
+    """Written by blocks of documents and looked up bucket by bucket, each with its shuffle files freed."""
+    from docquarry.operators import joins
+    from docquarry.operators import substring as ss
+
+    rows = [(None if i == 9 else i % 40 - 3, i, "text" if i % 3 else "table", f"Alpha w{i} beta{i % 7} gamma an") for i in range(60)] + [(2, 99, "text", None)]
+    units = spark.createDataFrame(rows, "doc_pos long, region_idx int, type string, text string")
+    queries = spark.createDataFrame([(1, "an alpha w1"), (2, "beta3 zzz a"), (3, "mm")], "query_id long, query string")
+
+    def found(name, blocks, limit):
+        freed, free = [], ss.freed_shuffles
+        monkeypatch.setattr(ss, "BLOCK_BITS", blocks)
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(ss, "freed_shuffles", lambda session: freed.append(1) or free(session))
+        index = ss.SubstringIndex(f"{tmp_path}/{name}", buckets=4)
+        ss.build(units, index)
+        out = sorted(map(repr, ss.found_terms(spark, index, queries).collect()))
+        words = sorted((r["word"], r["type"], r["doc_pos"], r["region_idx"]) for r in spark.read.parquet(f"{index.path}/words").selectExpr("word", "type", "inline(units)").fillna(-99).collect())
+        monkeypatch.setattr(ss, "freed_shuffles", free)
+        return out, words, len(freed)
+
+    whole, parts = found("whole", 62, 200_000), found("parts", 2, 5)
+    assert whole[:2] == parts[:2] and len(whole[0]) > 100
+    assert (whole[2], parts[2]) == (3, 8 + 1 + 4)  # passes over documents, the grams, buckets
